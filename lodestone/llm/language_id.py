@@ -13,7 +13,7 @@ are ``und``; with one language every text with a letter gets it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,12 +83,12 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(total, 1))
 
 
-def sample_counts(docs: DataFrame, text_col: str, target: Column, dims: int, table: np.ndarray) -> tuple[np.ndarray, list]:
-    """Counts and targets of (already sampled) rows, computed on the executors."""
+def sample_counts(docs: DataFrame, text_col: str, target: Column, dims: int, count: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, list]:
+    """What ``count`` (bytes, offsets) gives for (already sampled) rows, ``dims`` wide, and their targets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, "text"):
-            rows = gram_counts(data, offsets, table, dims, squeeze=32).astype("<f4")
+            rows = count(data, offsets).astype("<f4")
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["target", "counts"])
 
     picked = docs.select(F.col(text_col).alias("text"), target.alias("target"))
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
     draw = (F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24))
     picked = labelled.where(F.col(lang_col).isin(languages) & (draw < F.element_at(share, F.col(lang_col))))
-    counts, names = sample_counts(picked, text_col, F.col(lang_col), dims, _TABLE)
+    counts, names = sample_counts(picked, text_col, F.col(lang_col), dims, lambda data, offsets: gram_counts(data, offsets, _TABLE, dims, squeeze=32))
     which = np.array([languages.index(x) for x in names], dtype=int)
     code = codewords(len(languages))
     x = np.hstack([features(counts), np.ones((len(counts), 1))])

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._text import blocks, gram_counts
+from lodestone.llm._shared import written
+from lodestone.llm._text import SPACED, Words, blocks, gram_counts
 from lodestone.llm.language_id import features, sample_counts
 
 DIMS = 512
@@ -36,6 +37,20 @@ _TABLE[48:58] = 48
 _TABLE[[9, 11, 12, 13]] = 32
 
 
+#: Trigrams at which a document's own evidence has half its weight.
+HALF_WEIGHT = 40
+
+
+def shape_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of shape n-grams and, last, of words that repeat the word before."""
+    words = Words(data, offsets, SPACED)
+    again = np.zeros(len(words) + 1)
+    if len(words) > 1:
+        again[2:] = np.cumsum(words.hashes[1:] == words.hashes[:-1])
+    repeats = again[words.bounds[1:]] - again[words.bounds[:-1]]
+    return np.hstack([gram_counts(data, offsets, _TABLE, DIMS, squeeze=32), repeats[:, None]])
+
+
 @dataclass
 class QualityModel:
     weights: np.ndarray | None
@@ -46,7 +61,8 @@ class QualityModel:
         if self.weights is None:
             return np.zeros(len(counts))
         odds = features(counts) @ self.weights[:-1] + self.weights[-1] - np.log(self.prior / (1 - self.prior))
-        return np.where(counts.sum(axis=1) > 0, odds, 0.0)
+        size = counts.sum(axis=1)
+        return odds * size / (size + HALF_WEIGHT)  # a few characters say little
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
@@ -58,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = (good + 0.5) / (total + 1)
     draw = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24)
     picked = docs.select(id_col, text_col).join(known.where(draw < min(1.0, sample / total)), id_col)
-    counts, target = sample_counts(picked, text_col, F.col("__label").cast("int"), DIMS, _TABLE)
+    counts, target = sample_counts(picked, text_col, F.col("__label").cast("int"), DIMS + 1, shape_counts)
     y = np.array(target, dtype=float)
     if not len(y) or y.min() == y.max():
         return QualityModel(None, prior)
@@ -83,7 +99,7 @@ def evidence(docs: DataFrame, model: QualityModel, keep: list[str], text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, "__text"):
-            odds = shared.value.evidence(gram_counts(data, offsets, _TABLE, DIMS, squeeze=32))
+            odds = shared.value.evidence(shape_counts(data, offsets))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(odds)], names=[*keep, "evidence"])
 
     return picked.mapInArrow(run, schema)
@@ -115,8 +131,6 @@ def score(docs: DataFrame, model: QualityModel, host: Column, path: Column, id_c
     own = evidence(named, model, [*keep, "__host", "__path"], text_col)
     p = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + logit)))
     paths = own.groupBy("__host", "__path").agg(F.sum(p).alias("s"), F.count("*").alias("n"))
-    from lodestone.llm._shared import written
-
     paths = written(paths, "quality-paths")
     hosts = paths.groupBy("__host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     r = hosts.agg(F.sum("hs"), F.sum("hn")).first()
