@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, language_id, license_scan, quality, token_counts, url_filters
+from lodestone.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, quality, token_counts, url_filters
 from lodestone.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -51,6 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"), shingle=3, least=(90, 100))
+
+
 #: Verdict, host and path of the rules.
 URL_RULES = (
     ("allow", "org", "/"),
@@ -72,5 +76,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op8_url_filters, op9_byte_bpe)
+    f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe)
 }
