@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, quality, token_counts, url_filters
+from lodestone.llm import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, quality, token_counts, url_filters
 from lodestone.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -75,6 +75,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe)
+    f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe, op10_embedding_dedup)
 }
