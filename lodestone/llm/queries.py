@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, quality, token_counts, url_filters
+from lodestone.llm import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, lm_scoring, quality, token_counts, url_filters
 from lodestone.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -30,6 +30,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    model, rest = lm_scoring.fit(docs.where(~held_out))
+    return lm_scoring.score(docs.withColumn("held_out", held_out), model, rest, ["doc_id", "held_out"])
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
 
@@ -80,5 +87,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe, op10_embedding_dedup)
+    f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe, op10_embedding_dedup)
 }
