@@ -59,7 +59,6 @@ class Bands:
 
     def differ(self, tile: int) -> int:
         """Most shingles in which a linked pair of the tile differs."""
-        self.grow(self.low[-1])
         while len(self.low) < tile + 2:
             self.grow(self.low[-1])
         top = self.low[tile + 1] - 1
