@@ -1 +1,65 @@
-"""To come."""
+"""Graph operators as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import graph as G
+from lodestone.plans.registry import query
+
+
+def _nodes(m):
+    return m.table("part").select(F.col("p_partkey").alias("node"))
+
+
+_REACH = ", reach(a, b) AS (SELECT a, b FROM edge_ids UNION SELECT r.a, e.b FROM reach r JOIN edge_ids e ON r.b = e.a)"
+_SCC = f"{_REACH}, scc AS (SELECT x.a AS node, max(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+query("G1_overview", lambda m: G.overview(_nodes(m), m.edge_ids), f"{_SCC} SELECT (SELECT count(*) FROM part) AS n_nodes, (SELECT count(*) FROM edge_ids) AS n_edges, (SELECT count(DISTINCT component) FROM scc) AS n_cycles", "edge_ids", recursive=True)
+query("G2_adjacency", lambda m: G.adjacency(m.edge_ids, _nodes(m).where("node % 4 <> 0")), "SELECT a, b FROM edge_ids WHERE b % 4 <> 0", "edge_ids")
+query("G3_cycles", lambda m: G.strong_components(m.edge_ids).groupBy("component").agg(F.count("*").alias("n")), f"{_SCC} SELECT component, count(*) AS n FROM scc GROUP BY 1", "edge_ids", recursive=True)
+_BACK = ", r(node, depth) AS (SELECT a, 1 FROM edge_ids WHERE b = 1 UNION SELECT e.a, r.depth + 1 FROM r JOIN edge_ids e ON e.b = r.node WHERE r.depth < 40)"
+query("G4_blast_radius", lambda m: G.blast_radius(m.edge_ids, _nodes(m).where("node = 1")).select("node", "depth", "kind"), f"{_BACK} SELECT node, min(depth) AS depth, CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'transitive' END AS kind FROM r WHERE node <> 1 GROUP BY 1", "edge_ids", recursive=True)
+query("G5_dependents", lambda m: G.neighbours(G.reverse(m.edge_ids), 1), "SELECT DISTINCT a AS node FROM edge_ids WHERE b = 1", "edge_ids")
+query("G6_imports", lambda m: G.neighbours(G.adjacency(m.edge_ids, _nodes(m)), 5), "SELECT DISTINCT b AS node FROM edge_ids WHERE a = 5", "edge_ids")
+_WALKS = ", w(path) AS (SELECT [a, b] FROM edge_ids WHERE a <> b AND {src} UNION ALL SELECT list_append(path, b) FROM w JOIN edge_ids e ON e.a = path[-1] WHERE len(path) < {n} AND NOT list_contains(path, b)) SELECT path FROM w WHERE {dst} ORDER BY len(path), path LIMIT {k}"
+query("G7_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node = 10"), _nodes(m).where("node = 1"), 10, 20), _WALKS.format(src="a = 10", dst="path[-1] = 1", n=20, k=10), "edge_ids", recursive=True)
+query("G8_attack_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node % 50 = 5"), _nodes(m).where("node % 40 = 1"), 20, 20), _WALKS.format(src="a % 50 = 5", dst="path[-1] % 40 = 1", n=20, k=20), "edge_ids", recursive=True)
+query(
+    "G9_components",
+    lambda m: G.components(m.edge_ids.where("a % 6 = 1")),
+    ", u AS (SELECT a, b FROM edge_ids WHERE a % 6 = 1 AND a <> b UNION SELECT b, a FROM edge_ids WHERE a % 6 = 1 AND a <> b), c(a, b) AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM c GROUP BY a",
+    "edge_ids",
+    recursive=True,
+)
+query(
+    "G10_transitive_counts",
+    lambda m: G.transitive_counts(m.edge_ids, _nodes(m).where("node < 30")),
+    ", r(seed, node, depth) AS (SELECT b, a, 1 FROM edge_ids WHERE b < 30 UNION SELECT r.seed, e.a, r.depth + 1 FROM r JOIN edge_ids e ON e.b = r.node WHERE r.depth < 40), d AS (SELECT seed, node, min(depth) AS depth FROM r WHERE seed <> node GROUP BY 1, 2) SELECT p_partkey AS seed, count(node) AS n FROM part LEFT JOIN d ON seed = p_partkey AND depth >= 2 WHERE p_partkey < 30 GROUP BY 1",
+    "edge_ids",
+    recursive=True,
+)
+query("G11_cycle_issues", lambda m: G.strong_components(m.edge_ids).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(F.lit("circular_dependency").alias("type"), "nodes"), f"{_SCC} SELECT 'circular_dependency' AS type, list(node ORDER BY node) AS nodes FROM scc GROUP BY component", "edge_ids", recursive=True)
+
+
+def _walk(m):
+    nodes = m.degrees.select(F.col("file_id").alias("node"), (F.col("file_id") % 40 == 5).alias("is_source"), "incoming_count", "complexity_score")
+    walk = G.greedy_walk(nodes, m.edge_ids)
+    return m.spark.createDataFrame(list(enumerate(walk)), "step int, node long")
+
+
+query("G12_start_here_walk", _walk)
+
+
+def _tour(m):
+    relevant = m.nodes.where("file_id % 9 = 1").select(F.col("file_id").alias("node"), (F.col("file_id") * 7919 % 1000 / 1000.0).alias("distance"))
+    return m.spark.createDataFrame(list(enumerate(G.relevant_tour(m.edge_ids, relevant))), "step int, node long")
+
+
+query("G13_relevant_tour", _tour)
+query("G14_induced", lambda m: m.edge_ids.join(_nodes(m).where("node % 3 = 1").withColumnRenamed("node", "a"), "a", "left_semi").join(_nodes(m).where("node % 2 = 0").withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "SELECT a, b FROM edge_ids WHERE a % 3 = 1 AND b % 2 = 0", "edge_ids")
+query("G15_radius", lambda m: G.radius(m.degrees.select("file_id", "incoming_count")).select("file_id", F.round("radius", 6).alias("radius")), "SELECT file_id, round(8 + 16 * sqrt(incoming_count / greatest(1, max(incoming_count) OVER ())), 6) AS radius FROM degrees", "degrees")
+_RINGS = ", ring AS (SELECT node, min(r) AS ring FROM (SELECT p_partkey AS node, 0 AS r FROM part WHERE p_partkey % 100 = 7 UNION ALL SELECT b, 1 FROM edge_ids WHERE a % 100 = 7 UNION ALL SELECT a, 1 FROM edge_ids WHERE b % 100 = 7) GROUP BY 1), shown AS (SELECT * FROM ring ORDER BY ring, node LIMIT 80)"
+query("G16_display_nodes", lambda m: G.display_graph(_nodes(m).where("node % 100 = 7"), m.edge_ids)[0], f"{_RINGS} SELECT node, ring FROM shown", "edge_ids")
+query("G16_display_edges", lambda m: G.display_graph(_nodes(m).where("node % 100 = 7"), m.edge_ids)[1], f"{_RINGS} SELECT a, b FROM edge_ids WHERE a IN (SELECT node FROM shown) AND b IN (SELECT node FROM shown) ORDER BY a, b LIMIT 150", "edge_ids")
+query("G17_path_edges", lambda m: G.path_edges(m.table("orders").where("o_orderkey < 300").select(F.array(F.col("o_custkey") % 9, F.col("o_orderkey") % 7, F.col("o_custkey") % 5).alias("path"))), "SELECT o_custkey % 9 AS a, o_orderkey % 7 AS b FROM orders WHERE o_orderkey < 300 UNION SELECT o_orderkey % 7, o_custkey % 5 FROM orders WHERE o_orderkey < 300")
+query("G18_impact_ids", lambda m: G.impact_ids(m.edges.select(F.col("to_path").alias("file_path")).distinct(), m.nodes.where("file_id % 3 = 0")), "SELECT to_path AS file_path, coalesce(file_id::VARCHAR, to_path) AS id FROM (SELECT DISTINCT to_path FROM edges) LEFT JOIN (SELECT * FROM nodes WHERE file_id % 3 = 0) ON file_path = to_path", "edges", "nodes")
