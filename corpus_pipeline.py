@@ -14,9 +14,15 @@ from lodestone.llm import bpe, decontaminate, jaccard_join, language_id, quality
 from lodestone.llm._shared import written
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents whose id is in ``judged``."""
-    return docs.join(judged.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+#: Most ids that are sent to every executor; more meet the documents in a shuffled join.
+BROADCAST_IDS = 500_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id isn't in ``gone``; a null id stays."""
+    ids = written(gone.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), "gone")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +40,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each group of near copies (five words, similarity of 0.8 or more)."""
-    groups = jaccard_join.similar_groups(docs)
-    return _kept(docs, groups.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    groups = written(jaccard_join.similar_groups(docs), "groups")
+    kept = _without(docs, groups.where("doc_id <> component_id"))
+    repeated = groups.groupBy("doc_id").count().where("doc_id is not null and count > 1")
+    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share ten words in a row, or a whole shorter item, with the benchmark."""
     judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, judged.where("not contaminated"))
+    return _without(docs, judged.where("contaminated"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

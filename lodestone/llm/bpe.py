@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm._text import blocks, span_hashes
 
 #: Pre-tokens whose ids a worker remembers; when full it starts afresh, which changes speed and not results.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Patterns whose pre-tokens hold white space only at their start or throughout (fixed values).
 WHITE_SPACE_ENDS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 #: Longest pre-token, in characters, that is remembered.
@@ -31,7 +31,7 @@ REMEMBERED_CHARS = 64
 #: Positions in a bucket from which they are merged together.
 TOGETHER = 48
 #: Bytes of text that a worker encodes at once; a longer text goes alone.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 class RankQueue:
@@ -222,7 +222,7 @@ class BytePairCodec:
         """Packed ids of texts, by the pattern; pre-tokens met before are looked up."""
         seen, split, known = self.seen, self.pattern.findall, self.ranks
         pieces = [split(t) for t in chunks]
-        if len(seen) > REMEMBERED:
+        if len(seen) > REMEMBERED // 2:
             seen.clear()
         fresh = {p: p.encode("utf-8") for own in pieces for p in own if p not in seen}
         codes = {p: struct.pack("<I", known[raw]) for p, raw in fresh.items() if raw in known}

@@ -33,6 +33,8 @@ from lodestone.llm.components import components
 SHINGLE, LEAST = 5, (80, 100)
 #: Rows of a tile that are compared at once with the rest of it.
 TILE_ROWS = 256
+#: Address bits of the largest bitmap of wanted documents (16 MiB).
+MAX_BITS = 27
 #: Bits of a bitmap for each shingle of the largest set in its band, and the largest bitmap.
 BITMAP_LOAD, BITMAP_MAX = 2, 1 << 16
 
@@ -227,20 +229,44 @@ def _met(keys: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(node, n, bits binary, hashes binary) of the wanted (node, __key): texts travel only for these."""
-    picked = docs.select(F.col(text_col).alias("__text"), _key(id_col, text_col, docs).alias("__key")).join(wanted, "__key").select("__text", "node")
+    """(node, n, bits binary, hashes binary) of the wanted (node, __key).
+
+    A bitmap of the wanted keys, of bounded size, goes to all tasks; sets of documents that pass it are made where the
+    text is read, so no text is shuffled, and the join drops what the bitmap let through.
+    """
+    n = wanted.count()
+    bits = int(min(MAX_BITS, max(12, np.ceil(np.log2(32 * max(n, 1))))))
+    at = F.shiftrightunsigned(F.xxhash64("__key"), 64 - bits).alias("at")
+    cells = wanted.select(at).groupBy(F.shiftrightunsigned("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    got = cells.toArrow()  # at most 2 ** (MAX_BITS - 6) rows
+    filled = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    filled[got.column("cell").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    key = _key(id_col, text_col, docs).alias("__key")
+    picked = docs.select(F.col(text_col).alias("__text"), key).select("__text", "__key", F.shiftrightunsigned(F.xxhash64("__key"), 64 - bits).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for part, data, offsets in blocks(batches, "__text"):
-            sets = shingle_sets(data, offsets, k)
-            ok = [i for i, s in enumerate(sets) if len(s) and set_digest(s) == part.column(1)[i].as_py()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(1).take(pa.array(ok, pa.int64())), pa.array([len(sets[i]) for i in ok], pa.int64()), pa.array([bitmap(sets[i], bands.bits(len(sets[i]))).tobytes() for i in ok], pa.binary()), pa.array([sets[i].tobytes() for i in ok], pa.binary())],
-                names=["node", "n", "bits", "hashes"],
-            )
 
-    return picked.mapInArrow(run, "node long, n long, bits binary, hashes binary")
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy().astype(np.uint64)
+                yield batch.filter(pa.array((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
+
+        for part, data, offsets in blocks(passing(), "__text"):
+            sets = shingle_sets(data, offsets, k)
+            ok = [i for i, s in enumerate(sets) if len(s)]
+            columns = [
+                part.column(1).take(pa.array(ok, pa.int64())),
+                pa.array([set_digest(sets[i]) for i in ok], pa.int64()),
+                pa.array([len(sets[i]) for i in ok], pa.int64()),
+                pa.array([bitmap(sets[i], bands.bits(len(sets[i]))).tobytes() for i in ok], pa.binary()),
+                pa.array([sets[i].tobytes() for i in ok], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["__key", "node", "n", "bits", "hashes"])
+
+    made = picked.mapInArrow(run, "__key long, node long, n long, bits binary, hashes binary")
+    return made.join(wanted.select("__key", "node"), ["__key", "node"], "left_semi").drop("__key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

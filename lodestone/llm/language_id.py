@@ -26,7 +26,7 @@ from lodestone.llm._text import blocks, gram_counts
 #: Hashed n-gram features.
 DIMS = 2048
 #: Labelled texts that each language gives to the fit, in expectation.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 800
 #: Most languages that are learned; the most frequent ones are.
 MAX_LANGUAGES = 256
 #: Score below which a prediction is ambiguous.

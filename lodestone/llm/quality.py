@@ -25,7 +25,7 @@ from lodestone.llm.language_id import features, sample_counts
 
 DIMS = 512
 #: Labelled documents that the classifier is fitted on, in expectation.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Posterior below which a document is rejected.
 REJECT_BELOW = 0.5
 
