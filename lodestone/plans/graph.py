@@ -22,8 +22,8 @@ query("G4_blast_radius", lambda m: G.blast_radius(m.edge_ids, _nodes(m).where("n
 query("G5_dependents", lambda m: G.neighbours(G.reverse(m.edge_ids), 1), "SELECT DISTINCT a AS node FROM edge_ids WHERE b = 1", "edge_ids")
 query("G6_imports", lambda m: G.neighbours(G.adjacency(m.edge_ids, _nodes(m)), 5), "SELECT DISTINCT b AS node FROM edge_ids WHERE a = 5", "edge_ids")
 _WALKS = ", w(path) AS (SELECT [a, b] FROM edge_ids WHERE a <> b AND {src} UNION ALL SELECT list_append(path, b) FROM w JOIN edge_ids e ON e.a = path[-1] WHERE len(path) < {n} AND NOT list_contains(path, b)) SELECT path FROM w WHERE {dst} ORDER BY len(path), path LIMIT {k}"
-query("G7_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node = 10"), _nodes(m).where("node = 1"), 10, 20), _WALKS.format(src="a = 10", dst="path[-1] = 1", n=20, k=10), "edge_ids", recursive=True)
-query("G8_attack_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node % 50 = 5"), _nodes(m).where("node % 40 = 1"), 20, 20), _WALKS.format(src="a % 50 = 5", dst="path[-1] % 40 = 1", n=20, k=20), "edge_ids", recursive=True)
+query("G7_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node = 4"), _nodes(m).where("node = 101"), 10, 20), _WALKS.format(src="a = 4", dst="path[-1] = 101", n=20, k=10), "edge_ids", recursive=True)
+query("G8_attack_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node % 5 = 4"), _nodes(m).where("node % 8 = 5"), 20, 20), _WALKS.format(src="a % 5 = 4", dst="path[-1] % 8 = 5", n=20, k=20), "edge_ids", recursive=True)
 query(
     "G9_components",
     lambda m: G.components(m.edge_ids.where("a % 6 = 1")),

@@ -1 +1,75 @@
-"""To come."""
+"""Similarity operators as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import graph as G
+from lodestone.operators import similarity as S
+from lodestone.plans.registry import query
+
+_QUERY = [(-1.0) ** i * (i % 7 + 1) / 8 for i in range(64)]
+_Q = "[" + ", ".join(f"{x}::DOUBLE" for x in _QUERY) + "]"
+_DIST = f"1 - list_dot_product(embedding::DOUBLE[], {_Q}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_Q}, {_Q})))"
+_SIM = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+_PAIRS = f", p AS (SELECT a.id AS chunk_a_id, b.id AS chunk_b_id, {_SIM} AS similarity FROM chunks a JOIN chunks b ON a.repo_id = b.repo_id AND a.id < b.id), t AS (SELECT * FROM p WHERE similarity > 0.35)"
+_round = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
+
+query("V1_cosine_distance", lambda m: _round(S.nearest(m.chunks, _QUERY, 10**6), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks", "chunks")
+query("O1_vector_top_k", lambda m: _round(S.nearest(m.chunks.where("repo_id = 3"), _QUERY, 8), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks WHERE repo_id = 3 ORDER BY {_DIST}, id LIMIT 8", "chunks")
+query("V2_nearest", lambda m: _round(S.nearest(m.chunks, _QUERY, 20), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks ORDER BY {_DIST}, id LIMIT 20", "chunks")
+query("V3_degraded", lambda m: S.nearest(m.chunks.where("repo_id = 5"), _QUERY, 8).select("id", F.lit(True).alias("degraded")), f"SELECT id, TRUE AS degraded FROM (SELECT id, {_DIST} AS d FROM chunks WHERE repo_id = 5) ORDER BY d, id LIMIT 8", "chunks")
+query("V4_duplicates_exact", lambda m: _round(S.duplicate_pairs(m.chunks, 0.35), "similarity"), f"{_PAIRS} SELECT chunk_a_id, chunk_b_id, round(similarity, 6) AS similarity FROM t", "chunks")
+query("J2_self_theta", lambda m: _round(S.duplicate_pairs(m.chunks, 0.4), "similarity"), f"{_PAIRS} SELECT chunk_a_id, chunk_b_id, round(similarity, 6) AS similarity FROM p WHERE similarity > 0.4", "chunks")
+query(
+    "J3_duplicates_knn",
+    lambda m: _round(S.duplicate_pairs(m.chunks, 0.35, "knn", 2), "similarity"),
+    f"{_PAIRS}, d AS (SELECT chunk_a_id AS id, chunk_b_id AS id_b, similarity FROM p UNION ALL SELECT chunk_b_id, chunk_a_id, similarity FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, id_b) AS place FROM d) SELECT least(id, id_b) AS chunk_a_id, greatest(id, id_b) AS chunk_b_id, round(max(similarity), 6) AS similarity FROM k WHERE place <= 2 AND similarity > 0.35 GROUP BY 1, 2",
+    "chunks",
+)
+query("V5_verified_candidates", lambda m: _round(S.duplicate_pairs(m.chunks, 0.35, min_span=10), "similarity"), f"{_PAIRS} SELECT chunk_a_id, chunk_b_id, round(similarity, 6) AS similarity FROM t JOIN chunks a ON a.id = chunk_a_id JOIN chunks b ON b.id = chunk_b_id WHERE a.end_line - a.start_line + 1 >= 10 AND b.end_line - b.start_line + 1 >= 10", "chunks")
+
+
+def _clusters(m):
+    pairs = S.duplicate_pairs(m.chunks, 0.35)
+    return _round(S.duplicate_clusters(pairs, G.components(pairs, "chunk_a_id", "chunk_b_id"), m.chunks), "min_similarity", "max_similarity")
+
+
+query(
+    "A28_duplicate_clusters",
+    _clusters,
+    f"{_PAIRS}, u AS (SELECT chunk_a_id AS a, chunk_b_id AS b FROM t UNION SELECT chunk_b_id, chunk_a_id FROM t), c(a, b) AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a), g AS (SELECT a AS node, least(a, min(b)) AS component FROM c GROUP BY a), s AS (SELECT component, count(*) AS n_members, sum(end_line - start_line + 1)::BIGINT AS total_lines FROM g JOIN chunks ON id = node GROUP BY 1), e AS (SELECT component, round(min(similarity), 6) AS min_similarity, round(max(similarity), 6) AS max_similarity FROM t JOIN g ON node = chunk_a_id GROUP BY 1) SELECT *, CASE WHEN n_members >= 4 OR total_lines >= 80 THEN 'high' WHEN n_members = 3 OR total_lines >= 40 THEN 'medium' ELSE 'low' END AS severity FROM s JOIN e USING (component)",
+    "chunks",
+    recursive=True,
+)
+query("D30_cluster_severity", lambda m: _clusters(m).groupBy("severity").agg(F.count("*").alias("n")))
+query("V6_normalised_code", lambda m: m.table("pages").select("page_id", F.sha2(S.normalised_code(F.col("html")), 256).alias("form_sha256")))
+query(
+    "V7_dice",
+    lambda m: _round(S.dice_pairs(m.texts.where("n_chars < 400"), 0.6), "similarity"),
+    ", g AS (SELECT id, repo_id, file_path, content[i:i + 1] AS g, count(*) AS c FROM (SELECT id, repo_id, file_path, content, unnest(generate_series(1, length(content) - 1)) AS i FROM texts WHERE n_chars < 400) GROUP BY ALL), n AS (SELECT id, sum(c) AS n FROM g GROUP BY 1), s AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.c, b.c)) AS common FROM g a JOIN g b ON a.repo_id = b.repo_id AND a.g = b.g AND a.id < b.id AND a.file_path <> b.file_path GROUP BY 1, 2) SELECT id_a, id_b, round(2 * common / (x.n + y.n), 6) AS similarity FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * common / (x.n + y.n) > 0.6",
+    "texts",
+)
+query("V8_text_duplicates", lambda m: S.dice_pairs(m.texts.where("n_chars < 400").withColumn("content", S.normalised_code(F.col("content"))), 0.92).select("id_a", "id_b"))
+_BG = "list_distinct(list_transform(generate_series(1, length({0}) - 1), lambda i: lower({0})[i:i + 1]))"
+query(
+    "V9_fuzzy",
+    lambda m: m.table("part").select("p_partkey", F.round(S.fuzzy_score(F.lit("blu bolts"), F.col("p_name")), 6).alias("score")).where("score >= 0.2"),
+    f"WITH s AS (SELECT p_partkey, CASE WHEN contains(lower(p_name), 'blu bolts') THEN 1 ELSE 2 * len(list_intersect({_BG.format(chr(39) + 'blu bolts' + chr(39))}, {_BG.format('p_name')})) / (len({_BG.format(chr(39) + 'blu bolts' + chr(39))}) + len({_BG.format('p_name')})) END AS score FROM part) SELECT p_partkey, round(score, 6)::DOUBLE AS score FROM s WHERE round(score, 6) >= 0.2",
+)
+query("V10_levenshtein", lambda m: m.edges.select("from_path", "to_path", S.capped_levenshtein(F.col("from_path"), F.col("to_path"), 8).alias("d")), "SELECT from_path, to_path, levenshtein(right(from_path, 8), right(to_path, 8)) AS d FROM edges", "edges")
+
+
+def _cached(m):
+    cache = m.texts.where("id % 3 = 0").select(F.sha2("content", 256).alias("content_hash")).distinct()
+    return S.cache_lookup(m.texts, cache)
+
+
+query("V11_cache_hits", lambda m: _cached(m)[0].select("id"), "SELECT id FROM texts WHERE sha256(content) IN (SELECT sha256(content) FROM texts WHERE id % 3 = 0)", "texts")
+query("V11_cache_misses", lambda m: _cached(m)[1].select("id"), "SELECT min(id) AS id FROM texts WHERE sha256(content) NOT IN (SELECT sha256(content) FROM texts WHERE id % 3 = 0) GROUP BY sha256(content)", "texts")
+query("V12_relevance_guard", lambda m: _round(S.best_or_nothing(S.nearest(m.chunks, _QUERY, 30, 0.75), 0.7), "distance").select("id", "distance"), f", d AS (SELECT id, {_DIST} AS d FROM chunks), k AS (SELECT * FROM d WHERE d <= 0.75 ORDER BY d, id LIMIT 30) SELECT id, round(d, 6) AS distance FROM k WHERE (SELECT min(d) FROM k) <= 0.7", "chunks")
+query(
+    "U6_recall",
+    lambda m: m.table("conversations").groupBy("conv_id").agg(F.collect_set(F.col("turn") % 8).alias("x"), F.collect_set(F.length("text") % 8).alias("y")).select("conv_id", S.recall_at(F.col("x"), F.col("y"), 8).alias("recall")),
+    "SELECT conv_id, len(list_intersect(list(DISTINCT turn % 8), list(DISTINCT length(text) % 8))) / 8 AS recall FROM conversations GROUP BY 1",
+)
