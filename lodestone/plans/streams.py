@@ -1 +1,16 @@
-"""To come."""
+"""Streaming operators over their batch sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators.windows import within_budget
+from lodestone.plans.registry import query
+from lodestone.streaming import usage as U
+
+query("ST1_rate_limits", lambda m: U.rate_limits(m.usage, "1 hour", 2), "SELECT date_trunc('hour', created_at) AS window_start, user_id, count(*) AS requests, count(*) > 2 AS limited FROM usage GROUP BY 1, 2", "usage")
+query("ST2_daily_rollup", lambda m: U.daily_rollup(m.usage), "SELECT user_id, created_at::DATE AS usage_date, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens, count(*) AS requests FROM usage GROUP BY 1, 2", "usage")
+query("ST4_digest", lambda m: U.digest(m.notifications, "2024-01-20 14:00:00", 9, F.when(F.col("user_id") % 2 == 0, "America/New_York").otherwise("UTC")), "SELECT user_id, count(*) AS n_unread FROM notifications WHERE user_id % 2 = 0 AND read_at IS NULL AND created_at >= TIMESTAMP '2024-01-19 14:00:00' AND created_at < TIMESTAMP '2024-01-20 14:00:00' GROUP BY 1", "notifications")
+query("ST6_folded", lambda m: U.folded(m.table("conversations"), ["conv_id", "role"], "turn", "text").select("conv_id", "role", F.sha2("text", 256).alias("h")), "SELECT conv_id, role, sha256(string_agg(text, '' ORDER BY turn)) AS h FROM conversations GROUP BY 1, 2")
+query("ST7_escalated", lambda m: U.escalated(m.notifications, "error", 15), "SELECT user_id, count(*) AS n FROM notifications WHERE type = 'error' GROUP BY 1 HAVING count(*) >= 15", "notifications")
+query("ST8_token_cap", lambda m: within_budget(m.usage, ["user_id"], ["created_at", "event_id"], F.col("prompt_tokens"), 5000, first_always=False).groupBy("user_id").agg(F.count("*").alias("n")), ", s AS (SELECT user_id, sum(prompt_tokens) OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS s FROM usage) SELECT user_id, count(*) AS n FROM s WHERE s <= 5000 GROUP BY 1", "usage")
