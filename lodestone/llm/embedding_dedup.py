@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import written
-from lodestone.llm.components import components
+from lodestone.operators.graph import components
 
 #: Nodes of a shard, in expectation and before overlap; shards that a node joins; sampled nodes for each centroid.
 SHARD, OVERLAP, SAMPLE = 700, 3, 24

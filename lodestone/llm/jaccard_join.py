@@ -27,16 +27,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._shared import written
 from lodestone.llm._text import SPACED, Words, blocks, grams, mix64
-from lodestone.llm.components import components
+from lodestone.operators.graph import components
 
 #: Words of a shingle and the least similarity, as a fraction, unless a caller says otherwise.
 SHINGLE, LEAST = 5, (80, 100)
-#: Rows of a tile that are compared at once with the rest of it.
-TILE_ROWS = 256
 #: Address bits of the largest bitmap of wanted documents (16 MiB).
 MAX_BITS = 27
 #: Bits of a bitmap for each shingle of the largest set in its band, and the largest bitmap.
-BITMAP_LOAD, BITMAP_MAX = 2, 1 << 16
+BITMAP_LOAD, BITMAP_MAX = 4, 1 << 17
 
 
 class Bands:
@@ -299,10 +297,10 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
         width = min(map(len, maps))
         maps = np.stack([fold(m, width) for m in maps])
         for i in range(len(nodes) - 1):
-            rest = slice(i + 1, None)
-            ok = (parts[rest] != parts[i]) & may_link(maps[i], maps[rest], sizes[i], sizes[rest], num, den)
-            if ok.any():
-                yield np.full(int(ok.sum()), nodes[i]), nodes[rest][ok]
+            rest = i + 1 + np.flatnonzero(parts[i + 1 :] != parts[i])
+            rest = rest[may_link(maps[i], maps[rest], sizes[i], sizes[rest], num, den)] if len(rest) else rest
+            if len(rest):
+                yield np.full(len(rest), nodes[i]), nodes[rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
