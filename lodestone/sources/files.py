@@ -22,8 +22,9 @@ def scan_folder(spark: SparkSession, root: str, extensions: tuple[str, ...] = SO
     return own.select(relative.alias("file_path"), F.decode("content", "UTF-8").alias("content"))
 
 
-def scan_archives(spark: SparkSession, path: str, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, max_bytes: int = 64 << 20) -> DataFrame:
-    """(archive, file_path, content) of the members of ZIP files; members over ``max_bytes`` have a null content."""
+def unpack(archives: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, max_bytes: int = 64 << 20) -> DataFrame:
+    """(archive, file_path, content) of the members of ZIP files (path, content); members over ``max_bytes`` have a null
+    content."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -34,8 +35,12 @@ def scan_archives(spark: SparkSession, path: str, extensions: tuple[str, ...] =
                             text = z.read(info).decode("utf-8", "replace") if info.file_size <= max_bytes else None
                             yield pd.DataFrame({"archive": [archive], "file_path": [info.filename], "content": [text]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInPandas(run, "archive string, file_path string, content string")
+    return archives.select("path", "content").mapInPandas(run, "archive string, file_path string, content string")
+
+
+def scan_archives(spark: SparkSession, path: str, extensions: tuple[str, ...] = SOURCE_EXTENSIONS) -> DataFrame:
+    """The members of all ZIP files in a folder."""
+    return unpack(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), extensions)
 
 
 def export_csv(df: DataFrame, path: str, digits: int = 2) -> None:
