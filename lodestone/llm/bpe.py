@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm._text import blocks, span_hashes
 
 #: Pre-tokens whose ids a worker remembers; when full it starts afresh, which changes speed and not results.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Patterns whose pre-tokens hold white space only at their start or throughout (fixed values).
 WHITE_SPACE_ENDS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 #: Longest pre-token, in characters, that is remembered.

@@ -7,8 +7,9 @@ only sets that meet on a key are compared. Before the exact intersection of sort
 the overlap from above: bits that one set has and the other lacks are shingles that they don't share.
 
 Exact copies are one node from the start. Large groups of near copies are not paired off: a first pass compares each
-member with one centre per key, links join into components, a second pass takes another centre for keys that still span
-components, and only pairs of such keys that remain across components are compared through their bitmaps, tile by tile.
+node with one centre, links join into components, a second pass compares the nodes of keys that still span components
+with two centres of each key, and only pairs of such keys that remain across components are compared through their
+bitmaps, tile by tile.
 Pairs within one component need no comparison, since a component is what is asked for; no link between components is lost.
 
 Shingles are 64-bit hashes. Null, empty and wordless texts have the empty set and link with nothing. Fewer words than a
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import written
+from lodestone.llm._shared import release, written
 from lodestone.llm._text import SPACED, Words, blocks, grams, mix64
 from lodestone.operators.graph import components
 
@@ -325,11 +326,14 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """(id, n_shingles, component_id) for each row: component_id is the least id that links reach."""
     num, den = least
+    spark = docs.sparkSession
     members = written(_members(docs, id_col, text_col, shingle), "members")
     met = written(_met(_keys(docs, text_col, shingle, num, den)), "met-keys")
+    release(spark)
     wanted = members.where("n > 0").groupBy("node").agg(F.min("__key").alias("__key"))
-    wanted = wanted.join(met.select("node").distinct(), "node")
+    wanted = written(wanted.join(met.select("node").distinct(), "node"), "wanted")
     sets = written(_sets_of(docs, wanted, id_col, text_col, shingle, num, den).dropDuplicates(["node"]), "sets")
+    release(spark)
 
     def spanning(groups: DataFrame) -> DataFrame:
         """Rows of keys whose nodes are in more than one component, with the component."""
@@ -340,17 +344,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    links = written(_verified(met.where("node <> centre").select(*pair("node", "centre")).distinct(), sets, num, den), "star")
+    # first one centre for each node, which joins most of what belongs together
+    one = met.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
+    links = written(_verified(one.select(*pair("node", "centre")).distinct(), sets, num, den), "star")
+    release(spark)
     rest = spanning(components(links))
     if not rest.isEmpty():
-        other = rest.groupBy("key").agg(F.max(F.struct(F.xxhash64("node"), F.col("node").alias("node"), F.col("component").alias("component"))).alias("top"))
-        other = other.select("key", F.col("top.node").alias("centre2"), F.col("top.component").alias("component2"))
-        again = rest.join(other, "key").where("component <> component2 and centre2 <> centre and node <> centre").select(*pair("node", "centre2")).distinct()
-        links = links.unionByName(written(_verified(again, sets, num, den), "star"))
+        # then, for keys that still span components, their centre and another one
+        home = rest.groupBy("key").agg(F.max(F.struct(F.xxhash64("node"), F.col("node").alias("node"), F.col("component").alias("component"))).alias("top"), F.min(F.when(F.col("node") == F.col("centre"), F.col("component"))).alias("component1"))
+        home = home.select("key", "component1", F.col("top.node").alias("centre2"), F.col("top.component").alias("component2"))
+        both = rest.join(home, "key")
+        again = both.where("component <> component1").select(*pair("node", "centre")).unionByName(both.where("component <> component2").select(*pair("node", "centre2"))).distinct()
+        done = one.select(*pair("node", "centre")).distinct()
+        links = links.unionByName(written(_verified(again.join(done, ["a", "b"], "left_anti"), sets, num, den), "star"))
+        release(spark)
         rest = spanning(components(links))
         if not rest.isEmpty():
             open_rows = rest.select("key", "node", "component").join(sets.select("node", "n", "bits"), "node").select("key", "node", "component", "n", "bits")
             links = links.unionByName(written(_verified(_across(open_rows, num, den).distinct(), sets, num, den), "across"))
+            release(spark)
     groups = components(links).withColumnRenamed("node", "node_")
     named = members.where("n > 0").join(groups, F.col("node") == F.col("node_"), "left").select("__id", "n", F.coalesce("component", "node").alias("c"))
     first = named.groupBy("c").agg(F.min("__id").alias("component_id")).withColumnRenamed("c", "c_")
