@@ -1,10 +1,14 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors are one node. The nodes of a label go to overlapping shards, those of their nearest centroids. Each shard
-builds a graph: every node keeps near neighbours that no kept one already stands for (robust pruning). The adjacency
-lists of all shards are united by node, and every node searches greedily in its shards from the shard's medoid and its
-own lists: a fixed number of steps, and then on for as long as it meets nodes within range. What is in range is
-verified by cosine in double precision, so no link below the threshold is ever made; ``audit`` measures recall.
+Equal vectors are one node. The nodes of a label go to overlapping shards, those of their nearest centroids; the nearest
+is a node's home. Each shard builds a graph: every node keeps near neighbours that no kept one already stands for (robust
+pruning). Edges of all shards are united by node, and searches follow them out of the shard, round by round: a node first
+visits its own shards, then every shard that is home to a graph neighbour of something it found, until no search has
+a shard left to visit. Who is found visits the finder's home in turn, so links hold in both directions.
+
+A visit compares the visitor with all nodes at home in the shard, by cosine in double precision; so no link below the
+threshold is ever made, and none is counted twice. Links are counted where they are found; only those that connect
+a shard's finds are written, at most one for each visit and node. ``audit`` measures recall.
 
 Centroids are fitted on a bounded sample (``SAMPLE`` nodes for each centroid); every node is indexed. Vectors that are
 null, empty, zero, or hold null or non-finite components, and rows without a label, link with nothing and keep their
@@ -29,10 +33,8 @@ SHARD, OVERLAP, SAMPLE = 700, 3, 24
 MAX_CENTROIDS = 1 << 14
 #: Kept neighbours, candidates that pruning looks at, and how much nearer a kept neighbour must be to stand for another.
 DEGREE, CANDIDATES, ALPHA = 24, 96, 1.2
-#: Greedy steps before only the range matters, and how far outside the range a node is still expanded (cosine).
-STEPS, SLACK = 24, 0.04
-#: Queries that search at once.
-BLOCK = 256
+#: Visitors that are compared at once; at most about so many visitors, and nodes at home, in a task.
+BLOCK, VISITORS = 1024, 8192
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -81,40 +83,62 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     return merged
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, found) positions: what each row of ``x`` finds within range over the graph, itself aside."""
-    n, width = len(x), max(map(len, lists), default=0)
-    if n < 2 or not width:
-        return
-    table = np.tile(np.arange(n)[:, None], (1, width))  # padded with the node itself
-    for i, own in enumerate(lists):
-        table[i, : len(own)] = own
-    for a in range(0, n, BLOCK):
-        q = np.arange(a, min(a + BLOCK, n))
-        seen = np.full((len(q), n), -2.0)
-        todo = np.full((len(q), n), -2.0)  # similarities of nodes that wait to be expanded
-        entry = np.append(starts, 0)
-        for k in range(len(entry)):
-            at = np.full(len(q), entry[k]) if k < len(starts) else q
-            seen[np.arange(len(q)), at] = todo[np.arange(len(q)), at] = (x[q] * x[at]).sum(axis=1)
-        rows, step = np.arange(len(q)), 0
-        while len(rows):
-            pick = todo[rows].argmax(axis=1)
-            value = todo[rows, pick]
-            go = (value > -2) & ((step < STEPS) | (value >= least - SLACK))
-            rows, pick = rows[go], pick[go]
-            if not len(rows):
-                break
-            todo[rows, pick] = -2
-            nbrs = table[pick]
-            sims = np.einsum("qd,qrd->qr", x[q[rows]], x[nbrs])
-            r = np.repeat(rows, nbrs.shape[1]).reshape(nbrs.shape)
-            fresh = seen[r, nbrs] == -2
-            seen[r[fresh], nbrs[fresh]] = todo[r[fresh], nbrs[fresh]] = sims[fresh]
-            step += 1
-        seen[np.arange(len(q)), q] = -2
-        hit = np.nonzero(seen >= least)
-        yield q[hit[0]], hit[1]
+def _member(lists: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Which of the sorted values each list holds."""
+    out = np.zeros((len(lists), len(values)), dtype=bool)
+    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
+    if len(flat) and len(values):
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        held = values[at] == flat
+        out[row[held], at[held]] = True
+    return out
+
+
+def _connect(hits: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(row, column) hits that connect what ``hits`` connects; ``label`` of the columns is kept up to date."""
+    for i in np.flatnonzero(hits.any(axis=1)):
+        at = np.flatnonzero(hits[i])
+        groups, first = np.unique(label[at], return_index=True)
+        for k in at[first]:
+            yield i, k
+        if len(groups) > 1:
+            label[np.isin(label, groups)] = groups[0]
+
+
+def visit(home: pd.DataFrame, visitors: pd.DataFrame, least: float) -> pd.DataFrame:
+    """What visitors of a shard find among the nodes at home there.
+
+    Rows (node, n, next) have a node's number of finds, copies included, and the shards it has yet to visit; rows
+    (node, other) are links that connect the finds.
+    """
+    if not len(home) or not len(visitors):
+        return pd.DataFrame({"node": [], "n": [], "next": [], "other": []})
+    ids, x, copies = home["node"].to_numpy(), _unit(home["vec"]), home["copies"].to_numpy()
+    order, label = np.argsort(ids), np.arange(len(ids))
+    shards = np.unique(np.concatenate([*home["edges"], *visitors["edges"]]).astype(np.int64))
+    edges = _member(list(home["edges"]), shards).astype(np.float32)
+    homes = np.unique(visitors["home"].to_numpy())
+    called = np.zeros((len(ids), len(homes)), dtype=bool)
+    parts, links = [], []
+    for a in range(0, len(visitors), BLOCK):
+        own = visitors.iloc[a : a + BLOCK]
+        q = own["node"].to_numpy()
+        hits = _unit(own["vec"]) @ x.T >= least
+        at = order[np.minimum(np.searchsorted(ids, q, sorter=order), len(ids) - 1)]
+        same = ids[at] == q
+        hits[np.flatnonzero(same), at[same]] = False
+        found = hits.astype(np.float32)
+        ahead = (found @ edges > 0) | _member(list(own["edges"]), shards)
+        ahead &= ~_member(list(own["seen"]), shards)
+        parts.append(pd.DataFrame({"node": q, "n": hits @ copies, "next": [shards[row] for row in ahead]}))
+        called |= (found.T @ (own["home"].to_numpy()[:, None] == homes).astype(np.float32)) > 0
+        links += [(q[i], ids[k]) for i, k in _connect(hits, label)]
+    called &= ~_member(list(home["seen"]), homes)
+    parts.append(pd.DataFrame({"node": ids, "n": 0, "next": [homes[row] for row in called]}))
+    out = pd.concat(parts, ignore_index=True)
+    out = out[(out["n"] > 0) | (out["next"].map(len) > 0)].assign(other=None)
+    return pd.concat([out, pd.DataFrame({"node": [i for i, _ in links], "n": None, "next": None, "other": [k for _, k in links]})], ignore_index=True).astype({"n": "Int64", "other": "Int64"})
 
 
 def valid(vector: Column) -> Column:
@@ -164,44 +188,51 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             for g, own in frame.groupby("grp"):
                 c = shared.value.get(g)
                 if c is None:
-                    yield own[["grp", "node", "vec"]].assign(shard=0)
+                    yield own[["grp", "node", "vec", "copies"]].assign(shard=0, home=0)
                     continue
                 order = np.argsort(-(_unit(own["vec"]) @ c.T), axis=1)[:, :OVERLAP]
                 for k in range(order.shape[1]):
-                    yield own[["grp", "node", "vec"]].assign(shard=order[:, k])
+                    yield own[["grp", "node", "vec", "copies"]].assign(shard=order[:, k], home=order[:, 0])
 
-    placed = written(nodes.mapInPandas(assign, "grp string, node long, vec array<double>, shard long"), "shards")
+    placed = written(nodes.mapInPandas(assign, "grp string, node long, vec array<double>, copies long, shard long, home long"), "shards")
+
+    #: Two nodes within range of a third are within twice its angle of each other: longer edges lead to no link.
+    close = 2 * least * least - 1 if least > 0 else -1.0
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["node"].to_numpy()
-        lists = build_graph(_unit(frame["vec"]))
-        x = _unit(frame["vec"])
-        medoid = int((x @ x.mean(axis=0)).argmax())
-        return pd.DataFrame({"node": ids, "nbrs": [ids[own] for own in lists], "grp": frame["grp"], "shard": frame["shard"], "medoid": ids[medoid]})
-
-    graph = written(placed.groupBy("grp", "shard").applyInPandas(build, "node long, nbrs array<long>, grp string, shard long, medoid long"), "graph")
-    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-    medoids = graph.select("grp", "shard", "medoid").distinct()
-    ready = placed.join(united, "node").join(medoids, ["grp", "shard"])
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["node"].to_numpy()
-        order = np.argsort(ids)
-        lists = []
-        for nbrs in frame["nbrs"]:
-            at = np.searchsorted(ids, nbrs, sorter=order)
-            at = order[np.minimum(at, len(ids) - 1)]
-            lists.append(at[ids[at] == nbrs])
-        x = _unit(frame["vec"])
-        start = np.flatnonzero(ids == frame["medoid"].iloc[0])
-        found = [(ids[a], ids[b]) for a, b in range_search(x, lists, start, least)]
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    links = written(ready.groupBy("grp", "shard").applyInPandas(search, "a long, b long").distinct(), "links")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = nodes.select(F.col("node").alias("b"), "copies")
-    counts = ends.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
+        x, home = _unit(frame["vec"]), frame["home"].to_numpy()
+        edges = [np.unique(home[own[x[own] @ x[i] >= close - 1e-9]]) for i, own in enumerate(build_graph(x))]
+        return pd.DataFrame({"node": frame["node"], "edges": edges})
+
+    # k-means may leave most of a dense group in one shard: its graph is built in parts, while visits cover all of it
+    deal = placed.groupBy("grp", "shard").agg(F.ceil(F.count("*") / (2 * OVERLAP * SHARD)).alias("parts"))
+    dealt = placed.join(deal, ["grp", "shard"]).withColumn("part", F.pmod(F.xxhash64("node", "shard"), "parts"))
+    graph = dealt.groupBy("grp", "shard", "part").applyInPandas(build, "node long, edges array<long>")
+    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
+    index = written(placed.where("shard = home").drop("shard").join(united, "node"), "graph")
+    rooms = written(index.groupBy("grp", F.col("home").alias("shard")).agg(F.ceil(F.count("*") / VISITORS).alias("rooms")), "rooms")
+    state = placed.groupBy("node").agg(F.collect_set("shard").alias("seen")).select("node", "seen", F.col("seen").alias("fresh"), F.lit(0).cast("long").alias("others"))
+    state, links = written(state, "state"), None
+    while True:
+        going = state.where("size(fresh) > 0").select("node", "seen", F.explode("fresh").alias("shard"))
+        going = going.join(index, "node")
+        load = going.groupBy("grp", "shard").agg(F.ceil(F.count("*") / VISITORS).alias("parts")).join(rooms, ["grp", "shard"])
+        visitors = going.join(load, ["grp", "shard"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("room", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rooms") - 1)))
+        home = index.withColumn("shard", F.col("home")).join(load, ["grp", "shard"]).join(state.select("node", "seen"), "node")
+        home = home.withColumn("room", F.pmod(F.xxhash64("node", F.lit(1)), "rooms")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        keys, columns = ["grp", "shard", "part", "room"], ["node", "vec", "copies", "home", "edges", "seen"]
+        home = home.select(*[F.col(c).alias(c) for c in (*keys, *columns)])  # names of its own beside the visitors
+        pairs = home.groupBy(*keys).cogroup(visitors.select(*keys, *columns).groupBy(*keys))
+        found = written(pairs.applyInPandas(lambda h, v: visit(h, v, least), "node long, n long, next array<long>, other long"), "visits")
+        own = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        links = own if links is None else links.unionByName(own)
+        news = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+        fresh = F.array_except(F.coalesce("next", F.array().cast("array<long>")), "seen")
+        state = state.drop("fresh").join(news, "node", "left").select("node", F.array_union("seen", fresh).alias("seen"), fresh.alias("fresh"), (F.col("others") + F.coalesce("n", F.lit(0))).alias("others"))
+        state = written(state, "state")
+        if state.where("size(fresh) > 0").isEmpty():
+            break
+    counts = state.select(F.col("node").alias("a"), "others")
     groups = components(links)
     n = nodes.select("node", "copies").join(counts.withColumnRenamed("a", "node"), "node", "left").join(groups, "node", "left")
     n = n.select(F.col("node").alias("node_"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
