@@ -15,7 +15,7 @@ _SIM = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(li
 _PAIRS = f", p AS (SELECT a.id AS chunk_a_id, b.id AS chunk_b_id, {_SIM} AS similarity FROM chunks a JOIN chunks b ON a.repo_id = b.repo_id AND a.id < b.id), t AS (SELECT * FROM p WHERE similarity > 0.35)"
 _round = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
 
-query("V1_cosine_distance", lambda m: _round(S.nearest(m.chunks, _QUERY, 10**6), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks", "chunks")
+query("V1_cosine_distance", lambda m: _round(m.chunks.select("id", S.cosine_distance(F.col("embedding"), F.array(*map(F.lit, _QUERY))).alias("distance")), "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks", "chunks")
 query("O1_vector_top_k", lambda m: _round(S.nearest(m.chunks.where("repo_id = 3"), _QUERY, 8), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks WHERE repo_id = 3 ORDER BY {_DIST}, id LIMIT 8", "chunks")
 query("V2_nearest", lambda m: _round(S.nearest(m.chunks, _QUERY, 20), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks ORDER BY {_DIST}, id LIMIT 20", "chunks")
 query("V3_degraded", lambda m: S.nearest(m.chunks.where("repo_id = 5"), _QUERY, 8).select("id", F.lit(True).alias("degraded")), f"SELECT id, TRUE AS degraded FROM (SELECT id, {_DIST} AS d FROM chunks WHERE repo_id = 5) ORDER BY d, id LIMIT 8", "chunks")
