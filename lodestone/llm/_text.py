@@ -1,12 +1,13 @@
 """Vectorised reading of Arrow string batches as UTF-8 bytes: words, their 64-bit hashes, and byte features.
 
 A word is a run of bytes that a 256-entry table marks as word bytes; every non-ASCII byte is one, so a table of
-ASCII separators works on UTF-8 without decoding. Hashes are polynomials modulo 2**64 over an odd base followed by a
-finalising mix, computed for all words of a block with prefix sums.
+ASCII separators works on UTF-8 without decoding. A hash mixes each lane of eight bytes under a key of its own and adds
+the lanes up; no text is known that collides by its structure, and chance collisions of 64 bits are as rare as they are.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,32 +16,6 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
 
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    up = _powers(_R, 1 << 16)
-    down = _powers(_R_INV, 1 << 16)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            cls.up, cls.down = _powers(_R, size), _powers(_R_INV, size)
-        return cls.up[:n], cls.down[:n]
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (multiply and xor-shift)."""
     with np.errstate(over="ignore"):
@@ -51,17 +26,61 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+#: Of each count of bytes, the bits of a lane that they fill.
+_LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_LANE_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans in lanes of eight bytes: (lanes, number of each lane in its span, first lane of each span).
+
+    The last lane of a span is filled up with zeros. An empty span has one empty lane.
+    """
+    sizes = ends - starts
+    each = np.maximum((sizes + 7) >> 3, 1)
+    upto = np.cumsum(each)
+    first = upto - each
+    padded = np.empty(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    padded[len(data) :] = 0
+    windows = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    if len(each) == 0 or int(each.max()) == 1:
+        return windows[starts] & _LANE_MASKS[sizes], np.zeros(len(sizes), np.int64), first
+    number = np.arange(int(upto[-1])) - np.repeat(first, each)
+    out = windows[np.repeat(starts, each) + (number << 3)]
+    last = upto - 1
+    out[last] &= _LANE_MASKS[sizes - ((each - 1) << 3)]
+    return out, number, first
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
-    n = len(data)
-    up, down = _Powers.of(n + 1)
+    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand.
+
+    Each lane is mixed by itself under a key of its number before lanes are added, so no run of bytes cancels another's.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
+        own, number, first = lanes(data, starts, ends)
+        h = mix64(own ^ (number + 1).astype(np.uint64) * _LANE_STEP)
+        if len(h) > len(starts):
+            h = np.add.reduceat(h, first)
         return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span holds the very bytes of span number ``other``."""
+    out = (ends - starts) == (ends - starts)[other]
+    own, number, first = lanes(data, starts, ends)
+    each = np.diff(np.append(first, len(own)))
+    span = np.repeat(np.arange(len(starts)), each)
+    there = np.minimum(first[other][span] + number, len(own) - 1)
+    differ = own[there] != own
+    if differ.any():
+        out[span[differ]] = False
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length n + 1) of a string column; a null counts as an empty text."""
     column = column.cast(pa.large_binary()) if column.type != pa.large_binary() else column
@@ -87,6 +106,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             first = last
 
 
+def settle() -> None:
+    """Hand free memory back at the end of a task: a worker lives on, and its allocators would keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Maps A-Z to a-z and leaves other bytes alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -20,14 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodestone.llm._text import blocks, span_hashes
-
-#: Pre-tokens whose ids a worker remembers; when full it starts afresh, which changes speed and not results.
-REMEMBERED = 1 << 17
-#: Patterns whose pre-tokens hold white space only at their start or throughout (fixed values).
-WHITE_SPACE_ENDS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
-#: Longest pre-token, in characters, that is remembered.
-REMEMBERED_CHARS = 64
+from lodestone.llm._text import blocks, same_spans, settle, span_hashes
+
+#: Pre-tokens in each of the two generations that a task remembers, and the longest of them in bytes.
+REMEMBERED, REMEMBERED_BYTES = 1 << 17, 64
+#: Patterns (fixed values) whose pre-tokens ``split_by_kind`` finds; others go through the pattern itself.
+SPLIT_BY_KIND = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 #: Positions in a bucket from which they are merged together.
 TOGETHER = 48
 #: Bytes of text that a worker encodes at once; a longer text goes alone.
@@ -71,6 +69,67 @@ class RankQueue:
         return rank, bucket
 
 
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: letter, number, white space or other, as the pattern engine has it."""
+    out = np.full(0x110000, _OTHER, dtype=np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, cls in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+        for run in regex.findall(cls, every):
+            out[np.frombuffer(run.encode("utf-32-le"), dtype="<u4")] = kind
+    return out
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of valid UTF-8, and the byte at which each starts."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int32)
+    wide = np.flatnonzero(lead >= 0xC0)
+    if len(wide):
+        padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+        x, w = lead[wide], at[wide]
+        b, c, d = (padded[w + k] & 0x3F for k in (1, 2, 3))
+        two, three = (x & 0x1F) << 6 | b, (x & 0x0F) << 12 | b << 6 | c
+        lead[wide] = np.where(x < 0xE0, two, np.where(x < 0xF0, three, (x & 0x07) << 18 | b << 12 | c << 6 | d))
+    return lead, at
+
+
+def split_by_kind(data: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Starts of pre-tokens under the pattern in ``SPLIT_BY_KIND``: runs of one kind, each with one blank before it.
+
+    ``opens``: first bytes of the texts. Of a run of white space, the last character goes by itself unless the text ends
+    there, and to the next pre-token if it is a blank. An apostrophe takes the letters of a contraction.
+    """
+    points, at = code_points(data)
+    n = len(points)
+    kind = _kinds()[points]
+    fresh = np.zeros(n + 1, dtype=bool)  # where a text starts
+    fresh[np.searchsorted(at, opens)] = True
+    fresh[n] = True
+    cut = fresh.copy()
+    cut[1:n] |= kind[1:] != kind[:-1]
+    space = kind == _SPACE
+    last = space & cut[1:] & ~fresh[1:]  # the last character of a run that more text follows
+    cut[:n] |= last
+    joins = np.flatnonzero(last & (points == 32))
+    cut[joins + 1] = False
+    quote = np.flatnonzero((points[:-1] == 39) & cut[: n - 1] & ~fresh[1:n] & (kind[1:] == _LETTER)) if n > 1 else joins[:0]
+    if len(quote):
+        a = points[quote + 1]
+        more = quote + 2
+        inside = ~fresh[more]
+        b = np.where(inside, points[np.minimum(more, n - 1)], 0)
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        two = ~one & (((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l"))))
+        cut[quote[one | two] + 1] = False
+        cut[quote[one] + 2] = True
+        cut[quote[two] + 3] = True
+    return at[np.flatnonzero(cut[:n])]
+
+
 class BytePairCodec:
     """Ranks by token bytes (a token's rank is its id); ``encode_*`` give ids, ``decode_packed`` gives bytes."""
 
@@ -86,11 +145,10 @@ class BytePairCodec:
         splits.sort()
         self.pair_keys = np.array([k for k, _ in splits] or [-1], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in splits] or [-1], dtype=np.int32)
-        #: ids by a chunk's bytes, for patterns known to end pre-tokens at white space
-        self.words: dict[bytes, bytes] = {}
-        self.chunked = pattern in WHITE_SPACE_ENDS
+        #: ids by pre-token: those met lately, and those met before that
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.queue = RankQueue(max(ranks.values(), default=0))
-        self.seen: dict[str, bytes] = {}
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
         self.double = np.full(65536, -1, dtype=np.int32)
         for token, rank in ranks.items():
@@ -218,79 +276,77 @@ class BytePairCodec:
                 first = k
         return True
 
-    def encode_fresh(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of texts, by the pattern; pre-tokens met before are looked up."""
-        seen, split, known = self.seen, self.pattern.findall, self.ranks
-        pieces = [split(t) for t in chunks]
-        if len(seen) > REMEMBERED // 2:
-            seen.clear()
-        fresh = {p: p.encode("utf-8") for own in pieces for p in own if p not in seen}
-        codes = {p: struct.pack("<I", known[raw]) for p, raw in fresh.items() if raw in known}
-        rest = [(p, raw) for p, raw in fresh.items() if p not in codes]
-        codes.update(zip([p for p, _ in rest], self.encode_pieces([raw for _, raw in rest])))
-        seen.update(codes)
-        out = [b"".join(map(seen.__getitem__, own)) for own in pieces]
-        for p in codes:
-            if len(p) > REMEMBERED_CHARS:
-                del seen[p]
+    def encode_distinct(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pre-tokens; those met before are looked up."""
+        young, old, known = self.young, self.old, self.ranks
+        out = list(map(young.get, pieces))
+        missed = [k for k, ids in enumerate(out) if ids is None]
+        rest = []
+        for k in missed:
+            p = pieces[k]
+            ids = old.get(p)
+            if ids is None and (rank := known.get(p)) is not None:
+                ids = struct.pack("<I", rank)
+            if ids is None:
+                rest.append(k)
+            out[k] = ids
+        for k, ids in zip(rest, self.encode_pieces([pieces[k] for k in rest])):
+            out[k] = ids
+        if len(young) + len(missed) > REMEMBERED:
+            self.old, self.young = young, {}
+            young = self.young
+        for k in missed:
+            if len(pieces[k]) <= REMEMBERED_BYTES:
+                young[pieces[k]] = out[k]
         return out
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of the pre-tokens of all texts; a text that isn't empty starts one."""
+        opens = offsets[:-1][np.diff(offsets) > 0]
+        if self.pattern.pattern in SPLIT_BY_KIND:
+            return split_by_kind(data, opens)
+        raw, starts, split = data.tobytes(), [], self.pattern.finditer
+        for a, b in zip(opens.tolist(), np.append(opens[1:], len(data)).tolist()):
+            text = raw[a:b].decode("utf-8")
+            at, cuts = 0, []
+            for m in split(text):
+                if m.start() != at:
+                    raise ValueError("the pattern leaves bytes out")
+                cuts.append(at)
+                at = m.end()
+            if at != len(text):
+                raise ValueError("the pattern leaves bytes out")
+            wide = np.cumsum(np.append(0, [len(c.encode("utf-8")) for c in text])) if len(text) < b - a else None
+            starts.append(a + (np.array(cuts) if wide is None else wide[cuts]))
+        return np.concatenate(starts) if starts else np.zeros(0, np.int64)
+
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Packed ids of the texts that lie in ``data`` between ``offsets``.
+        """Packed ids of the texts that lie in ``data`` between ``offsets``; each distinct pre-token is encoded once.
 
-        A pre-token of this family of patterns never runs from a visible character into white space. So a text splits
-        before each space and line break into chunks; each distinct chunk of the block is looked up or encoded once. A
-        text with a chunk whose split depends on its neighbours (white space next to white space) goes whole.
+        Pre-tokens are told apart by hashes whose equality their bytes confirm.
         """
-        n = len(offsets) - 1
-        out = [b""] * n
-        if not self.chunked:
-            return self.encode_fresh([data[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1], offsets[1:])])
         if not len(data):
-            return out
-        opens = (data == 32) | (data == 10)
-        opens[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(opens)
+            return [b""] * (len(offsets) - 1)
+        starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        words, codes, fresh = self.words, [], []
-        if len(words) > REMEMBERED:
-            words.clear()
+        odd = np.flatnonzero(~same_spans(data, starts, ends, first[which]))
+        which[odd] = len(first) + np.arange(len(odd))
+        first = np.append(first, odd)
         raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        codes = list(map(words.get, keys))
-        for k, ids in enumerate(codes):
-            if ids is None:
-                fresh.append(k)
-        chunks = [keys[k].decode("utf-8") for k in fresh]
-        alone = np.ones(len(keys), dtype=bool)
-        plain = []
-        for k, w in zip(fresh, chunks):
-            if w[-1].isspace() or w[0] in " \n" and w[1].isspace() or w[0].isspace() and w[0] not in " \n":
-                alone[k], codes[k] = False, b""
-            else:
-                plain.append((k, w))
-        for (k, w), ids in zip(plain, self.encode_fresh([w for _, w in plain])):
-            codes[k] = ids
-            if len(w) <= REMEMBERED_CHARS:
-                words[keys[k]] = ids
+        codes = self.encode_distinct([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
         flat = np.frombuffer(b"".join(codes), dtype="<u4")
-        sizes = np.array([len(c) // 4 for c in codes])
+        sizes = np.array([len(c) >> 2 for c in codes])
         begins = np.cumsum(sizes) - sizes
         each = sizes[which]
         upto = np.cumsum(each)
         ids = flat[np.repeat(begins[which] - upto + each, each) + np.arange(upto[-1])]
-        bounds = np.searchsorted(starts, offsets, side="left")
-        at = np.append(0, upto)[bounds]
+        cuts = (np.append(0, upto)[np.searchsorted(starts, offsets, side="left")] * 4).tolist()
         packed = ids.tobytes()
-        cuts = (at * 4).tolist()
-        out = [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        if not alone.all():
-            broken = np.append(0, np.cumsum(~alone[which]))[bounds]
-            whole = np.flatnonzero(np.diff(broken)).tolist()
-            for i, code in zip(whole, self.encode_fresh([raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in whole])):
-                out[i] = code
-        return out
+        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -334,6 +390,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             if decoded:
                 columns.append(pa.array([own.decode_packed(x) for x in packed], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids", "decoded"][: len(columns)])
+        own.forget()
+        settle()
 
     return kept.mapInArrow(run, schema)
 
