@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +150,10 @@ class Words:
         self.low, self.starts, self.ends = low, at[0::2], at[1::2]
         self.bounds = np.searchsorted(self.starts, offsets, side="left")
         self.bounds[-1] = len(self.starts)
-        self.hashes = span_hashes(low, self.starts, self.ends)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.low, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)

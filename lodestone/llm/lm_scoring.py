@@ -1,68 +1,80 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its words, A-Z lower-cased, each followed by a blank, and one end mark. Every byte of that stream is coded as
-the bits of a Huffman code, and each bit is predicted by several tables of bit counts that hashed contexts address: the
-last two bytes, the last four, and the word so far. Their predictions meet in the logistic domain, under weights that a
-gate selects by how much the longer contexts have seen; along a text the weights are refined after each chunk from its
-coding errors. The sum over bits is the text's log probability. Every text starts from the same model, so its score
-doesn't depend on where it is processed.
-
-Learning: word counts, the byte histogram and the bit counts cover all training texts and are summed by grouped
-aggregation; only the starting weights are tuned, on a bounded sample (``TUNING``) that the bit tables leave out. The
-tables have a fixed number of slots. Word counts grow with the corpus: counts of the most frequent words (at most
-``TOP_WORDS``) travel to the executors, all other words meet theirs in a shuffled join.
-
-A null text is empty: it has the end token alone. Words are 64-bit hashes. Without training texts counts are 0, tables
-predict evenly, and scores are those of the untrained code.
+the bits of a Huffman code (one for each byte before it), and each bit is predicted by tables of bit counts that hashed
+contexts address: the last two bytes, the last four, and the word so far. Their predictions meet in the logistic domain,
+under weights that a gate selects by how much the longer contexts have seen. Along a text the weights are refined from the
+coding errors, first after ``FIRST`` symbols and then at doubling distances up to ``CHUNK``. Every text starts from the same
+weights, so its score doesn't depend on where it is processed.
+
+Tables of a fixed size can't remember passages, so the corpus also gives the counts of its segments: runs of words that
+end where a hash of two words says so, ``SEGMENT`` words long on average. A segment's probability is the mixture of what
+its bits give and of its share of all segments; a text's own occurrences, where it was learned from, don't count.
+
+Learning covers every training text: counts of words, segments, byte values and bits are summed by grouped aggregation.
+The bit tables have a fixed number of slots; word and segment counts grow with the corpus: those of the most frequent
+(at most ``TOP_WORDS`` and ``TOP_SEGMENTS``) travel to the executors, all others meet theirs in one shuffled join.
+
+A null text is empty: it has the end token alone. Words and segments are 64-bit hashes. Without training texts counts
+are 0, tables predict evenly, and scores are those of the untrained code. Repeated rows are scored row by row; ``keep``
+names any columns, also those that the result has itself only if they are left out of it.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import written
-from lodestone.llm._text import SPACED, Words, blocks, span_hashes
-
-#: Address bits of each bit table.
-SLOT_BITS = 22
-#: Most words whose counts are sent to every executor (12 bytes each).
-TOP_WORDS = 1 << 20
-#: Training texts that tune the starting weights: so many, or a twentieth of all.
-TUNING = 192
-#: Times that tuning goes over its texts.
-TURNS = 4
-#: Symbols after which the weights are refined, and the step.
-CHUNK, STEP = 2048, 0.4
-#: Word counts that a task holds before it passes them on, and entries of a bit table in one row of the shuffle.
-HELD, PIECE = 1 << 20, 1 << 14
-
-_CONTEXTS, _GATES, _END = 3, 64, 10
+from lodestone.llm._text import SPACED, Words, blocks, mix64, settle
+
+#: Address bits of each context's table.
+SLOT_BITS = (21, 22, 22)
+#: Slots that one context has, as a power of two: the bits of a symbol read neighbouring slots.
+ROW_BITS = (8, 4, 4)
+#: Most words and segments whose counts are sent to every executor (12 bytes each).
+TOP_WORDS, TOP_SEGMENTS = 1 << 20, 1 << 18
+#: Words of a segment on average (a power of two), and the prior share of segments in the mixture.
+SEGMENT, REPEATED = 32, 1 / 16
+#: Symbols of the first chunk and of the longest; the weights are refined after each chunk.
+FIRST, CHUNK = 16, 2048
+#: Step of a refinement, and the bits of a gate that make it a full one.
+STEP, FULL = 1.0, 48
+#: Weights before refinement: of four bytes and of the word so far where they have seen enough, of two bytes where neither
+#: has, of two bytes always; and the confidence that is enough.
+START = (0.6, 0.45, 0.6, 0.1, 4)
+#: Symbols that are handled at once, and bytes of text.
+BATCH, BLOCK = 1 << 12, 1 << 18
+#: Counts, or symbols, that a task holds before it passes them on or adds them up, and entries of the bit tables in one row of the shuffle.
+HELD, PIECE = 1 << 20, 1 << 12
+#: Tasks a core that count bits, each with tables of its own.
+TASKS = 4
+
+_CONTEXTS, _GATES, _END = len(SLOT_BITS), 64, 10
 #: The hash that the end token is counted under.
 END_HASH = np.uint64(1)
+_WORD, _BYTE, _SEGMENT = range(3)  # kinds of counts
 
 
 @dataclass
 class Code:
-    """A Huffman code of the 256 byte values: for each, its inner nodes and bits from the root."""
+    """Huffman codes of the 256 byte values after each byte value: at 256 * byte before + byte, inner nodes and bits from the root."""
 
     length: np.ndarray
     begin: np.ndarray
     nodes: np.ndarray
-    bits: np.ndarray
+    signs: np.ndarray  # -1 and 1
 
 
-def huffman(histogram: np.ndarray) -> Code:
-    """Every value gets a code; ties break by value."""
-    heap = [(float(histogram[i]) + 1e-3, i, i) for i in range(256)]
+def _tree(histogram: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Of each value the length of its code, and of all codes nodes and bits; ties break by value."""
+    heap = [(float(histogram[i]), i, i) for i in range(256)]
     heapq.heapify(heap)
     parent, inner = {}, 256
     while len(heap) > 1:
@@ -70,17 +82,30 @@ def huffman(histogram: np.ndarray) -> Code:
         parent[x], parent[y] = (inner, 0), (inner, 1)
         heapq.heappush(heap, (a + b, inner, inner))
         inner += 1
-    length, nodes, bits = np.zeros(256, np.int32), [], []
+    length, nodes, bits = [], [], []
     for i in range(256):
         way, at = [], i
         while at in parent:
             at, bit = parent[at]
             way.append((at - 256, bit))
-        length[i] = len(way)
+        length.append(len(way))
         nodes += [n for n, _ in reversed(way)]
         bits += [b for _, b in reversed(way)]
-    node = (np.array(nodes, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    return Code(length, (np.cumsum(length) - length).astype(np.int32), node.astype(np.uint32), np.array(bits, dtype=np.int8))
+    return length, nodes, bits
+
+
+def huffman(pairs: np.ndarray) -> Code:
+    """From counts (256, 256) of bytes after bytes; every value gets a code after every other."""
+    every = pairs.sum(axis=0) + 1e-3
+    every /= every.sum()
+    seen = np.flatnonzero(pairs.sum(axis=1))
+    trees = [_tree(every), *(_tree(pairs[p] + every) for p in seen)]
+    which = np.zeros(256, dtype=np.int64)
+    which[seen] = 1 + np.arange(len(seen))
+    length = np.array([t[0] for t in trees], dtype=np.int32)
+    begin = (np.cumsum(length) - length.ravel()).reshape(length.shape).astype(np.int32)
+    nodes, bits = (np.concatenate([np.array(t[k]) for t in trees]) for k in (1, 2))
+    return Code(length[which].ravel().astype(np.int64), begin[which].ravel().astype(np.int64), nodes.astype(np.uint32), (2 * bits - 1).astype(np.float32))
 
 
 def streams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,40 +123,65 @@ def streams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+#: Of the eight bytes before a symbol, the last k.
+_LAST = np.array([(0xFFFFFFFFFFFFFFFF << 8 * (8 - k)) & 0xFFFFFFFFFFFFFFFF if k else 0 for k in range(9)], dtype=np.uint64)
+_SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+_SPREAD = [np.uint32(x) for x in (0x85EBCA6B, 0xC2B2AE35, 0x9E3779B1)]
+
+
 def contexts(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """uint32 context hashes before each symbol; nothing before a text's start counts."""
+    """uint32 context hashes before each symbol; nothing before a text's start counts, and of a word the last eight bytes."""
     n = len(symbols)
-    place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    wide = symbols.astype(np.uint32) + np.uint32(1)
-    last = [np.zeros(n, np.uint32) for _ in range(4)]
-    for k in range(4):
-        last[k][k + 1 :] = wide[: n - k - 1]
-        last[k][place <= k] = 0
-    two = last[0] | last[1] << np.uint32(9)
-    four = (two + np.uint32(1)) * np.uint32(0x85EBCA6B) ^ (last[2] | last[3] << np.uint32(9)) * np.uint32(0xC2B2AE35)
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[8:] = symbols
+    if not n:
+        return [np.zeros(0, np.uint32)] * _CONTEXTS
+    before = np.ndarray(n, dtype="<u8", buffer=padded, strides=(1,))
     opens = np.append(True, (symbols[:-1] == 32) | (symbols[:-1] == _END))
-    opens[bounds[:-1]] = True
     starts = np.flatnonzero(opens)
-    first = np.repeat(starts, np.diff(np.append(starts, n)))
-    word = span_hashes(symbols, first, np.arange(n))
-    four ^= four >> np.uint32(15)
-    return [two * np.uint32(0x85EBCA77), four * np.uint32(0x85EBCA77), (word >> np.uint64(32)).astype(np.uint32)]
-
-
-def expand(symbols: np.ndarray, ctx: list[np.ndarray], code: Code) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bits of the symbols, and the slot of each bit in each table."""
-    length = code.length[symbols]
-    total = np.cumsum(length)
-    at = np.repeat(code.begin[symbols] - (total - length).astype(np.int32), length) + np.arange(int(total[-1]) if len(total) else 0, dtype=np.int32)
-    nodes = code.nodes[at]
+    inside = np.minimum(np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n))), 8)
+    found = [(before >> np.uint64(48)).astype(np.uint32), (before >> np.uint64(32)).astype(np.uint32)]
+    for k in range(4):  # what lies before a text's start
+        at = bounds[:-1] + k
+        at = at[at < bounds[1:]]
+        for x, size in zip(found, (2, 4)):
+            if k < size:
+                x[at] &= np.uint32((0xFFFFFFFF << 8 * (size - k)) & ((1 << 8 * size) - 1))
+    with np.errstate(over="ignore"):
+        word = ((before & _LAST[inside]) + inside.astype(np.uint64)) * _SALTS[0]
+        found.append((word >> np.uint64(32)).astype(np.uint32))
+        for k, (x, bits, row) in enumerate(zip(found, SLOT_BITS, ROW_BITS)):
+            x ^= x >> np.uint32(15)
+            x *= _SPREAD[k]
+            x >>= np.uint32(32 - bits + row)
+            x <<= np.uint32(row)
+    return found
+
+
+def paired(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each symbol with the one before it, as the code takes them; a text starts after an end mark."""
+    out = symbols.astype(np.int64)
+    out[1:] |= symbols[:-1].astype(np.int64) << 8
+    out[bounds[:-1]] = symbols[bounds[:-1]].astype(np.int64) | _END << 8
+    return out
+
+
+def expand(pairs: np.ndarray, ctx: list[np.ndarray], code: Code, rows: tuple[int, ...] = ROW_BITS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each bit its place in the code, its symbol, and its slot in each table."""
+    length = code.length.take(pairs)
+    upto = np.cumsum(length)
+    symbol = np.zeros(int(upto[-1]) if len(upto) else 0, dtype=np.int64)
+    symbol[upto[:-1]] = 1
+    np.cumsum(symbol, out=symbol)  # of each bit: faster than to repeat what belongs to its symbol
+    at = (code.begin.take(pairs) - (upto - length)).take(symbol)
+    at += np.arange(len(symbol))
+    node = code.nodes.take(at)
     slots = []
-    for c in ctx:
-        h = np.repeat(c, length)
-        h ^= nodes
-        h *= np.uint32(0x9E3779B1)
-        h >>= np.uint32(32 - SLOT_BITS)
+    for c, row in zip(ctx, rows):
+        h = c.take(symbol)
+        h |= node if row == 8 else node * np.uint32(0x9E3779B1) >> np.uint32(32 - row)
         slots.append(h)
-    return code.bits[at], slots
+    return at, symbol, slots
 
 
 def _confidence(n: np.ndarray) -> np.ndarray:
@@ -146,224 +196,335 @@ def pack_table(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.round(odds * 256).astype(np.int16) << 3) | _confidence(n)
 
 
+def chunks(longest: int) -> list[int]:
+    """Bounds of the chunks of a text: ``FIRST`` symbols, then twice as many each time, up to ``CHUNK``."""
+    out, size = [0], FIRST
+    while out[-1] < longest:
+        out.append(out[-1] + size)
+        size = min(2 * size, CHUNK)
+    return out
+
+
+def start_weights() -> np.ndarray:
+    """(contexts, gates) before anything is refined: the longer context leads as far as it has seen enough."""
+    w = np.zeros((_CONTEXTS, _GATES), dtype=np.float32)
+    seen4, seenw = (np.minimum(x / START[4], 1) for x in (np.arange(_GATES) >> 3, np.arange(_GATES) & 7))
+    w[1] = START[0] * seen4
+    w[2] = START[1] * seenw
+    w[0] = START[2] * (1 - seen4) * (1 - seenw) + START[3]
+    return w
+
+
 @dataclass
 class MixModel:
     code: Code
     tables: list[np.ndarray]
-    weights: np.ndarray  # (gates, contexts + 1)
-    top: np.ndarray  # sorted hashes of the most frequent words
-    top_log: np.ndarray  # log10(count + 1) of each
+    weights: np.ndarray  # (contexts, gates): where every text starts
+    top: dict[int, tuple[np.ndarray, np.ndarray]]  # by kind: sorted hashes of the most frequent, and their counts
     n: int  # training tokens
     v: int  # distinct training tokens
     n_end: int  # training texts
-
-    def bits_of(self, symbols: np.ndarray, ctx: list[np.ndarray], weights: np.ndarray, learn: bool = True) -> float:
-        """Nats that one text takes; ``weights`` are refined in place."""
-        nats = 0.0
-        for a in range(0, len(symbols), CHUNK):
-            b = min(a + CHUNK, len(symbols))
-            bits, slots = expand(symbols[a:b], [c[a:b] for c in ctx], self.code)
-            seen = [t.take(s) for t, s in zip(self.tables, slots)]
-            gate = (seen[1] & 7) << 3 | (seen[2] & 7)
-            odds = [(s >> 3).astype(np.float32) for s in seen]  # in 256ths; so are the weights here
-            x = weights[:, _CONTEXTS].take(gate)
-            for k, s in enumerate(odds):
-                s_weight = (weights[:, k] * np.float32(1 / 256)).take(gate)
-                s_weight *= s
-                x += s_weight
-            np.clip(x, -12, 12, out=x)
-            sign = bits.astype(np.float32)
-            sign *= 2
-            sign -= 1
-            x *= sign
-            np.negative(x, out=x)
-            e = np.exp(x, out=x)  # the odds against the bit that came
-            total = e + 1
-            nats += float(np.log(total).sum(dtype=np.float64))
-            if learn:
-                error = np.divide(e, total, out=e)
-                error *= sign
-                size = np.maximum(np.bincount(gate, minlength=_GATES), 64)
-                for k in range(_CONTEXTS + 1):
-                    step = np.bincount(gate, weights=error * odds[k] if k < _CONTEXTS else error, minlength=_GATES)
-                    weights[:, k] += (STEP * (1 / 256 if k < _CONTEXTS else 1) * step / size).astype(np.float32)
-        return nats
-
-
-def _start() -> np.ndarray:
-    w = np.full((_GATES, _CONTEXTS + 1), 0.35, dtype=np.float32)
-    w[:, _CONTEXTS] = 0
-    return w
+    n_segments: int
+
+    def nats(self, pairs: np.ndarray, bounds: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
+        """Nats that each symbol takes. Texts go side by side, chunk by chunk, each under weights of its own."""
+        sizes = np.diff(bounds)
+        out = np.zeros(len(pairs))
+        own = np.repeat(self.weights[:, None, :], len(sizes), axis=1).reshape(_CONTEXTS, -1)
+        marks = chunks(int(sizes.max(initial=0)))
+        order = np.argsort(-sizes, kind="stable")
+        for a, b in zip(marks[:-1], marks[1:]):
+            order = order[sizes[order] > a]
+            here = np.minimum(sizes[order], b) - a
+            cuts = np.flatnonzero(np.diff((np.cumsum(here) - here) // BATCH)) + 1
+            for texts, n in zip(np.split(order, cuts), np.split(here, cuts)):
+                at = np.repeat(bounds[texts] + a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                out[at] = self._chunk(pairs[at], [c[at] for c in ctx], texts, n, own)
+        return out
+
+    def _chunk(self, pairs: np.ndarray, ctx: list[np.ndarray], texts: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Nats of each symbol of one chunk of each text (``n`` symbols); refines the texts' weights in ``own``."""
+        bits, symbol, slots = expand(pairs, ctx, self.code)
+        seen = [t.take(s) for t, s in zip(self.tables, slots)]
+        ends = np.searchsorted(symbol, np.cumsum(n))
+        each = np.diff(ends, prepend=0)
+        gate = ((seen[1] & 7) << 3 | (seen[2] & 7)).astype(np.int64)
+        gate += np.repeat(np.arange(len(texts)) * _GATES, each)
+        where = (texts[:, None] * _GATES + np.arange(_GATES)).ravel()
+        odds = [(s >> 3).astype(np.float32) for s in seen]  # in 256ths; so are the weights of this chunk
+        x = np.zeros(len(bits), dtype=np.float32)
+        for w, o in zip(own[:, where] * np.float32(1 / 256), odds):
+            w = w.take(gate)
+            w *= o
+            x += w
+        np.clip(x, -12, 12, out=x)
+        sign = self.code.signs.take(bits)
+        x *= sign
+        np.negative(x, out=x)
+        e = np.exp(x, out=x)  # the odds against the bit that came
+        total = e + 1
+        spent = np.log(total)
+        error = np.divide(e, total, out=e)
+        error *= sign
+        step = STEP / 256 / np.maximum(np.bincount(gate, minlength=len(where)), FULL)
+        for k, o in enumerate(odds):
+            own[k, where] += (step * np.bincount(gate, weights=error * o, minlength=len(where))).astype(np.float32)
+        return np.bincount(symbol, weights=spent, minlength=len(pairs))
+
+
+def segments(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bounds in symbols of each segment, texts' bounds in segments) of a block of n texts; every text ends one."""
+    token = np.repeat(np.arange(n), np.diff(words.bounds)) + np.arange(len(words))
+    ends = words.bounds[1:] + np.arange(n)
+    hashes = np.full(len(words) + n, END_HASH, dtype=np.uint64)
+    hashes[token] = words.hashes
+    sizes = np.ones(len(hashes), dtype=np.int64)
+    sizes[token] = words.ends - words.starts + 1
+    with np.errstate(over="ignore"):
+        pair = mix64(words.hashes * _SALTS[0] + np.append(np.zeros(1, np.uint64), words.hashes[:-1])[: len(words)])
+        pair[words.bounds[:-1][np.diff(words.bounds) > 0]] = 1  # no word before: no end of a segment
+        closes = np.zeros(len(hashes), dtype=bool)
+        closes[token] = pair & np.uint64(SEGMENT - 1) == 0
+        closes[ends] = True
+        last = np.flatnonzero(closes)
+        first = np.append(0, last[:-1] + 1)[: len(last)]
+        place = np.arange(len(hashes)) - np.repeat(first, last + 1 - first)
+        found = np.add.reduceat(mix64(hashes + (place + 1).astype(np.uint64) * _SALTS[1]), first) if len(first) else hashes
+        found = mix64(found + (last + 1 - first).astype(np.uint64) * _SALTS[2])
+    upto = np.append(0, np.cumsum(sizes))
+    return found, upto[np.append(first, len(hashes))], np.append(0, np.searchsorted(last, ends) + 1)
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, key, c): kind 0 counts words (and the end token, under ``END_HASH``) by hash, kind 1 counts bytes of the stream."""
+def _within(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How often each segment occurs in its text."""
+    text = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+    with np.errstate(over="ignore"):
+        _, which, times = np.unique(mix64(hashes + text * _SALTS[0]), return_inverse=True, return_counts=True)
+    return times[which]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
-        symbols, texts = np.zeros(256, np.int64), 0
 
-        def out():
-            k, which = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(c)], names=["kind", "key", "c"])
+def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(kind, key, c): words (the end token under ``END_HASH``), bytes after bytes, and segments."""
 
-        for part, data, offsets in blocks(batches, "__text"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {_WORD: [], _SEGMENT: []}
+        pairs = np.zeros(65536, np.int64)
+
+        def rows(kind: int, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(c)], names=["kind", "key", "c"])
+
+        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, which = np.unique(np.concatenate([k for k, _ in held[kind]]), return_inverse=True)
+            return keys, np.bincount(which, weights=np.concatenate([c for _, c in held[kind]])).astype(np.int64)
+
+        def add(kind: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            held[kind].append(np.unique(hashes, return_counts=True))
+            if sum(len(k) for k, _ in held[kind]) > HELD:
+                keys, c = merged(kind)
+                held[kind] = [(keys, c)]
+                if len(keys) > HELD // 2:
+                    yield rows(kind, keys, c)
+                    held[kind] = []
+
+        for part, data, offsets in blocks(batches, "__text", BLOCK):
             words = Words(data, offsets, SPACED)
-            k, c = np.unique(words.hashes, return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            size += len(k)
-            texts += part.num_rows
-            symbols += np.bincount(words.low[SPACED[words.low]], minlength=256)
-            symbols[32] += len(words)
-            if size > HELD:
-                merged = out()
-                if merged.num_rows > HELD // 2:
-                    yield merged
-                    keys, counts, size = [], [], 0
-                else:
-                    keys, counts, size = [merged.column(1).to_numpy().view(np.uint64)], [merged.column(2).to_numpy()], merged.num_rows
-        symbols[_END] += texts
-        keys.append(np.array([END_HASH] * bool(texts), dtype=np.uint64))
-        counts.append(np.array([texts] * bool(texts), dtype=np.int64))
-        yield out()
-        used = np.flatnonzero(symbols)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used.astype(np.int64)), pa.array(symbols[used])], names=["kind", "key", "c"])
+            symbols, bounds = streams(words, part.num_rows)
+            pairs += np.bincount(paired(symbols, bounds), minlength=65536)
+            yield from add(_WORD, np.append(words.hashes, np.full(part.num_rows, END_HASH)))
+            yield from add(_SEGMENT, segments(words, part.num_rows)[0])
+        for kind in held:
+            if held[kind]:
+                yield rows(kind, *merged(kind))
+        used = np.flatnonzero(pairs)
+        yield rows(_BYTE, used, pairs[used])
+        settle()
 
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
 def bit_tables(docs: DataFrame, text_col: str, code: Code) -> list[np.ndarray]:
-    """Packed tables of all training texts: each task adds up its own, sends pieces, and pieces are summed by place."""
-    shared = docs.sparkSession.sparkContext.broadcast(code)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, any_text = np.zeros((_CONTEXTS, 2 << SLOT_BITS), dtype=np.int32), False
-        for part, data, offsets in blocks(batches, "__text"):
-            any_text = True
+    """Packed tables of all training texts: each task adds up its own, sends pieces, and pieces are summed by place.
+
+    Tables are sent once a task, so there are only a few tasks a core. A piece's sum streams through sorted rows.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(code)
+    starts = np.cumsum([0, *(2 << b for b in SLOT_BITS)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, packer = np.zeros(starts[-1], dtype=np.int32), pa.Codec("zstd", 1)
+        held: list[list[np.ndarray]] = [[] for _ in SLOT_BITS]
+
+        def flush() -> None:
+            for k, row in enumerate(ROW_BITS):
+                key = np.sort(np.concatenate(held[k]))  # each context and symbol is spelt out once, with its number
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                times, key = np.diff(np.append(at, len(key))).astype(np.int32), key[at]
+                bits, symbol, (slots,) = expand((key & np.uint64(0xFFFF)).astype(np.int64), [(key >> np.uint64(16)).astype(np.uint32) << np.uint32(row)], shared.value, (row,))
+                slots <<= np.uint32(1)
+                slots |= (shared.value.signs.take(bits) > 0).view(np.uint8)
+                np.add.at(own[starts[k] : starts[k + 1]], slots, times.take(symbol))
+                held[k] = []
+
+        for part, data, offsets in blocks(batches, "__text", BLOCK):
             symbols, bounds = streams(Words(data, offsets, SPACED), part.num_rows)
-            ctx = contexts(symbols, bounds)
-            for a in range(0, len(symbols), 1 << 19):
-                bits, slots = expand(symbols[a : a + (1 << 19)], [c[a : a + (1 << 19)] for c in ctx], shared.value)
-                for k, s in enumerate(slots):
-                    s <<= np.uint32(1)
-                    s |= bits.view(np.uint8)
-                    np.add.at(own[k], s, np.int32(1))
-        if any_text:
-            for k in range(_CONTEXTS):
-                for a in range(0, 2 << SLOT_BITS, PIECE):
-                    piece = own[k, a : a + PIECE]
-                    if piece.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k * (2 << SLOT_BITS) // PIECE + a // PIECE], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["place", "piece"])
-
-    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(PIECE, dtype=np.int64)
-        for x in frame["piece"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.int32)
-        return pd.DataFrame({"place": [key[0]], "piece": [pack_table(total[0::2], total[1::2]).tobytes()]})
-
-    pieces = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "place int, piece binary")
-    got = pieces.groupBy("place").applyInPandas(add, "place int, piece binary").collect()  # a fixed number of fixed-size rows
-    flat = np.zeros(_CONTEXTS << SLOT_BITS, dtype=np.int16)
-    for place, piece in got:
+            pairs = paired(symbols, bounds).astype(np.uint64)
+            for k, c in enumerate(contexts(symbols, bounds)):
+                held[k].append((c >> np.uint32(ROW_BITS[k])).astype(np.uint64) << np.uint64(16) | pairs)
+            if sum(map(len, held[0])) >= HELD:
+                flush()
+        if held[0]:
+            flush()
+        for a in range(0, starts[-1], PIECE):
+            if own[a : a + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // PIECE], pa.int32()), pa.array([packer.compress(own[a : a + PIECE], asbytes=True)], pa.binary())], names=["place", "piece"])
+        own = None
+        settle()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, packer = None, np.zeros(PIECE, dtype=np.int64), pa.Codec("zstd", 1)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pack_table(total[0::2], total[1::2]).tobytes()], pa.binary())], names=["place", "piece"])
+
+        for batch in batches:
+            for place, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if place != at:
+                    if at is not None:
+                        yield out()
+                    at, total = place, np.zeros(PIECE, dtype=np.int64)
+                total += np.frombuffer(packer.decompress(piece.as_buffer(), 4 * PIECE), dtype=np.int32)
+        if at is not None:
+            yield out()
+
+    texts = docs.select(F.col(text_col).alias("__text")).coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    pieces = texts.mapInArrow(count, "place int, piece binary").repartition("place").sortWithinPartitions("place")
+    flat = np.zeros(starts[-1] // 2, dtype=np.int16)
+    for place, piece in pieces.mapInArrow(add, "place int, piece binary").collect():  # a fixed number of fixed-size rows
         flat[place * PIECE // 2 : (place + 1) * PIECE // 2] = np.frombuffer(piece, dtype=np.int16)
-    return list(flat.reshape(_CONTEXTS, -1))
-
-
-def tune(docs: DataFrame, text_col: str, model: MixModel) -> np.ndarray:
-    """Starting weights from a bounded set of texts, taken in the order of their hashes by one task, ``TURNS`` times over."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, parts = _start(), list(batches)
-        for _ in range(TURNS):
-            for part, data, offsets in blocks(iter(parts), "__text"):
-                symbols, bounds = streams(Words(data, offsets, SPACED), part.num_rows)
-                ctx = contexts(symbols, bounds)
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    own = w.copy()
-                    shared.value.bits_of(symbols[a:b], [c[a:b] for c in ctx], own)
-                    w += (own - w) * np.float32(0.5)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
-
-    picked = docs.select(F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("h")).repartition(1).sortWithinPartitions("h", "__text").select("__text")
-    got = picked.mapInArrow(run, "w binary").collect()
-    return np.frombuffer(got[0][0], dtype=np.float32).reshape(_GATES, -1).copy() if got else _start()
+    return [flat[a // 2 : b // 2] for a, b in zip(starts[:-1], starts[1:])]
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[MixModel, DataFrame]:
-    """The model, and (key, c): counts of the words that it doesn't carry itself."""
-    counts = written(word_counts(docs, text_col), "word-counts")
-    histogram = np.zeros(256)
-    for r in counts.where("kind = 1").collect():  # at most 256 rows
-        histogram[r["key"]] = r["c"]
-    words = counts.where("kind = 0")
-    r = words.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("key") == int(END_HASH), F.col("c")))).first()
-    n, v, n_end = r[0] or 0, r[1], r[2] or 0
-    # the least count such that the words that reach it are few enough; counts fall into few powers of two
-    classes = {x[0]: x[1] for x in words.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()}
+def _frequent(rows: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """(sorted hashes, counts) of the rows that reach a power of two of counts such that at most ``most`` do; and that power."""
+    power = F.floor(F.log2("c")).cast("int")
+    classes = {x[0]: x[1] for x in rows.groupBy(power.alias("k")).count().collect()}  # counts fall into few powers of two
     least, held = 64, 0
     for k in sorted(classes, reverse=True):
-        if held + classes[k] > TOP_WORDS:
+        if held + classes[k] > most:
             break
         held, least = held + classes[k], k
-    top = words.where(F.floor(F.log2("c")) >= least).select("key", "c").toArrow() if held else None
-    keys = top.column("key").to_numpy().view(np.uint64) if held else np.zeros(0, np.uint64)
+    if not held:
+        return (np.zeros(0, np.uint64), np.zeros(0)), least
+    got = rows.where(power >= least).select("key", "c").toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    logs = np.log10(top.column("c").to_numpy() + 1.0)[order] if held else np.zeros(0)
-    code = huffman(histogram)
-    draw = F.xxhash64(text_col).bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24)
-    tuning = F.coalesce(draw < min(0.05, TUNING / max(n_end, 1)), F.lit(False))
-    model = MixModel(code, [], _start(), keys[order], logs, n, v, n_end)
-    model.tables = bit_tables(docs.where(~tuning), text_col, code)
-    model.weights = tune(docs.where(tuning), text_col, model)
-    return model, words.where(F.floor(F.log2("c")) < least).select("key", "c")
-
-
-def score(docs: DataFrame, model: MixModel, rest: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and (n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row."""
-    picked = docs.select(F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]), "n_bytes long, n_tokens long, n_top long, logs double, score double, tail array<long>"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size and at most TOP_WORDS words
+    return (keys[order], got.column("c").to_numpy()[order].astype(np.float64)), least
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[MixModel, DataFrame]:
+    """The model, and (kind, key, c): counts of the words and segments that it doesn't carry itself."""
+    counts = written(corpus_counts(docs, text_col), "corpus-counts")
+    pairs = np.zeros(65536)
+    for r in counts.where(F.col("kind") == _BYTE).collect():  # at most 65 536 rows
+        pairs[r["key"]] = r["c"]
+    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("key") == int(END_HASH), F.col("c"))).alias("ends")).collect()}
+    n, v, n_end = (sums[_WORD]["n"], sums[_WORD]["v"], sums[_WORD]["ends"] or 0) if _WORD in sums else (0, 0, 0)
+    code = huffman(pairs.reshape(256, 256))
+    top, rest = {}, F.lit(False)
+    for kind, most in ((_WORD, TOP_WORDS), (_SEGMENT, TOP_SEGMENTS)):
+        top[kind], least = _frequent(counts.where(F.col("kind") == kind), most)
+        rest = rest | ((F.col("kind") == kind) & (F.floor(F.log2("c")) < least))
+    model = MixModel(code, bit_tables(docs, text_col, code), start_weights(), top, n, v, n_end, sums[_SEGMENT]["n"] if _SEGMENT in sums else 0)
+    return model, counts.where(rest)
+
+
+def _known(top: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Counts of the hashes that ``top`` has, else -1."""
+    keys, c = top
+    if not len(keys):
+        return np.full(len(hashes), -1.0)
+    own, which = np.unique(hashes, return_inverse=True)  # in order, neighbours in the table follow one another
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return np.where(keys[at] == own, c[at], -1.0)[which]
+
+
+def score(docs: DataFrame, model: MixModel, rest: DataFrame, keep: list[str], trained: Column, text_col: str = "text") -> DataFrame:
+    """``keep`` and (n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row.
+
+    ``trained``: whether the model learned from the row, so that its own segments aren't held to be repeats.
+    """
+    picked = docs.select(F.col(text_col).alias("__text"), F.coalesce(trained, F.lit(False)).alias("__own"), F.monotonically_increasing_id().alias("__row"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    names = picked.columns[2:]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[2:]), "n_bytes long, n_tokens long, n_top long, logs double, nats double, tail array<struct<kind: int, key: long, own: long, nats: double>>"])
+    kind_of = pa.list_(pa.struct([("kind", pa.int32()), ("key", pa.int64()), ("own", pa.int64()), ("nats", pa.float64())]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size, at most TOP_WORDS and TOP_SEGMENTS counts
+    mixed = model.n_segments > 0
+    fresh = float(np.log(1 - REPEATED)) if mixed else 0.0
+    share = float(np.log(REPEATED / max(model.n_segments, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         end_log = np.log10(own.n_end + 1.0)
-        for part, data, offsets in blocks(batches, "__text"):
+        for part, data, offsets in blocks(batches, "__text", BLOCK):
             words = Words(data, offsets, SPACED)
             n = part.num_rows
-            at = np.minimum(np.searchsorted(own.top, words.hashes), max(len(own.top) - 1, 0))
-            met = own.top[at] == words.hashes if len(own.top) else np.zeros(len(words), dtype=bool)
-            logs = np.append(0, np.cumsum(np.where(met, own.top_log[at], 0.0) if len(own.top) else np.zeros(len(words))))
+            c = _known(own.top[_WORD], words.hashes)
+            met = c >= 0
+            logs = np.append(0, np.cumsum(np.where(met, np.log10(c + 1, where=met, out=np.zeros(len(c))), 0.0)))
             known = np.append(0, np.cumsum(met))
-            missed = words.hashes[~met].view(np.int64)
-            cuts = (words.bounds - known[words.bounds]).astype(np.int32)
             symbols, bounds = streams(words, n)
-            ctx = contexts(symbols, bounds)
-            total = [-own.bits_of(symbols[a:b], [c[a:b] for c in ctx], own.weights.copy()) / np.log(10) for a, b in zip(bounds[:-1], bounds[1:])]
+            nats = np.append(0, np.cumsum(own.nats(paired(symbols, bounds), bounds, contexts(symbols, bounds))))
+            keys, cuts, spans = segments(words, n)
+            each = nats[cuts[:-1]] - nats[cuts[1:]] + fresh  # the log of what the bits give of the mixture
+            again = np.where(np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(spans)), _within(keys, spans), 0)
+            c = _known(own.top[_SEGMENT], keys)
+            rare = c < 0
+            c = c - again
+            more = np.logaddexp(each, share + np.log(c, where=c > 0, out=np.full(len(c), -np.inf))) if mixed else each
+            total = np.append(0, np.cumsum(np.where(rare, each, more)))[spans]
+            rare &= mixed
+            text = np.repeat(np.arange(n), np.diff(words.bounds))
+            kinds = np.concatenate([np.full(int((~met).sum()), _WORD, np.int32), np.full(int(rare.sum()), _SEGMENT, np.int32)])
+            row = np.concatenate([text[~met], np.repeat(np.arange(n), np.diff(spans))[rare]])
+            order = np.argsort(row, kind="stable")
+            zeros = np.zeros(len(words) - int(met.sum()))
+            tail = pa.StructArray.from_arrays(
+                [
+                    pa.array(kinds[order]),
+                    pa.array(np.concatenate([words.hashes[~met], keys[rare]])[order].view(np.int64)),
+                    pa.array(np.concatenate([zeros.astype(np.int64), again[rare].astype(np.int64)])[order]),
+                    pa.array(np.concatenate([zeros, each[rare]])[order]),
+                ],
+                fields=list(kind_of.value_type),
+            )
             columns = [
                 pa.array(np.diff(offsets)),
                 pa.array(np.diff(words.bounds).astype(np.int64) + 1),
                 pa.array(np.diff(known[words.bounds]).astype(np.int64) + (own.n_end > 0)),
                 pa.array(np.diff(logs[words.bounds]) + end_log),
-                pa.array(total, pa.float64()),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(missed)),
+                pa.array(np.diff(total)),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), tail),
             ]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=["__row", *keep, "n_bytes", "n_tokens", "n_top", "logs", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], *columns], names=[*names, "n_bytes", "n_tokens", "n_top", "logs", "nats", "tail"])
+        settle()
 
     read = written(picked.mapInArrow(run, schema), "scored")
-    tail = read.where(F.size("tail") > 0).select("__row", F.explode("tail").alias("key")).join(rest, "key")
-    found = tail.groupBy("__row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
+    tail = read.select("__row", F.inline("tail")).join(rest, ["kind", "key"])
+    is_word, others = F.col("kind") == _WORD, F.col("c") - F.col("own")
+    again = F.lit(share) + F.log(others)
+    gained = F.greatest(again, "nats") + F.log1p(F.exp(-F.abs(again - F.col("nats")))) - F.col("nats")
+    found = tail.groupBy("__row").agg(F.count(F.when(is_word, 1)).alias("more"), F.sum(F.when(is_word, F.log10(F.col("c") + 1))).alias("more_logs"), F.sum(F.when(~is_word & (others > 0), gained)).alias("gained"))
     out = read.drop("tail").join(found, "__row", "left")
     floor = float(np.log10(model.n + model.v + 1))
+    total = (F.col("nats") + F.coalesce("gained", F.lit(0.0))) / F.lit(float(np.log(10)))
     return out.select(
-        *keep,
+        *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)],
         "n_bytes",
         "n_tokens",
         (F.col("n_top") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
-        (F.col("score") * F.lit(-1 / np.log10(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        total.alias("score"),
+        (total * F.lit(-1 / float(np.log10(2))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -34,7 +34,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 7) == 2
     model, rest = lm_scoring.fit(docs.where(~held_out))
-    return lm_scoring.score(docs.withColumn("held_out", held_out), model, rest, ["doc_id", "held_out"])
+    return lm_scoring.score(docs.withColumn("held_out", held_out), model, rest, ["doc_id", "held_out"], ~F.col("held_out"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
