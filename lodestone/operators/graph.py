@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import written
+from lodestone.storage import discard, written
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -98,9 +98,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        pairs = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        before, pairs = pairs, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(before)
         # stars: each node points to one other, and none of those points on
-        if pairs.count() == least.count() and pairs.select(F.col("v").alias("u")).join(pairs, "u", "left_semi").isEmpty():
+        done = pairs.count() == least.count()
+        discard(large)
+        if done and pairs.select(F.col("v").alias("u")).join(pairs, "u", "left_semi").isEmpty():
             break
     own = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return own.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

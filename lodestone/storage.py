@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -30,11 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later readers survive lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more: it acts on what the
-    driver's collectors find, and in a long run of steps they may not run for a while."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that no later step reads; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            own = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(own, True)
