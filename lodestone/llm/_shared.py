@@ -1,5 +1,5 @@
 """Folders that all executors share, and tables written there to cut lineage."""
 
-from lodestone.storage import fresh_path, release, shared_dir, written
+from lodestone.storage import discard, fresh_path, shared_dir, written
 
-__all__ = ["fresh_path", "release", "shared_dir", "written"]
+__all__ = ["discard", "fresh_path", "shared_dir", "written"]

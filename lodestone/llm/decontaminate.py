@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import written
-from lodestone.llm._text import ALNUM, Words, blocks, grams
+from lodestone.llm._text import ALNUM, Words, blocks, grams, settle
 
 #: Words of a span that counts, and of a fingerprint.
 SPAN, GRAM = 10, 5
@@ -93,6 +93,7 @@ def _marks_of(texts: DataFrame, keys: list[str], text_col: str, short: list[int]
                     t = text[i]
                     found[t].append(_mark(words, words.bounds[t], words.bounds[t + 1], m, int(g[i].view(np.int64)), i, gram, span))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sizes, pa.int64()), pa.array(found, kind)], names=[*keys, "n_words", "marks"])
+        settle()
 
     return picked.mapInArrow(run, schema)
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import release, written
-from lodestone.llm._text import SPACED, Words, blocks, grams, mix64
+from lodestone.llm._shared import discard, written
+from lodestone.llm._text import SPACED, Words, blocks, grams, mix64, settle
 from lodestone.operators.graph import components
 
 #: Words of a shingle and the least similarity, as a fraction, unless a caller says otherwise.
@@ -161,6 +161,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             sets = shingle_sets(data, offsets, k)
             nodes = pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), nodes], names=["__id", "__key", "n", "node"])
+        settle()
 
     return picked.mapInArrow(run, schema)
 
@@ -178,6 +179,7 @@ def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFra
                     keys.append(set_keys(own, bands))
                     nodes.append(np.full(len(keys[-1]), node, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+        settle()
 
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "key long, node long")
 
@@ -227,8 +229,8 @@ def _met(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, node long, centre long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(node, n, bits binary, hashes binary) of the wanted (node, __key).
+def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, bands: Bands, maps: bool) -> DataFrame:
+    """(node, n, bits binary) or, without ``maps``, (node, hashes binary) of the wanted (node, __key).
 
     A bitmap of the wanted keys, of bounded size, goes to all tasks; sets of documents that pass it are made where the
     text is read, so no text is shuffled, and the join drops what the bitmap let through.
@@ -245,8 +247,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k:
     picked = docs.select(F.col(text_col).alias("__text"), key).select("__text", "__key", F.shiftrightunsigned(F.xxhash64("__key"), 64 - bits).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-
         def passing() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column(2).to_numpy().astype(np.uint64)
@@ -255,36 +255,53 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k:
         for part, data, offsets in blocks(passing(), "__text"):
             sets = shingle_sets(data, offsets, k)
             ok = [i for i, s in enumerate(sets) if len(s)]
-            columns = [
-                part.column(1).take(pa.array(ok, pa.int64())),
-                pa.array([set_digest(sets[i]) for i in ok], pa.int64()),
-                pa.array([len(sets[i]) for i in ok], pa.int64()),
-                pa.array([bitmap(sets[i], bands.bits(len(sets[i]))).tobytes() for i in ok], pa.binary()),
-                pa.array([sets[i].tobytes() for i in ok], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["__key", "node", "n", "bits", "hashes"])
+            keys, nodes = part.column(1).take(pa.array(ok, pa.int64())), pa.array([set_digest(sets[i]) for i in ok], pa.int64())
+            if maps:
+                columns = {"n": pa.array([len(sets[i]) for i in ok], pa.int64()), "bits": pa.array([bitmap(sets[i], bands.bits(len(sets[i]))).tobytes() for i in ok], pa.binary())}
+            else:
+                columns = {"hashes": pa.array([sets[i].tobytes() for i in ok], pa.binary())}
+            yield pa.RecordBatch.from_arrays([keys, nodes, *columns.values()], names=["__key", "node", *columns])
+        settle()
+
+    made = picked.mapInArrow(run, "__key long, node long, " + ("n long, bits binary" if maps else "hashes binary"))
+    own = made.join(wanted.select("__key", "node"), ["__key", "node"], "left_semi")
+    return own.dropDuplicates(["__key", "node"]).drop("__key")  # a repeated row; the join has dealt by these columns
+
 
-    made = picked.mapInArrow(run, "__key long, node long, n long, bits binary, hashes binary")
-    return made.join(wanted.select("__key", "node"), ["__key", "node"], "left_semi").drop("__key")
+def _both(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the table's columns of both."""
+    names = table.columns[1:]
+    left = table.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = table.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in names])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs that link: first by their bitmaps, then exactly."""
-    left = sets.select(F.col("node").alias("a"), F.col("bits").alias("a_bits"), F.col("hashes").alias("a_hashes"))
-    right = sets.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"), F.col("hashes").alias("b_hashes"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "a_bits", "b_bits", "a_hashes", "b_hashes")
+def _bounded(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs whose bitmaps leave room for the needed overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a_bits, b_bits, a_set, b_set in zip(*(batch.column(i) for i in range(2, 6))):
-                x, y = np.frombuffer(a_set.as_py(), np.uint64), np.frombuffer(b_set.as_py(), np.uint64)
-                p, q = np.frombuffer(a_bits.as_py(), np.uint64), np.frombuffer(b_bits.as_py(), np.uint64)
+            for n, p, m, q in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 size = min(len(p), len(q))
-                ok.append(bool(may_link(fold(p, size), fold(q, size)[None], len(x), np.array([len(y)]), num, den)[0]) and linked(x, y, num, den))
+                ok.append(bool(may_link(fold(p, size), fold(q, size)[None], n, np.array([m]), num, den)[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        settle()
 
-    return both.mapInArrow(run, "a long, b long")
+    return _both(pairs, maps).mapInArrow(run, "a long, b long")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), num, den) for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        settle()
+
+    return _both(pairs, sets).mapInArrow(run, "a long, b long")
 
 
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -326,14 +343,21 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """(id, n_shingles, component_id) for each row: component_id is the least id that links reach."""
     num, den = least
-    spark = docs.sparkSession
+    bands = Bands(num, den)
     members = written(_members(docs, id_col, text_col, shingle), "members")
     met = written(_met(_keys(docs, text_col, shingle, num, den)), "met-keys")
-    release(spark)
     wanted = members.where("n > 0").groupBy("node").agg(F.min("__key").alias("__key"))
     wanted = written(wanted.join(met.select("node").distinct(), "node"), "wanted")
-    sets = written(_sets_of(docs, wanted, id_col, text_col, shingle, num, den).dropDuplicates(["node"]), "sets")
-    release(spark)
+    maps = written(_sets_of(docs, wanted, id_col, text_col, shingle, bands, True), "maps")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among the pairs: bitmaps bound the overlap, and sets are made for those alone that they let pass."""
+        pairs = written(_bounded(pairs, maps, num, den), f"{name}-bounded")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = written(_sets_of(docs, wanted.join(nodes, "node", "left_semi"), id_col, text_col, shingle, bands, False), "sets")
+        links = written(_exact(pairs, sets, num, den), name)
+        discard(pairs, sets)
+        return links
 
     def spanning(groups: DataFrame) -> DataFrame:
         """Rows of keys whose nodes are in more than one component, with the component."""
@@ -346,8 +370,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # first one centre for each node, which joins most of what belongs together
     one = met.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
-    links = written(_verified(one.select(*pair("node", "centre")).distinct(), sets, num, den), "star")
-    release(spark)
+    found = [verified(one.select(*pair("node", "centre")).distinct(), "star")]
+    links = found[0]
     rest = spanning(components(links))
     if not rest.isEmpty():
         # then, for keys that still span components, their centre and another one
@@ -356,14 +380,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = rest.join(home, "key")
         again = both.where("component <> component1").select(*pair("node", "centre")).unionByName(both.where("component <> component2").select(*pair("node", "centre2"))).distinct()
         done = one.select(*pair("node", "centre")).distinct()
-        links = links.unionByName(written(_verified(again.join(done, ["a", "b"], "left_anti"), sets, num, den), "star"))
-        release(spark)
+        found.append(verified(again.join(done, ["a", "b"], "left_anti"), "second"))
+        links = links.unionByName(found[-1])
+        discard(rest)
         rest = spanning(components(links))
         if not rest.isEmpty():
-            open_rows = rest.select("key", "node", "component").join(sets.select("node", "n", "bits"), "node").select("key", "node", "component", "n", "bits")
-            links = links.unionByName(written(_verified(_across(open_rows, num, den).distinct(), sets, num, den), "across"))
-            release(spark)
+            open_rows = rest.select("key", "node", "component").join(maps, "node").select("key", "node", "component", "n", "bits")
+            found.append(verified(_across(open_rows, num, den).distinct(), "across"))
+            links = links.unionByName(found[-1])
+    discard(rest, met, maps, wanted)
     groups = components(links).withColumnRenamed("node", "node_")
+    discard(*found)
     named = members.where("n > 0").join(groups, F.col("node") == F.col("node_"), "left").select("__id", "n", F.coalesce("component", "node").alias("c"))
     first = named.groupBy("c").agg(F.min("__id").alias("component_id")).withColumnRenamed("c", "c_")
     out = named.join(first, F.col("c") == F.col("c_")).select("__id", "n", "component_id")

@@ -8,7 +8,9 @@ The classifiers are ridge regressions on n-gram frequencies and share one factor
 bounded sample of labelled rows (``per_language``); prediction runs over every whole text.
 
 A null text, or one without a letter, is ``und`` with score 0. Null labels teach nothing. Without any label all texts
-are ``und``; with one language every text with a letter gets it.
+are ``und``; with one language every text with a letter gets it. Of two nearest codewords the earlier language in
+alphabetical order wins. Repeated rows are judged row by row and teach once for each distinct text and label. Columns to
+keep may have any names; ``prefix`` sets the results' names apart from theirs.
 """
 
 from __future__ import annotations
@@ -21,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._text import blocks, gram_counts
+from lodestone.llm._text import blocks, gram_counts, settle
 
 #: Hashed n-gram features.
 DIMS = 2048
-#: Labelled texts that each language gives to the fit, in expectation.
+#: Distinct labelled texts that each language gives to the fit, in expectation.
 PER_LANGUAGE = 800
-#: Most languages that are learned; the most frequent ones are.
-MAX_LANGUAGES = 256
 #: Score below which a prediction is ambiguous.
 AMBIGUOUS = 0.6
 
@@ -51,7 +51,9 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(50):
         code = rng.choice([-1.0, 1.0], size=(n, 4 * int(np.ceil(np.log2(n))) + 8))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        gap = min(((code[i] != code[j]).sum() for i in range(n) for j in range(i)), default=0)
+        agree = code @ code.T
+        np.fill_diagonal(agree, -np.inf)
+        gap = (code.shape[1] - agree.max()) / 2
         if gap > far:
             best, far = code, gap
     return best
@@ -90,6 +92,7 @@ def sample_counts(docs: DataFrame, text_col: str, target: Column, dims: int, cou
         for part, data, offsets in blocks(batches, "text"):
             rows = count(data, offsets).astype("<f4")
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["target", "counts"])
+        settle()
 
     picked = docs.select(F.col(text_col).alias("text"), target.alias("target"))
     got = picked.mapInArrow(run, f"target {picked.schema['target'].dataType.simpleString()}, counts binary").toArrow()
@@ -98,16 +101,18 @@ def sample_counts(docs: DataFrame, text_col: str, target: Column, dims: int, cou
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dims: int = DIMS) -> LanguageModel:
-    """Fit on at most about ``per_language`` labelled rows of each language, chosen by a hash of the text."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
+    """Fit on about ``per_language`` distinct labelled texts of each language, chosen by a hash of the text."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    draw = F.xxhash64("__text")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("__lang").agg(F.approx_count_distinct(draw)).collect()}  # a row for each language
     languages = sorted(sizes)
     if len(languages) <= 1:
         return LanguageModel(languages, codewords(len(languages)), np.zeros((dims + 1, 1)), np.ones(1))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
-    draw = (F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24))
-    picked = labelled.where(F.col(lang_col).isin(languages) & (draw < F.element_at(share, F.col(lang_col))))
-    counts, names = sample_counts(picked, text_col, F.col(lang_col), dims, lambda data, offsets: gram_counts(data, offsets, _TABLE, dims, squeeze=32))
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / max(sizes[k], 1)))])
+    drawn = draw.bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24) < F.element_at(share, F.col("__lang"))
+    # copies of a drawn text are all drawn, and count once
+    picked = labelled.where(drawn).dropDuplicates()
+    counts, names = sample_counts(picked, "__text", F.col("__lang"), dims, lambda data, offsets: gram_counts(data, offsets, _TABLE, dims, squeeze=32))
     which = np.array([languages.index(x) for x in names], dtype=int)
     code = codewords(len(languages))
     x = np.hstack([features(counts), np.ones((len(counts), 1))])
@@ -127,12 +132,12 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
     """The columns in ``keep`` and (lang_pred, score, ambiguous), a row for each row."""
-    names = ["__text", *keep]
-    picked = docs.select(F.col(text_col).alias("__text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]), "lang_pred string, score double, ambiguous boolean"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and dims x bits: fixed size
+    picked = docs.select(F.col(text_col).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    names = [*picked.columns[1:], "lang_pred", "score", "ambiguous"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[1:]), "lang_pred string, score double, ambiguous boolean"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and dims x bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -142,7 +147,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
             known = has_letter(part.column(0)) & bool(own.languages)
             score = np.where(known, score, 0.0)
             pred = np.where(known, np.array([*own.languages, "und"], dtype=object)[which] if own.languages else "und", "und")
-            columns = [part.column(i) for i in range(1, len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=[*names[1:], "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=names)
+        settle()
 
-    return picked.mapInArrow(run, schema)
+    out = picked.mapInArrow(run, schema)
+    return out.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in names[len(keep) :]])

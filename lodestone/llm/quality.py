@@ -6,7 +6,9 @@ evidence; sparse groups shrink towards their parent: path to host, host to the g
 shrinkage comes from the variance between groups. A document's posterior combines its own log odds with its path's.
 
 A null text is empty and is judged by its group's prior alone. A null host or path forms a group of its own. Without
-labels of both kinds every document gets the global prior of the labels (0.5 without any) and is kept.
+labels of both kinds every document gets the global prior of the labels (0.5 without any). Repeated rows count row by
+row; of an id's labels the greatest counts, and rows that share a labelled id teach once for each distinct text. A
+posterior that equals the bound is kept. Columns to keep may have any names; ``prefix`` sets the results' names apart.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import written
-from lodestone.llm._text import SPACED, Words, blocks, gram_counts
+from lodestone.llm._text import SPACED, Words, blocks, gram_counts, settle
 from lodestone.llm.language_id import features, sample_counts
 
 DIMS = 512
@@ -67,14 +69,15 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
     """Fit on about ``sample`` labelled documents, chosen by a hash of the id; the prior counts all labels."""
-    known = labels.where(f"`{label_col}` is not null and `{id_col}` is not null").groupBy(id_col).agg(F.max(label_col).alias("__label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     total, good = known.agg(F.count("*"), F.sum(F.col("__label").cast("long"))).first()
     if not total:
         return QualityModel(None, 0.5)
     prior = (good + 0.5) / (total + 1)
     draw = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24)
-    picked = docs.select(id_col, text_col).join(known.where(draw < min(1.0, sample / total)), id_col)
-    counts, target = sample_counts(picked, text_col, F.col("__label").cast("int"), DIMS + 1, shape_counts)
+    known = known.where(draw < min(1.0, sample / total)).select(F.col(id_col).alias("__id"), "__label")
+    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id").dropDuplicates()
+    counts, target = sample_counts(picked, "__text", F.col("__label").cast("int"), DIMS + 1, shape_counts)
     y = np.array(target, dtype=float)
     if not len(y) or y.min() == y.max():
         return QualityModel(None, prior)
@@ -91,22 +94,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return QualityModel(w, prior)
 
 
-def evidence(docs: DataFrame, model: QualityModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in ``keep`` and ``evidence`` double, a row for each row."""
-    picked = docs.select(F.col(text_col).alias("__text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]), "evidence double"])
+def evidence(docs: DataFrame, model: QualityModel, text_col: str = "__text") -> DataFrame:
+    """The columns of ``docs`` but its text, and ``__evidence`` double, a row for each row; the text is the first column."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]), "__evidence double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in blocks(batches, "__text"):
+        for part, data, offsets in blocks(batches, text_col):
             odds = shared.value.evidence(shape_counts(data, offsets))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(odds)], names=[*keep, "evidence"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(odds)], names=[*part.schema.names[1:], "__evidence"])
+        settle()
 
-    return picked.mapInArrow(run, schema)
-
-
-def _shrunk(groups: DataFrame, by: list[str], total: str, n: str, parent: Column, strength: float, out: str) -> DataFrame:
-    return groups.withColumn(out, (F.col(total) + parent * strength) / (F.col(n) + strength))
+    return docs.mapInArrow(run, schema)
 
 
 def _strength(groups: DataFrame, total: str, n: str, mean: float) -> float:
@@ -119,26 +118,32 @@ def _strength(groups: DataFrame, total: str, n: str, mean: float) -> float:
     return float(min(1000.0, max(1.0, inside / max(spread, 1e-6))))
 
 
-def score(docs: DataFrame, model: QualityModel, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", reject_below: float = REJECT_BELOW, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", reject_below: float = REJECT_BELOW, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """(id or ``keep``, host, path, evidence, host_prior, path_prior, quality, keep) for each document.
 
-    Group tables are joined back by key. Sums take partial aggregation, so a host with a third of all rows costs no more
-    than its rows.
+    Each text is read and classified once; what it gives is written with the columns to keep. Group tables are joined
+    back by key. Sums take partial aggregation, so a host with a third of all rows costs no more than its rows.
     """
     keep = keep or [id_col]
-    named = docs.withColumns({"__host": F.coalesce(host.cast("string"), F.lit("")), "__path": F.coalesce(path.cast("string"), F.lit(""))})
+    named = docs.select(
+        F.col(text_col).alias("__text"),
+        *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)],
+        F.coalesce(host.cast("string"), F.lit("")).alias("__host"),
+        F.coalesce(path.cast("string"), F.lit("")).alias("__path"),
+    )
     logit = float(np.log(model.prior / (1 - model.prior)))
-    own = evidence(named, model, [*keep, "__host", "__path"], text_col)
-    p = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + logit)))
-    paths = own.groupBy("__host", "__path").agg(F.sum(p).alias("s"), F.count("*").alias("n"))
-    paths = written(paths, "quality-paths")
+    own = written(evidence(named, model), "quality-evidence")
+    p = F.lit(1.0) / (1 + F.exp(-(F.col("__evidence") + logit)))
+    paths = written(own.groupBy("__host", "__path").agg(F.sum(p).alias("s"), F.count("*").alias("n")), "quality-paths")
     hosts = paths.groupBy("__host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     r = hosts.agg(F.sum("hs"), F.sum("hn")).first()
     mean = float(min(1 - 1e-6, max(1e-6, r[0] / r[1]))) if r[1] else model.prior
-    hosts = _shrunk(hosts, ["__host"], "hs", "hn", F.lit(mean), _strength(hosts, "hs", "hn", mean), "host_prior")
-    paths = _shrunk(paths.join(hosts, "__host"), ["__host", "__path"], "s", "n", F.col("host_prior"), _strength(paths, "s", "n", mean), "path_prior")
-    groups = paths.select("__host", "__path", "host_prior", "path_prior")
+    of_host, of_path = _strength(hosts, "hs", "hn", mean), _strength(paths, "s", "n", mean)
+    hosts = hosts.select("__host", ((F.col("hs") + mean * of_host) / (F.col("hn") + of_host)).alias("__host_prior"))
+    paths = paths.join(hosts, "__host")
+    groups = paths.select("__host", "__path", "__host_prior", ((F.col("s") + F.col("__host_prior") * of_path) / (F.col("n") + of_path)).alias("__path_prior"))
     judged = own.join(groups, ["__host", "__path"])
-    odds = F.col("evidence") + F.log(F.col("path_prior") / (1 - F.col("path_prior")))
-    judged = judged.withColumn("quality", F.lit(1.0) / (1 + F.exp(-odds)))
-    return judged.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), "evidence", "host_prior", "path_prior", "quality", (F.col("quality") >= reject_below).alias("keep"))
+    odds = F.col("__evidence") + F.log(F.col("__path_prior") / (1 - F.col("__path_prior")))
+    judged = judged.withColumn("__quality", F.lit(1.0) / (1 + F.exp(-odds))).withColumn("__keep", F.col("__quality") >= reject_below)
+    results = ("host", "path", "evidence", "host_prior", "path_prior", "quality", "keep")
+    return judged.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"__{c}").alias(prefix + c) for c in results])

@@ -38,7 +38,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

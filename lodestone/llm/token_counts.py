@@ -6,8 +6,8 @@ count every byte, so the only normalisation that keeps counts is null to the emp
 column expression for tokenizers that fold case or white space themselves.
 
 One digest's copies never meet in one task: representatives come from a grouped minimum with partial aggregation, and
-texts are shuffled once, by id, for representatives alone. Ids must identify rows; rows that repeat an id with the same
-text count once in the encoding and keep their own output rows.
+texts are shuffled once, by id, for representatives alone. Rows may repeat an id, or have none: each distinct content is
+encoded once all the same, and each row keeps its own output row.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from importlib.metadata import version
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import fresh_path
-from lodestone.llm._text import blocks
+from lodestone.llm._text import blocks, settle
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 #: Bytes of text that the tokenizer gets at once.
@@ -48,9 +49,10 @@ def tokenizer(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def tokenizer_digest(path: str) -> str:
-    """SHA-256 of the tokenizer's file: another version of it never meets counts of this one."""
+    """SHA-256 of the tokenizer's file and its library's version: another of either never meets counts of this one."""
+    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        return hashlib.sha256(f.read() + f"{library} {version(library)}".encode()).hexdigest()
 
 
 def read_cache(spark: SparkSession, cache: str, digest: str) -> DataFrame:
@@ -69,6 +71,7 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
         count = tokenizer(path)
         for part, _, _ in blocks(batches, "content", BLOCK):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=["content_digest", "n_tokens"])
+        settle()
 
     return texts.select("content_digest", "content").mapInArrow(run, "content_digest string, n_tokens long")
 
@@ -97,9 +100,10 @@ def count_tokens(
     first = slim.groupBy("content_digest").agg(F.min("__id").alias("__id"))
     misses = first.join(read_cache(spark, cache, digest), "content_digest", "left_anti")
     texts = base.select("__id", "content_digest", "content").where("__id is not null").join(misses.withColumnRenamed("content_digest", "__want"), "__id")
-    texts = texts.where(F.col("content_digest") == F.col("__want"))
+    # rows of one id lie together after the join, so a repeated row is found without another shuffle
+    texts = texts.where(F.col("content_digest") == F.col("__want")).dropDuplicates(["__id", "content_digest"]).select("content_digest", "content")
     nameless = base.where("__id is null").select("content_digest", "content").join(misses.where("__id is null").select("content_digest"), "content_digest", "left_semi")
-    counted = encode_counts(texts.unionByName(nameless, allowMissingColumns=True), tokenizer_path)
+    counted = encode_counts(texts.unionByName(nameless.dropDuplicates(["content_digest"])), tokenizer_path)
     counted.select("content_digest", F.lit(digest).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, digest)
     return slim.join(counts, "content_digest").select(F.col("__id").alias(id_col), "n_bytes", "n_tokens")
