@@ -2,11 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to the shared folder and rereads as
 the next stage's documents. The stages but the last keep the columns of documents.
+
+Decisions are about rows: the first two stages carry whole rows through their operators, the next two know each row by
+its place in the files that they read. So repeated ids, null ids and extra columns of any name (but ``__doc``, ``__file``
+and ``__at``) need no special care, and empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,46 +19,66 @@ from lodestone.llm import bpe, decontaminate, jaccard_join, language_id, quality
 from lodestone.llm._shared import written
 
 
-#: Most ids that are sent to every executor; more meet the documents in a shuffled join.
-BROADCAST_IDS = 500_000
+#: Most rows to drop whose places are sent to every executor (16 bytes each); more meet the documents in a shuffled join.
+BROADCAST_ROWS = 500_000
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """The documents with ``__file`` and ``__at``, a row's place in the files behind it; what no files are behind is written first."""
+    place = {"__file": F.xxhash64("_metadata.file_path"), "__at": F.col("_metadata.row_index")}
+    try:
+        return docs.select("*", *[c.alias(k) for k, c in place.items()])
+    except AnalysisException:
+        return written(docs, "documents").select("*", *[c.alias(k) for k, c in place.items()])
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id isn't in ``gone``; a null id stays."""
-    ids = written(gone.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), "gone")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left_anti")
+    """Placed documents but those in ``gone`` (__file, __at)."""
+    gone = written(gone.select("__file", "__at"), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, ["__file", "__at"], "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose posterior quality isn't rejected."""
+    """Keeps documents whose posterior quality isn't rejected; a null or empty text goes by its path's posterior.
+
+    A posterior that equals the bound stays. Each row is judged by itself, so copies fare alike within a path.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"), keep=docs.columns)
-    return judged.where("keep").select(*docs.columns)
+    judged = quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"), keep=docs.columns, prefix="__quality_")
+    return judged.where("__quality_keep").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: texts without a letter and ambiguous ones go."""
-    judged = language_id.predict(docs, language_id.fit(docs), docs.columns)
-    return judged.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+    """Keeps documents with a language: texts that are null, empty, without a letter or ambiguous go. Copies fare alike."""
+    judged = language_id.predict(docs, language_id.fit(docs), docs.columns, prefix="__language_")
+    return judged.where("__language_lang_pred <> 'und' and not __language_ambiguous").select(*docs.columns)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each group of near copies (five words, similarity of 0.8 or more)."""
-    groups = written(jaccard_join.similar_groups(docs), "groups")
-    kept = _without(docs, groups.where("doc_id <> component_id"))
-    repeated = groups.groupBy("doc_id").count().where("doc_id is not null and count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Keeps one row of each group of near copies (five words, similarity of 0.8 or more): that of the least id.
+
+    A row without an id stays only if its group has no other kind; among rows of one id the place decides. Texts without
+    words are in no group and stay.
+    """
+    placed = _placed(docs)
+    doc = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "__file", "__at")
+    groups = jaccard_join.similar_groups(placed.select("text", doc.alias("__doc")), id_col="__doc")
+    least = F.col("component_id")
+    gone = groups.where((F.col("__doc")["__file"] != least["__file"]) | (F.col("__doc")["__at"] != least["__at"]))
+    return _without(placed, gone.select("__doc.__file", "__doc.__at")).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that share ten words in a row, or a whole shorter item, with the benchmark."""
-    judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, judged.where("contaminated"))
+    """Drops rows that share ten words in a row, or a whole shorter item, with the benchmark; a text without words stays."""
+    placed = _placed(docs)
+    rows = placed.select("text", F.struct("__file", "__at").alias("__doc"))
+    judged = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__doc")
+    return _without(placed, judged.where("contaminated").select("__doc.__file", "__doc.__at")).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """Ids of each row's whole text: (doc_id, n_tokens, ids_sha256, decoded_sha256); a null text encodes as the empty one."""
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
