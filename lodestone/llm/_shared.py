@@ -1,5 +1,17 @@
-"""Folders that all executors share, and tables written there to cut lineage."""
+"""What the operators share: tables in the folder that all executors see, and batches of bounded size."""
+
+from pyspark.sql import SparkSession
 
 from lodestone.storage import discard, fresh_path, shared_dir, written
 
-__all__ = ["discard", "fresh_path", "shared_dir", "written"]
+__all__ = ["bound_batches", "discard", "fresh_path", "shared_dir", "written"]
+
+#: Bytes of a batch that a Python worker gets; rows alone don't bound it, as texts may be long.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from lodestone.llm._text import blocks, same_spans, settle, span_hashes
 
 #: Pre-tokens in each of the two generations that a task remembers, and the longest of them in bytes.
-REMEMBERED, REMEMBERED_BYTES = 1 << 17, 64
+REMEMBERED, REMEMBERED_BYTES = 1 << 16, 64
 #: Patterns (fixed values) whose pre-tokens ``split_by_kind`` finds; others go through the pattern itself.
 SPLIT_BY_KIND = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 #: Positions in a bucket from which they are merged together.
 TOGETHER = 48
 #: Bytes of text that a worker encodes at once; a longer text goes alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 class RankQueue:
@@ -76,10 +76,11 @@ _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 def _kinds() -> np.ndarray:
     """Of each code point: letter, number, white space or other, as the pattern engine has it."""
     out = np.full(0x110000, _OTHER, dtype=np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, cls in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        for run in regex.findall(cls, every):
-            out[np.frombuffer(run.encode("utf-32-le"), dtype="<u4")] = kind
+    for a in [*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x800)]:
+        some = "".join(map(chr, range(a, a + 0x800)))
+        for kind, cls in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for run in regex.finditer(cls, some):
+                out[a + run.start() : a + run.end()] = kind
     return out
 
 

@@ -362,6 +362,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def spanning(groups: DataFrame) -> DataFrame:
         """Rows of keys whose nodes are in more than one component, with the component."""
         named = met.join(groups.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
+        named = named.repartition("key")  # one exchange serves the aggregate and the join
         open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         return written(named.join(open_keys, "key"), "spanning")
 

@@ -48,7 +48,10 @@ def shape_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = Words(data, offsets, SPACED)
     again = np.zeros(len(words) + 1)
     if len(words) > 1:
-        again[2:] = np.cumsum(words.hashes[1:] == words.hashes[:-1])
+        same = words.hashes[1:] == words.hashes[:-1]
+        first = words.bounds[(words.bounds > 0) & (words.bounds < len(words))]
+        same[first - 1] = False  # the word before is another text's
+        again[2:] = np.cumsum(same)
     repeats = again[words.bounds[1:]] - again[words.bounds[:-1]]
     return np.hstack([gram_counts(data, offsets, _TABLE, DIMS, squeeze=32), repeats[:, None]])
 
