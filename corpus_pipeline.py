@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, jaccard_join, language_id, quality
-from lodestone.llm._shared import written
+from lodestone.llm._shared import bound_batches, written
 
 
 #: Most rows to drop whose places are sent to every executor (16 bytes each); more meet the documents in a shuffled join.
@@ -44,6 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A posterior that equals the bound stays. Each row is judged by itself, so copies fare alike within a path.
     """
+    bound_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"), keep=docs.columns, prefix="__quality_")
     return judged.where("__quality_keep").select(*docs.columns)
@@ -51,6 +52,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: texts that are null, empty, without a letter or ambiguous go. Copies fare alike."""
+    bound_batches(spark)
     judged = language_id.predict(docs, language_id.fit(docs), docs.columns, prefix="__language_")
     return judged.where("__language_lang_pred <> 'und' and not __language_ambiguous").select(*docs.columns)
 
@@ -61,6 +63,7 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A row without an id stays only if its group has no other kind; among rows of one id the place decides. Texts without
     words are in no group and stay.
     """
+    bound_batches(spark)
     placed = _placed(docs)
     doc = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "__file", "__at")
     groups = jaccard_join.similar_groups(placed.select("text", doc.alias("__doc")), id_col="__doc")
@@ -71,6 +74,7 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that share ten words in a row, or a whole shorter item, with the benchmark; a text without words stays."""
+    bound_batches(spark)
     placed = _placed(docs)
     rows = placed.select("text", F.struct("__file", "__at").alias("__doc"))
     judged = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__doc")
@@ -79,6 +83,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row's whole text: (doc_id, n_tokens, ids_sha256, decoded_sha256); a null text encodes as the empty one."""
+    bound_batches(spark)
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
