@@ -2,17 +2,20 @@
 
 Equal vectors are one node. The nodes of a label go to overlapping shards, those of their nearest centroids; the nearest
 is a node's home. Each shard builds a graph: every node keeps near neighbours that no kept one already stands for (robust
-pruning). Edges of all shards are united by node, and searches follow them out of the shard, round by round: a node first
-visits its own shards, then every shard that is home to a graph neighbour of something it found, until no search has
-a shard left to visit. Who is found visits the finder's home in turn, so links hold in both directions.
+pruning). Adjacency lists of all shards are united by node.
 
-A visit compares the visitor with all nodes at home in the shard, by cosine in double precision; so no link below the
-threshold is ever made, and none is counted twice. Links are counted where they are found; only those that connect
-a shard's finds are written, at most one for each visit and node. ``audit`` measures recall.
+Every node is searched for, round by round. A visit walks greedily from the best of a shard's medoids towards the node, takes
+the neighbours of where it ends, and then expands from every find within range to its neighbours until nothing new is
+within range. A search visits the node's own shards first, then each shard that is home to a graph neighbour of something
+it found, until none is left; who is found visits the finder's home in turn, so links hold in both directions. Finds are
+verified by cosine in double precision: no link below the threshold is ever made, and none is counted twice. Links are
+counted where they are found; only those that connect a shard's finds are written, at most one for each visit and node.
+``audit`` measures recall against brute force.
 
 Centroids are fitted on a bounded sample (``SAMPLE`` nodes for each centroid); every node is indexed. Vectors that are
 null, empty, zero, or hold null or non-finite components, and rows without a label, link with nothing and keep their
-rows. Only vectors of one length are compared. Repeated rows are copies and link with one another.
+rows. Only vectors of one length are compared. Repeated rows are copies and link with one another. Extra columns of any
+name are left out.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from lodestone.operators.graph import components
 
 #: Nodes of a shard, in expectation and before overlap; shards that a node joins; sampled nodes for each centroid.
 SHARD, OVERLAP, SAMPLE = 700, 3, 24
-#: Most centroids over all labels; beyond SHARD times as many nodes, shards grow.
+#: Most centroids that are held at once: beyond SHARD times as many nodes, shards hold more nodes, in more rooms each.
 MAX_CENTROIDS = 1 << 14
 #: Kept neighbours, candidates that pruning looks at, and how much nearer a kept neighbour must be to stand for another.
 DEGREE, CANDIDATES, ALPHA = 24, 96, 1.2
-#: Visitors that are compared at once; at most about so many visitors, and nodes at home, in a task.
-BLOCK, VISITORS = 1024, 8192
+#: Visitors that search at once; about so many visitors, and nodes at home, meet in a task at most.
+BLOCK, VISITORS, ROOM = 1024, 8192, 2048
+#: Medoids of a shard's nodes at home.
+MEDOIDS = 8
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -106,8 +111,51 @@ def _connect(hits: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
             label[np.isin(label, groups)] = groups[0]
 
 
+def medoids(x: np.ndarray, n: int) -> np.ndarray:
+    """The row nearest to the mean, then rows that are each farthest from those chosen before."""
+    out = [int((x @ x.mean(axis=0)).argmax())]
+    near = x @ x[out[0]]
+    while len(out) < min(n, len(x)):
+        out.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[out[-1]])
+    return np.array(out)
+
+
+def search(sims: np.ndarray, near: np.ndarray, starts: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """What each query (row) finds within range over a graph of nodes (columns).
+
+    ``near``: 1 where two nodes are neighbours, 0 elsewhere. A walk goes from the best of ``starts`` to a neighbour that is
+    nearer for as long as there is one. Where it ends, two steps around it and the query's ``own`` node (-1: none) are
+    looked at; finds within range are expanded until no neighbour is new.
+    """
+    rows = np.arange(len(sims))
+    at = starts[sims[:, starts].argmax(axis=1)]
+    moving = rows
+    while len(moving):
+        ahead = np.where(near[at[moving]] > 0, sims[moving], -2)
+        best = ahead.argmax(axis=1)
+        nearer = ahead[np.arange(len(moving)), best] > sims[moving, at[moving]]
+        moving = moving[nearer]
+        at[moving] = best[nearer]
+    seen = np.zeros(sims.shape, dtype=bool)
+    seen[rows, at] = True
+    seen[rows[own >= 0], own[own >= 0]] = True
+    for _ in range(2):
+        seen |= seen.astype(np.float32) @ near > 0
+    within = sims >= least
+    fresh = seen & within
+    while True:
+        active = np.flatnonzero(fresh.any(axis=1))
+        if not len(active):
+            return seen & within
+        ahead = (fresh[active].astype(np.float32) @ near > 0) & ~seen[active]
+        seen[active] |= ahead
+        fresh = np.zeros(sims.shape, dtype=bool)
+        fresh[active] = ahead & within[active]
+
+
 def visit(home: pd.DataFrame, visitors: pd.DataFrame, least: float) -> pd.DataFrame:
-    """What visitors of a shard find among the nodes at home there.
+    """What visitors of a shard find over the graph of the nodes at home there.
 
     Rows (node, n, next) have a node's number of finds, copies included, and the shards it has yet to visit; rows
     (node, other) are links that connect the finds.
@@ -120,13 +168,17 @@ def visit(home: pd.DataFrame, visitors: pd.DataFrame, least: float) -> pd.DataFr
     edges = _member(list(home["edges"]), shards).astype(np.float32)
     homes = np.unique(visitors["home"].to_numpy())
     called = np.zeros((len(ids), len(homes)), dtype=bool)
+    near = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    near[:, order] = _member(list(home["links"]), ids[order])
+    near = np.maximum(near, near.T)
+    starts = medoids(x, MEDOIDS)
     parts, links = [], []
     for a in range(0, len(visitors), BLOCK):
         own = visitors.iloc[a : a + BLOCK]
         q = own["node"].to_numpy()
-        hits = _unit(own["vec"]) @ x.T >= least
         at = order[np.minimum(np.searchsorted(ids, q, sorter=order), len(ids) - 1)]
         same = ids[at] == q
+        hits = search(_unit(own["vec"]) @ x.T, near, starts, np.where(same, at, -1), least)
         hits[np.flatnonzero(same), at[same]] = False
         found = hits.astype(np.float32)
         ahead = (found @ edges > 0) | _member(list(own["edges"]), shards)
@@ -204,24 +256,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         edges = [np.unique(home[own[x[own] @ x[i] >= close - 1e-9]]) for i, own in enumerate(build_graph(x))]
         return pd.DataFrame({"node": frame["node"], "edges": edges})
 
-    # k-means may leave most of a dense group in one shard: its graph is built in parts, while visits cover all of it
-    deal = placed.groupBy("grp", "shard").agg(F.ceil(F.count("*") / (2 * OVERLAP * SHARD)).alias("parts"))
+    def navigate(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = frame["node"].to_numpy()
+        return pd.DataFrame({"node": ids, "links": [ids[own] for own in build_graph(_unit(frame["vec"]))]})
+
+    # k-means may leave most of a dense group in one shard: its graphs are built in parts, and visits see all of them
+    deal = placed.groupBy("grp", "shard").agg(F.ceil(F.count("*") / (OVERLAP * ROOM)).alias("parts"))
     dealt = placed.join(deal, ["grp", "shard"]).withColumn("part", F.pmod(F.xxhash64("node", "shard"), "parts"))
     graph = dealt.groupBy("grp", "shard", "part").applyInPandas(build, "node long, edges array<long>")
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-    index = written(placed.where("shard = home").drop("shard").join(united, "node"), "graph")
-    rooms = written(index.groupBy("grp", F.col("home").alias("shard")).agg(F.ceil(F.count("*") / VISITORS).alias("rooms")), "rooms")
+    at_home = placed.where("shard = home").drop("shard")
+    rooms = written(at_home.groupBy("grp", F.col("home").alias("shard")).agg(F.ceil(F.count("*") / ROOM).alias("rooms")), "rooms")
+    housed = at_home.join(rooms.withColumnRenamed("shard", "home"), ["grp", "home"]).withColumn("room", F.pmod(F.xxhash64("node", F.lit(1)), "rooms"))
+    ways = housed.groupBy("grp", "home", "room").applyInPandas(navigate, "node long, links array<long>")
+    index = written(housed.drop("rooms").join(united, "node").join(ways, "node"), "graph")
     state = placed.groupBy("node").agg(F.collect_set("shard").alias("seen")).select("node", "seen", F.col("seen").alias("fresh"), F.lit(0).cast("long").alias("others"))
     state, links = written(state, "state"), None
     while True:
         going = state.where("size(fresh) > 0").select("node", "seen", F.explode("fresh").alias("shard"))
-        going = going.join(index, "node")
+        going = going.join(index.drop("links", "room"), "node")
         load = going.groupBy("grp", "shard").agg(F.ceil(F.count("*") / VISITORS).alias("parts")).join(rooms, ["grp", "shard"])
         visitors = going.join(load, ["grp", "shard"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("room", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rooms") - 1)))
         home = index.withColumn("shard", F.col("home")).join(load, ["grp", "shard"]).join(state.select("node", "seen"), "node")
-        home = home.withColumn("room", F.pmod(F.xxhash64("node", F.lit(1)), "rooms")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        home = home.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         keys, columns = ["grp", "shard", "part", "room"], ["node", "vec", "copies", "home", "edges", "seen"]
-        home = home.select(*[F.col(c).alias(c) for c in (*keys, *columns)])  # names of its own beside the visitors
+        home = home.select(*[F.col(c).alias(c) for c in (*keys, *columns, "links")])  # names of its own beside the visitors
         pairs = home.groupBy(*keys).cogroup(visitors.select(*keys, *columns).groupBy(*keys))
         found = written(pairs.applyInPandas(lambda h, v: visit(h, v, least), "node long, n long, next array<long>, other long"), "visits")
         own = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))

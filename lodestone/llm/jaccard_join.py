@@ -34,6 +34,8 @@ from lodestone.operators.graph import components
 SHINGLE, LEAST = 5, (80, 100)
 #: Address bits of the largest bitmap of wanted documents (16 MiB).
 MAX_BITS = 27
+#: Pairs that a task remembers.
+HELD = 1 << 18
 #: Bits of a bitmap for each shingle of the largest set in its band, and the largest bitmap.
 BITMAP_LOAD, BITMAP_MAX = 4, 1 << 17
 
@@ -307,8 +309,9 @@ def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs of a key's nodes in different components that their bitmaps let pass.
 
-    Rows (key, node, component, n, bits) arrive sorted; a key's rows are held (some hundred bytes each) and compared
-    in tiles.
+    Rows (key, centre, node, component, n, bits) arrive sorted by centre and key; a key's rows are held (some hundred bytes
+    each) and compared in tiles. Similar sets share many keys, and these mostly have one centre: a pair goes out once
+    for all keys of a centre, as far as ``HELD`` pairs can be remembered.
     """
 
     def tile(nodes, parts, sizes, maps):
@@ -322,22 +325,31 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        out: set[tuple[int, int]] = set()
 
         def flush():
             if len(held) > 1:
-                nodes, parts, sizes = (np.array([h[i] for h in held]) for i in (1, 2, 3))
-                for a, b in tile(nodes, parts, sizes, [np.frombuffer(h[4], np.uint64) for h in held]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                nodes, parts, sizes = (np.array([h[i] for h in held]) for i in (2, 3, 4))
+                for a, b in tile(nodes, parts, sizes, [np.frombuffer(h[5], np.uint64) for h in held]):
+                    fresh = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - out
+                    if fresh:
+                        if len(out) > HELD:
+                            out.clear()
+                        out.update(fresh)
+                        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[-1][0] != row[0]:
                     yield from flush()
+                    if held[-1][1] != row[1]:
+                        out.clear()
                     held = []
                 held.append(row)
         yield from flush()
+        settle()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition("centre").sortWithinPartitions("centre", "key").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -386,7 +398,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(rest)
         rest = spanning(components(links))
         if not rest.isEmpty():
-            open_rows = rest.select("key", "node", "component").join(maps, "node").select("key", "node", "component", "n", "bits")
+            open_rows = rest.select("key", "centre", "node", "component").join(maps, "node").select("key", "centre", "node", "component", "n", "bits")
             found.append(verified(_across(open_rows, num, den).distinct(), "across"))
             links = links.unionByName(found[-1])
     discard(rest, met, maps, wanted)

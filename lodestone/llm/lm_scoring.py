@@ -215,12 +215,28 @@ def start_weights() -> np.ndarray:
     return w
 
 
+@dataclass
+class Top:
+    """The most frequent words or segments: sorted hashes, their counts, and where each bucket of leading bits starts."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    bits: int
+    cuts: np.ndarray
+
+
+def make_top(keys: np.ndarray, counts: np.ndarray) -> Top:
+    bits = max(1, len(keys).bit_length())
+    starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    return Top(keys, counts, bits, np.append(starts, len(keys)).astype(np.int64))
+
+
 @dataclass
 class MixModel:
     code: Code
     tables: list[np.ndarray]
     weights: np.ndarray  # (contexts, gates): where every text starts
-    top: dict[int, tuple[np.ndarray, np.ndarray]]  # by kind: sorted hashes of the most frequent, and their counts
+    top: dict[int, Top]  # by kind
     n: int  # training tokens
     v: int  # distinct training tokens
     n_end: int  # training texts
@@ -405,8 +421,8 @@ def bit_tables(docs: DataFrame, text_col: str, code: Code) -> list[np.ndarray]:
     return [flat[a // 2 : b // 2] for a, b in zip(starts[:-1], starts[1:])]
 
 
-def _frequent(rows: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """(sorted hashes, counts) of the rows that reach a power of two of counts such that at most ``most`` do; and that power."""
+def _frequent(rows: DataFrame, most: int) -> tuple[Top, int]:
+    """Hashes and counts of the rows that reach a power of two of counts such that at most ``most`` do; and that power."""
     power = F.floor(F.log2("c")).cast("int")
     classes = {x[0]: x[1] for x in rows.groupBy(power.alias("k")).count().collect()}  # counts fall into few powers of two
     least, held = 64, 0
@@ -415,11 +431,11 @@ def _frequent(rows: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray]
             break
         held, least = held + classes[k], k
     if not held:
-        return (np.zeros(0, np.uint64), np.zeros(0)), least
+        return make_top(np.zeros(0, np.uint64), np.zeros(0)), least
     got = rows.where(power >= least).select("key", "c").toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return (keys[order], got.column("c").to_numpy()[order].astype(np.float64)), least
+    return make_top(keys[order], got.column("c").to_numpy()[order].astype(np.float64)), least
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[MixModel, DataFrame]:
@@ -439,14 +455,19 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[MixModel, DataFrame]:
     return model, counts.where(rest)
 
 
-def _known(top: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+def _known(top: Top, hashes: np.ndarray) -> np.ndarray:
     """Counts of the hashes that ``top`` has, else -1."""
-    keys, c = top
-    if not len(keys):
-        return np.full(len(hashes), -1.0)
-    own, which = np.unique(hashes, return_inverse=True)  # in order, neighbours in the table follow one another
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    return np.where(keys[at] == own, c[at], -1.0)[which]
+    out = np.full(len(hashes), -1.0)
+    bucket = hashes >> np.uint64(64 - top.bits)
+    at, end = top.cuts[bucket], top.cuts[bucket + np.uint64(1)]
+    todo = np.flatnonzero(at < end)
+    while len(todo):
+        here = at[todo]
+        met = top.keys[here] == hashes[todo]
+        out[todo[met]] = top.counts[here[met]]
+        at[todo] += 1
+        todo = todo[~met & (here + 1 < end[todo])]
+    return out
 
 
 def score(docs: DataFrame, model: MixModel, rest: DataFrame, keep: list[str], trained: Column, text_col: str = "text") -> DataFrame:
