@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import patterns as P
 from lodestone.operators.aggregates import percentile_90
 
 
@@ -34,10 +35,21 @@ def dead_code(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("incoming_count") == 0) & (F.coalesce("language", F.lit("")) != "csharp") & ~entry & ~is_test_path(F.col("file_path"))).select("file_path")
 
 
+def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a text holds any of the patterns, as one expression."""
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+
+
+def repo_path(path: Column) -> Column:
+    """Forward slashes, single, without a drive and without one at the start."""
+    p = F.regexp_replace(F.regexp_replace(path, r"\\\\", "/"), "^[A-Za-z]:/", "")
+    return F.regexp_replace(F.regexp_replace(p, "^/+", ""), "/+", "/")
+
+
 def is_test_path(path: Column) -> Column:
-    """Test files by folder or by name."""
-    p = F.lower(F.regexp_replace(path, r"\\", "/"))
-    return p.rlike(r"(^|/)(__tests__|tests?|spec|specs)/") | p.rlike(r"(^|/)test_[^/]*\.py$") | p.rlike(r"[^/]*[._-](test|spec)\.[a-z]+$") | p.rlike(r"[^/]*(_test\.go|_test\.py|tests?\.cs)$") & ~p.rlike(r"(^|/)contest\.")
+    """Test files by folder or by name; the endings of Java and C# keep their case."""
+    p = repo_path(path)
+    return p.rlike("|".join(f"(?:{x})" if exact else f"(?i:{x})" for x, exact in P.TEST_PATHS))
 
 
 def untested_critical(nodes: DataFrame) -> DataFrame:
@@ -67,46 +79,70 @@ def risk_scores(issues: DataFrame, transitive: DataFrame, churn: DataFrame, medi
     return rows.select("id", weight.alias("weight"), F.round(blast, 6).alias("blast"), F.round(moved, 6).alias("churn"), F.round(weight * blast * moved, 4).alias("risk_score"))
 
 
-def matches(df: DataFrame, text: str, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line, rule_id, severity): the lines that each rule's pattern matches, once for a rule and line.
-
-    ``rules``: (rule_id, pattern, severity), a small fixed catalogue. Its rows become expressions, so a line is read
-    once for all rules.
-    """
-    found = F.filter(
-        F.array(*[F.when(F.col("line_text").rlike(r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"))) for r in rules.orderBy("rule_id").limit(1000).collect()]),
-        lambda x: x.isNotNull(),
-    )
-    lines = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line_text"))
-    return lines.select(*keys, (F.col("at") + 1).alias("line"), F.inline(found))
-
+def scan_language(path: Column) -> Column:
+    """Language key of a path by its extension; null for others."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in P.SCAN_LANGUAGES for x in kv]), F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)))
 
-#: Fixed values: (rule, pattern, severity) of the line rules; public weakness classes.
-LINE_RULES = (
-    ("dangerous-eval", r"\beval\s*\(", "high"),
-    ("hardcoded-credential", r"(?i)(password|secret|token|api_?key)\s*[:=]\s*\S{4,}", "high"),
-    ("inline-script", r"(?i)<script\b", "medium"),
-    ("insecure-http", r"\bhttp://[a-z]", "low"),
-    ("mail-address", r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[a-z]{2,}", "low"),
-)
 
+def line_findings(df: DataFrame, key: str, path: str, text: str, disabled: tuple[str, ...] = (), rules: tuple = P.RULES) -> DataFrame:
+    """(key, path, line, rule_id, severity, cwe): lines that a rule of the file's language, or of all, matches; once for a rule and line.
 
-def attack_surface(df: DataFrame, path: str, text: str) -> DataFrame:
-    """``source``, ``sink``, ``both`` or null by what the text does: takes input from outside, or reaches a dangerous call."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    source = t.rlike(r"(?i)\b(app|router)\.(get|post|put|patch|delete)\s*\(|@app\.route|request\.(args|form|json|body|query|params)|<form\b|href=")
-    sink = t.rlike(r"(?i)\b(exec|execSync|spawn|system|popen|eval)\s*\(|(select|insert|update|delete)\s+.*\s+(from|into|set)\s|innerHTML|<script\b|track\(")
-    return df.select(path, F.when(source & sink, "both").when(source, "source").when(sink, "sink").alias("surface"))
+    Every line is read once, for all rules together. Plain http addresses are no finding in test files.
+    """
+    own = df.select(F.col(key).alias("__key"), F.col(path).alias("__path"), scan_language(F.col(path)).alias("__language"), F.posexplode(F.split(text, "\n")).alias("__at", "__line"))
+    in_test = F.lit(False)
+    for part in P.RULE_TEST_PARTS:
+        in_test = in_test | F.col("__path").contains(part)
+    found = []
+    for rule, language, severity, cwe, pattern in rules:
+        if pattern is None or rule in disabled:
+            continue
+        hit = F.col("__line").rlike(pattern) & (F.col("__language").isNotNull() if language is None else F.col("__language") == language)
+        hit = hit & ~in_test if rule == "cross_http_url" else hit
+        found.append(F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(cwe).alias("cwe"))))
+    hits = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<rule_id:string,severity:string,cwe:string>>")
+    return own.select(F.col("__key").alias(key), F.col("__path").alias(path), (F.col("__at") + 1).alias("line"), F.inline(hits))
+
+
+def rule_catalogue(spark, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """(rule_id, language, severity, cwe, kind, enabled) of all rules."""
+    rows = [(r, lang, sev, cwe, "syntax" if pattern is None else "line", r not in disabled) for r, lang, sev, cwe, pattern in P.RULES]
+    return spark.createDataFrame(rows, "rule_id string, language string, severity string, cwe string, kind string, enabled boolean")
+
+
+def attack_surface(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
+    """(key, surface): ``source``, ``sink``, ``both`` or null; null for languages that the patterns don't know."""
+    language, t = scan_language(F.col(path)), F.coalesce(F.col(text), F.lit(""))
+    source = F.lit(False)
+    for k, patterns in P.SOURCES.items():
+        source = F.when(language == k, any_of(t, patterns)).otherwise(source)
+    sink = language.isNotNull() & any_of(t, P.SINKS)
+    return df.select(key, F.when(source & sink, "both").when(source, "source").when(sink, "sink").alias("surface"))
+
+
+def route_paths(language: Column, text: Column) -> Column:
+    """Distinct routes of a text, in the order of the patterns; an empty one is the root."""
+    out = F.array().cast("array<string>")
+    for k, patterns in P.ROUTE_PATHS.items():
+        own = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda r: F.when(r == "", "/").otherwise(r)) for p in patterns])
+        out = F.when(language == k, own).otherwise(out)
+    return F.array_distinct(out)
 
 
 def missing_auth(df: DataFrame, key: str, path: str, text: str, imports: str) -> DataFrame:
-    """Route files with no sign of authentication in text or imports and at least one route that isn't public."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    routes = F.regexp_extract_all(t, F.lit(r"(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['\"]([^'\"]+)"), F.lit(1))
-    private = F.filter(routes, lambda r: ~r.rlike(r"(?i)^/?(health|login|logout|signup|register|public|status|auth)"))
-    marked = t.rlike(r"(?i)\b(requireAuth|authenticate|isAuthenticated|verifyToken|passport|jwt|login_required|authorize)\b")
-    imported = F.exists(F.coalesce(F.col(imports), F.array().cast("array<string>")), lambda i: F.lower(i).contains("auth"))
-    return df.where((F.size(private) > 0) & ~marked & ~imported).select(key, path, private.alias("routes"))
+    """(key, path, routes) of route files without a sign of authentication in text or imports, unless all their routes are public.
+
+    ``routes``: those that aren't public; empty where no route can be read from the text.
+    """
+    language, t = scan_language(F.col(path)), F.coalesce(F.col(text), F.lit(""))
+    handles = F.lit(False)
+    for k, patterns in P.ROUTE_FILES.items():
+        handles = F.when(language == k, any_of(t, patterns)).otherwise(handles)
+    imported = F.exists(F.coalesce(F.col(imports), F.array().cast("array<string>")), lambda i: any_of(i, tuple(f"(?i:{p})" for p in P.AUTH_IMPORTS)))
+    routes = route_paths(language, t)
+    private = F.filter(routes, lambda r: ~any_of(r, P.PUBLIC_ROUTES))
+    flagged = handles & ~any_of(t, P.AUTH_MARKERS) & ~imported & ((F.size(routes) == 0) | (F.size(private) > 0))
+    return df.where(flagged).select(key, path, private.alias("routes"))
 
 
 def entropy(text: Column) -> Column:
@@ -117,12 +153,13 @@ def entropy(text: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
-def secrets(df: DataFrame, key: str, text: str, least_entropy: float = 4.5, least_length: int = 20) -> DataFrame:
-    """(key, rule, value): assigned credentials, and long words of high entropy."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    assigned = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)((?:password|secret|token|api_?key|key)\s*[:=]\s*\S+)"), F.lit(1)), lambda v: F.struct(F.lit("assignment").alias("rule"), v.alias("value")))
-    words = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(rf"([A-Za-z0-9+/_=-]{{{least_length},}})"), F.lit(1))), lambda w: entropy(w) > least_entropy)
-    return df.select(key, F.inline(F.array_distinct(F.concat(assigned, F.transform(words, lambda v: F.struct(F.lit("entropy").alias("rule"), v.alias("value")))))))
+def secrets(df: DataFrame, key: str, text: str, least_entropy: float = 4.5) -> DataFrame:
+    """(key, line, rule): credentials by their public shapes, and assigned strings of high entropy. Values stay out of the result."""
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("__at", "__line"))
+    shapes = [F.when(F.col("__line").rlike(pattern), F.lit(rule)) for rule, pattern in P.SECRETS]
+    assigned = F.regexp_extract_all(F.col("__line"), F.lit(P.ASSIGNED_SECRET), F.lit(1))
+    generic = F.when(F.exists(assigned, lambda v: entropy(v) > least_entropy), F.lit("generic_entropy"))
+    return lines.select(key, (F.col("__at") + 1).alias("line"), F.explode(F.array_compact(F.array(*shapes, generic))).alias("rule"))
 
 
 def coverage(nodes: DataFrame, edges: DataFrame, formal: DataFrame) -> DataFrame:
@@ -133,20 +170,37 @@ def coverage(nodes: DataFrame, edges: DataFrame, formal: DataFrame) -> DataFrame
     return out.select("file_path", F.coalesce(F.col("coverage_percentage") > 0, "tested", F.lit(False)).alias("covered"))
 
 
-def match_coverage_paths(reported: DataFrame, files: DataFrame) -> DataFrame:
-    """(reported, file_path): exact, else the single file with the longest common ending, else none.
+def coverage_path(path: Column) -> Column:
+    """A reported path without the folders that build servers put before it."""
+    p = F.regexp_replace(repo_path(path), "(?i)^home/runner/work/[^/]+/[^/]+/", "")
+    p = F.regexp_replace(p, "(?i)^(github/workspace/|workspace/|build/|app/)", "")
+    # the first such folder inside, only
+    p = F.regexp_replace(p, "(?is)^(.*?)/(github/workspace|workspace|build|app)/(.*)$", "$1/$3")
+    return F.regexp_replace(p, "^/+", "")
+
+
+def match_coverage_paths(reported: DataFrame, files: DataFrame, root: str = "", candidates: int = 5, cap: int = 64) -> DataFrame:
+    """(reported, file_path): exact, then below ``root``, then by a common ending of whole segments, else none.
 
-    Candidates share the last segment, so the join is by equality.
+    Of several endings the longest file path wins; of up to ``candidates`` equally long ones, the single one that is
+    nearest by edit distance of the last ``cap`` characters. A suffix match shares the last segment, so the join is by equality.
     """
-    r = reported.select("reported", F.regexp_replace(F.regexp_replace("reported", r"\\", "/"), r"^(\./|/)", "").alias("p"))
-    r = r.withColumns({"name": F.element_at(F.split("p", "/"), -1), "parts": F.reverse(F.split("p", "/"))})
-    f = files.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("name"), F.reverse(F.split("file_path", "/")).alias("own"))
-    same = F.transform(F.arrays_zip("parts", "own"), lambda x: F.coalesce(x["parts"] == x["own"], F.lit(False)))
-    length = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same))
-    scored = r.join(f, "name").withColumn("score", F.when(F.col("p") == F.col("file_path"), 1000).otherwise(length))
+    base = root.strip("/") + "/" if root.strip("/") else ""
+    r = reported.select("reported").distinct().withColumn("p", coverage_path(F.col("reported")))
+    r = r.withColumn("name", F.element_at(F.split("p", "/"), -1))
+    f = files.select("file_path", repo_path(F.col("file_path")).alias("q")).withColumn("name", F.element_at(F.split("q", "/"), -1))
+    ending = F.col("p").endswith(F.concat(F.lit("/"), "q")) | F.col("q").endswith(F.concat(F.lit("/"), "p"))
+    rank = F.when(F.col("p") == F.col("q"), 3).when(F.col("p") == F.concat(F.lit(base), "q"), 2).when(ending, 1)
+    met = r.join(f, "name").withColumn("rank", rank).where("rank is not null")
+    distance = F.levenshtein(F.right("p", F.lit(cap)), F.right(F.concat(F.lit("/" + base), "q"), F.lit(cap)))
+    met = met.withColumns({"size": F.when(F.col("rank") == 1, F.length("q")).otherwise(0), "distance": F.when(F.col("rank") == 1, distance).otherwise(0)})
     w = Window.partitionBy("reported")
-    best = scored.withColumn("top", F.max("score").over(w)).where("score = top").withColumn("n", F.count("*").over(w)).where("n = 1")
-    return reported.select("reported").distinct().join(best.select("reported", "file_path"), "reported", "left")
+    top = met.withColumn("best", F.max(F.struct("rank", "size")).over(w)).where("rank = best.rank and size = best.size")
+    top = top.withColumns({"n": F.count("*").over(w), "nearest": F.min("distance").over(w)})
+    top = top.where(F.col("distance") == F.col("nearest")).withColumn("same", F.count("*").over(w))
+    won = top.where((F.col("n") == 1) | (F.col("rank") > 1) | ((F.col("n") <= candidates) & (F.col("same") == 1)))
+    won = won.groupBy("reported").agg(F.max("file_path").alias("file_path"))
+    return reported.select("reported").distinct().join(won, "reported", "left")
 
 
 def cvss_severity(score: Column) -> Column:

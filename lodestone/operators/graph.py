@@ -28,10 +28,11 @@ def neighbours(edges: DataFrame, node) -> DataFrame:
     return edges.where(F.col("a") == node).select(F.col("b").alias("node")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, enough: int | None = None) -> DataFrame:
     """(seed, node, depth): every other node that a seed reaches, with its least number of steps.
 
-    One join for each step over the frontier alone; nodes seen before leave by an anti join.
+    One join for each step over the frontier alone; nodes seen before leave by an anti join. ``enough``: a seed that has
+    found so many nodes at two or more steps goes no further, so that a count that saturates costs a bounded search.
     """
     frontier = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0))
     rounds, depth = [written(frontier, "frontier")], 0
@@ -43,10 +44,20 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
         near = written(near.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if near.isEmpty():
             break
+        if enough is not None and depth >= 2:
+            far = near if depth == 2 else rounds[0].where("depth >= 2").unionByName(near)
+            full = far.groupBy("seed").count().where(F.col("count") >= enough).select("seed")
+            rounds.append(near)
+            near = written(near.join(full, "seed", "left_anti"), "frontier")
+            if near.isEmpty():
+                break
+            rounds = [written(reduce(DataFrame.unionByName, rounds), "reached"), near]
+            continue
         rounds.append(near)
         if len(rounds) > 24:
             rounds = [written(reduce(DataFrame.unionByName, rounds[:-1]), "reached"), rounds[-1]]
-    return reduce(DataFrame.unionByName, rounds).where("depth > 0")
+    out = reduce(DataFrame.unionByName, rounds).where("depth > 0")
+    return out if enough is None else out.distinct()
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -55,9 +66,9 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = Non
     return out.withColumn("kind", F.when(F.col("depth") == 1, "direct").otherwise("transitive"))
 
 
-def transitive_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, n): dependents at two or more steps."""
-    far = reach(reverse(edges), seeds).where("depth >= 2").groupBy("seed").agg(F.count("*").alias("n"))
+def transitive_counts(edges: DataFrame, seeds: DataFrame, enough: int | None = None) -> DataFrame:
+    """(seed, n): dependents at two or more steps; beyond ``enough`` of them, some number that isn't less."""
+    far = reach(reverse(edges), seeds, enough=enough).where("depth >= 2").groupBy("seed").agg(F.count("*").alias("n"))
     return seeds.select(F.col("node").alias("seed")).distinct().join(far, "seed", "left").fillna(0, ["n"])
 
 
@@ -156,6 +167,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return every.join(keep, "component", "left_semi").select("node", "component")
 
 
+def cycles(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(component, path): a shortest cycle through each component's own node, from it back to it; the least path of equals.
+
+    ``groups``: (node, component) of ``strong_components``. The frontiers of all components go on together, with one path
+    for each node reached.
+    """
+    at = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
+    inside = edges.join(at("a"), "a").join(at("b"), "b").where("a_component = b_component").select(F.col("a_component").alias("component"), "a", "b").distinct()
+    inside = written(inside, "inside")
+    front = groups.select("component").distinct().select("component", F.col("component").alias("a"), F.array("component").alias("path"))
+    seen, done = front.select("component", F.col("a").alias("b")).limit(0), []
+    while True:
+        step = front.join(inside, ["component", "a"]).groupBy("component", "b").agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+        step = written(step.join(seen, ["component", "b"], "left_anti"), "cycle-step")
+        back = step.where(F.col("b") == F.col("component")).select("component", "path")
+        done.append(back)
+        seen = seen.unionByName(step.select("component", "b"))
+        front = written(step.join(back, "component", "left_anti").select("component", F.col("b").alias("a"), "path"), "cycle-front")
+        if front.isEmpty():
+            return reduce(DataFrame.union, done)
+
+
 def greedy_walk(nodes: DataFrame, edges: DataFrame, max_steps: int = 6) -> list:
     """Start at the best source (by incoming, then complexity, then path), go to the best unvisited neighbour; one top-1
     query for each of at most ``max_steps`` steps."""

@@ -1,11 +1,14 @@
 """Vector and text similarity.
 
 Vectors are unit-scaled once; a dot product of two of them is a cosine. Pair search never crosses all rows: exact mode
-joins within a repository, and text pairs meet on shared grams.
+joins within a repository, text pairs meet within a repository and a band of sizes, under a bound that sums settle before
+any gram is compared, and nearest neighbours at scale come from an inverted file of cells.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,28 @@ def nearest(chunks: DataFrame, query: list[float], k: int, max_distance: float |
     return out.orderBy("distance", "id").limit(k)
 
 
+def cells(chunks: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """The chunks with ``cell``, the place of their nearest centroid by cosine distance (the first of equals): an inverted
+    file once it is written partitioned by cell. Vectors at distance 1 from all, null ones too, lie in cell 0."""
+    distances = F.array(*[F.struct(cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(k).alias("cell")) for k, c in enumerate(centroids)])
+    return chunks.withColumn("cell", F.array_min(distances)["cell"])
+
+
+def probes(query: list[float], centroids: list[list[float]], n: int) -> list[int]:
+    """The ``n`` cells whose centroids are nearest to a query."""
+
+    def distance(c: list[float]) -> float:
+        norm = math.sqrt(sum(x * x for x in c)) * math.sqrt(sum(x * x for x in query))
+        return 1 - sum(x * y for x, y in zip(c, query)) / norm if norm else 1.0
+
+    return sorted(range(len(centroids)), key=lambda k: (distance(centroids[k]), k))[:n]
+
+
+def nearest_in_cells(index: DataFrame, query: list[float], k: int, centroids: list[list[float]], n: int) -> DataFrame:
+    """Top k among the chunks of the ``n`` nearest cells: approximate, and a scan of those cells alone."""
+    return nearest(index.where(F.col("cell").isin(probes(query, centroids, n))), query, k)
+
+
 def best_or_nothing(ranked: DataFrame, guard: float) -> DataFrame:
     """The rows, if their best distance is within the guard; else none."""
     best = ranked.agg(F.min("distance").alias("best"))
@@ -59,55 +84,85 @@ def duplicate_pairs(chunks: DataFrame, threshold: float, mode: str = "exact", k:
     return near.groupBy(F.least("id", "id_b").alias("chunk_a_id"), F.greatest("id", "id_b").alias("chunk_b_id")).agg(F.max("similarity").alias("similarity"))
 
 
+def cluster_severity(members: Column, lines: Column) -> Column:
+    """high from 4 members or 80 lines on, medium from 3 or 40, else low."""
+    return F.when((members >= 4) | (lines >= 80), "high").when((members == 3) | (lines >= 40), "medium").otherwise("low")
+
+
 def duplicate_clusters(pairs: DataFrame, groups: DataFrame, chunks: DataFrame) -> DataFrame:
     """Statistics of each component: members, lines, least and greatest similarity, severity."""
     members = groups.join(chunks.select(F.col("id").alias("node"), (F.col("end_line") - F.col("start_line") + 1).alias("lines")), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("n_members"), F.sum("lines").alias("total_lines"))
     ends = pairs.join(groups.withColumnRenamed("node", "chunk_a_id"), "chunk_a_id").groupBy("component").agg(F.min("similarity").alias("min_similarity"), F.max("similarity").alias("max_similarity"))
-    n, lines = F.col("n_members"), F.col("total_lines")
-    severity = F.when((n >= 4) | (lines >= 80), "high").when((n == 3) | (lines >= 40), "medium").otherwise("low")
-    return sizes.join(ends, "component").withColumn("severity", severity)
+    return sizes.join(ends, "component").withColumn("severity", cluster_severity(F.col("n_members"), F.col("total_lines")))
+
 
+#: Words that code normalisation keeps; what stands for every other word, string or number.
+KEYWORDS = ("break", "case", "catch", "class", "const", "continue", "default", "else", "export", "false", "for", "from", "function", "if", "import", "in", "let", "new", "null", "return", "switch", "throw", "true", "try", "while")
+PLACEHOLDER = "ID"
 
-#: Words that code normalisation keeps.
-KEYWORDS = ("async", "await", "break", "case", "catch", "class", "const", "continue", "def", "else", "export", "finally", "for", "from", "function", "if", "import", "in", "let", "new", "return", "switch", "throw", "try", "var", "while")
+#: One token of code: a string, a number, a name, another run of word characters, or any other character.
+_TOKEN = r"""((['"`])(?:\\.|(?!\2)[\s\S])*\2|\b\d+(?:\.\d+)?\b|\b[A-Za-z_$][\w$]*\b|\w+|[\s\S])"""
 
 
 def normalised_code(text: Column) -> Column:
-    """Comments go, strings become S, numbers N, identifiers I; white space is single. Null is empty."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)/\*.*?\*/", " ")
-    t = F.regexp_replace(t, r"(?m)(//|#).*$", " ")
-    t = F.regexp_replace(t, r"""(["'`])(?:\\.|(?!\1).)*\1""", " S ")
-    t = F.regexp_replace(t, r"\b\d+(?:\.\d+)?\b", "N")
-    t = F.regexp_replace(t, r"\b(?!(?:" + "|".join(KEYWORDS) + r"|S|N)\b)[A-Za-z_]\w*\b", "I")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Code as keywords, punctuation and placeholders, with single blanks; comments are blanks. Null is empty.
+
+    The text is cut at block comments, then at line comments, and read once as tokens.
+    """
+    plain = F.array_join(F.split(F.coalesce(text, F.lit("")), r"/\*[\s\S]*?\*/"), " ")
+    plain = F.array_join(F.split(plain, r"//[^\n]*"), " ")
+
+    def kept(token: Column) -> Column:
+        literal = token.rlike(r"^(?:['\"`][\s\S]|[0-9]+(?:\.[0-9]+)?$)")
+        return F.when(literal, f" {PLACEHOLDER} ").when(token.rlike(r"^[A-Za-z_$]") & (token != "$") & ~token.isin(*KEYWORDS), PLACEHOLDER).otherwise(token)
+
+    tokens = F.transform(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(1)), kept)
+    return F.trim(F.regexp_replace(F.array_join(tokens, ""), r"\s+", " "))
 
 
 def bigrams(text: Column) -> Column:
-    """All neighbouring pairs of characters."""
+    """All neighbouring pairs of characters; a shorter text is its own only gram."""
     n = F.length(text)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array(text))
+
+
+#: Sums of grams that bound an overlap before any gram is compared.
+PARTS = 32
 
 
 def dice_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b, similarity): multiset bigram Dice above the threshold between texts of one repository in different
-    files. Pairs meet on grams; for a pair above the threshold the larger text has at most (2 - t) / t times the bigrams
-    of the smaller, which the join tests first."""
-    grams = texts.select("id", "repo_id", "file_path", F.explode(bigrams(F.col("content"))).alias("g")).groupBy("id", "repo_id", "file_path", "g").agg(F.count("*").alias("c"))
-    sizes = grams.groupBy("id").agg(F.sum("c").alias("n"))
-    own = grams.join(sizes, "id")
-    b = own.select(F.col("id").alias("id_b"), F.col("repo_id").alias("repo_b"), F.col("file_path").alias("file_b"), "g", F.col("c").alias("c_b"), F.col("n").alias("n_b"))
+    """(id_a, id_b, similarity): multiset bigram Dice above the threshold between texts of one repository in different files.
+
+    For a pair above the threshold the larger text has at most (2 - t) / t times the bigrams of the smaller, so pairs meet
+    in size bands of that width, or in neighbouring ones. Grams fall into ``PARTS`` sums by hash; the overlap of the sums
+    is never less than that of the grams, and only pairs that it lets pass have their grams compared.
+    """
+    own = texts.where("content is not null").select("id", "repo_id", "file_path", F.explode(bigrams(F.col("content"))).alias("g"))
+    grams = own.groupBy("id", "repo_id", "file_path", "g").agg(F.count("*").alias("c"))
+    part = F.pmod(F.xxhash64("g"), F.lit(PARTS))
     ratio = (2 - threshold) / threshold
-    on = (own["repo_id"] == F.col("repo_b")) & (own["g"] == b["g"]) & (F.col("id") < F.col("id_b")) & (F.col("file_path") != F.col("file_b")) & (F.col("n") <= F.col("n_b") * ratio) & (F.col("n_b") <= F.col("n") * ratio)
-    shared = own.join(b, on).groupBy(F.col("id").alias("id_a"), "id_b").agg(F.sum(F.least("c", "c_b")).alias("both"), F.first("n").alias("n"), F.first("n_b").alias("n_b"))
-    return shared.select("id_a", "id_b", (2 * F.col("both") / (F.col("n") + F.col("n_b"))).alias("similarity")).where(F.col("similarity") > threshold)
+    sizes = grams.groupBy("id", "repo_id", "file_path").agg(F.sum("c").alias("n"), F.array(*[F.sum(F.when(part == k, F.col("c")).otherwise(0)) for k in range(PARTS)]).alias("parts"))
+    sizes = sizes.withColumn("band", F.floor(F.log("n") / math.log(ratio)).cast("int"))
+    a = sizes.select("repo_id", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("x"), F.col("file_path").alias("file_x"), F.col("n").alias("n_x"), F.col("parts").alias("parts_x"), F.col("band").alias("band_x"))
+    b = sizes.select("repo_id", "band", F.col("id").alias("y"), F.col("file_path").alias("file_y"), F.col("n").alias("n_y"), F.col("parts").alias("parts_y"))
+    bound = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
+    once = (F.col("band_x") < F.col("band")) | (F.col("x") < F.col("y"))  # within a band each pair meets twice
+    met = a.join(b, ["repo_id", "band"]).where((F.col("x") != F.col("y")) & (F.col("file_x") != F.col("file_y")) & once)
+    met = met.where((2 * bound > threshold * (F.col("n_x") + F.col("n_y"))) & (F.col("n_x") <= F.col("n_y") * ratio) & (F.col("n_y") <= F.col("n_x") * ratio))
+    pairs = met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), (F.col("n_x") + F.col("n_y")).alias("total"))
+    left = grams.select(F.col("id").alias("id_a"), "g", F.col("c").alias("c_a"))
+    right = grams.select(F.col("id").alias("id_b"), "g", F.col("c").alias("c_b"))
+    both = pairs.join(left, "id_a").join(right, ["id_b", "g"]).groupBy("id_a", "id_b").agg(F.sum(F.least("c_a", "c_b")).alias("both"), F.first("total").alias("total"))
+    return both.select("id_a", "id_b", (2 * F.col("both") / F.col("total")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def fuzzy_score(needle: Column, haystack: Column) -> Column:
-    """1 if the haystack holds the needle, else set Dice of bigrams; both lower-cased."""
-    a, b = F.lower(needle), F.lower(haystack)
+    """1 for an empty needle or one that the haystack holds, 0 for an empty haystack, else set Dice of bigrams; lower-cased,
+    with single blanks. Nulls are empty."""
+    a, b = (F.trim(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"\s+", " ")) for t in (needle, haystack))
     x, y = F.array_distinct(bigrams(a)), F.array_distinct(bigrams(b))
-    return F.when(b.contains(a), 1.0).when(F.size(x) + F.size(y) > 0, 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))).otherwise(0.0)
+    return F.when(a == "", 1.0).when(b == "", 0.0).when(b.contains(a), 1.0).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
 def capped_levenshtein(a: Column, b: Column, cap: int = 64) -> Column:

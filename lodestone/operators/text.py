@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import code
+
 #: Language by file extension.
 LANGUAGE_BY_EXTENSION = (("js", "javascript"), ("jsx", "javascript"), ("ts", "typescript"), ("tsx", "typescript"), ("py", "python"), ("cs", "csharp"), ("go", "go"), ("java", "java"), ("rs", "rust"), ("rb", "ruby"))
 
@@ -31,13 +33,13 @@ def clean_version(version: Column) -> Column:
 
 
 def packed_lines(df: DataFrame, key: str, text: str, budget: int = 450) -> DataFrame:
-    """(key, part, start_line, end_line): lines packed greedily into parts of at most ``budget`` estimated tokens; a
-    longer line has a part of its own. A fold over the array of lines, as the state starts anew with each part."""
-    sizes = F.transform(F.split(text, "\n"), lambda x: estimated_tokens(x).cast("int"))
+    """(key, part, start_line, end_line): lines, each with its line break, packed greedily into parts of at most ``budget``
+    estimated tokens; a longer line has a part of its own. A fold over the array of lines, as the state starts anew with each part."""
+    sizes = F.transform(F.split(text, "\n"), lambda x: F.ceil((F.length(x) + 1) / 4).cast("int"))
     start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("sum"), F.lit(0).alias("at"))
 
     def step(acc: Column, n: Column) -> Column:
-        full = (acc["sum"] > 0) & (acc["sum"] + n > budget)
+        full = (acc["at"] > 0) & (acc["sum"] + n > budget)
         return F.struct(F.when(full, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"]).alias("ends"), F.when(full, n).otherwise(acc["sum"] + n).cast("int").alias("sum"), (acc["at"] + 1).cast("int").alias("at"))
 
     ends = F.aggregate(sizes, start, step, lambda acc: F.concat(acc["ends"], F.array(acc["at"])))
@@ -45,6 +47,11 @@ def packed_lines(df: DataFrame, key: str, text: str, budget: int = 450) -> DataF
     return rows.select(key, "part", (F.coalesce(F.get("ends", F.col("part") - 1), F.lit(0)) + 1).alias("start_line"), "end_line")
 
 
+def chunks(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
+    """(key, start_line, end_line, content): short files whole, others by their definitions and the gaps between them."""
+    return df.select(key, F.inline(code.code_chunks(F.col(path), F.coalesce(text, F.lit("")))))
+
+
 def excerpt(text: Column, lines: int = 8, characters: int = 200) -> Column:
     """The first lines, at most so many characters."""
     return F.substring(F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n"), 1, characters)
@@ -65,35 +72,97 @@ def dependency_text(text: Column) -> list[Column]:
     return [F.regexp_extract(text, r"([\w@/.-]+)@([\w.-]+)", 1).alias("package_name"), F.regexp_extract(text, r"([\w@/.-]+)@([\w.-]+)", 2).alias("pkg_version"), F.lower(F.regexp_extract(text, r"\((\w+)\)", 1)).alias("severity")]
 
 
-#: Import patterns of scripts; group 1 is what is imported.
-IMPORT_PATTERNS = {
-    "javascript": r"""(?:import\s+(?:[\w*{},\s]+\s+from\s+)?|require\()\s*['"]([^'"]+)['"]""",
-    "python": r"(?m)^\s*(?:from\s+([.\w]+)\s+import|import\s+[.\w]+)",
-}
+def imports(df: DataFrame, path: str, text: str) -> DataFrame:
+    """(from_path, kind, name, symbols): what each file imports, unresolved."""
+    return df.select(F.col(path).alias("from_path"), F.inline(code.imports(F.col(path), F.coalesce(text, F.lit("")))))
 
 
-def imported(text: Column, language: str) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IMPORT_PATTERNS[language]), F.lit(1)), lambda x: x != ""))
+def folder_of(path: Column) -> Column:
+    """The folder with a slash at its end; empty for a file at the root."""
+    return F.regexp_replace(path, r"[^/]*$", "")
 
 
-def resolve_imports(files: DataFrame, imports: DataFrame, endings: tuple[str, ...] = ("", ".js", ".ts", "/index.js", "/index.ts", ".py", "/__init__.py")) -> DataFrame:
-    """(from_path, to_path): relative imports against the file list; the first ending that exists wins.
+def normal_path(path: Column) -> Column:
+    """Without empty, ``.`` and ``..`` segments; what would lead above the root stays at it."""
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
-    ``imports``: (from_path, name). Paths are normalised segment by segment.
-    """
-    base = F.concat(F.regexp_replace("from_path", r"[^/]*$", ""), F.col("name"))
-    parts = F.aggregate(F.split(base, "/"), F.array().cast("array<string>"), lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    candidates = imports.where(F.col("name").startswith(".")).select("from_path", "name", F.array_join(parts, "/").alias("base"), F.posexplode(F.array(*map(F.lit, endings))).alias("place", "ending"))
-    met = candidates.select("from_path", "name", "place", F.concat("base", "ending").alias("to_path")).join(files.select(F.col("file_path").alias("to_path")), "to_path")
-    return met.groupBy("from_path", "name").agg(F.min_by("to_path", "place").alias("to_path")).select("from_path", "to_path")
+
+#: Endings that a script's relative import may leave out, in the order that they are tried.
+SCRIPT_ENDINGS = ("", ".tsx", ".ts", ".jsx", ".js", "/index.tsx", "/index.ts", "/index.js")
 
 
-def resolve_suffix(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(from_path, to_path): packages by the folder that their last segments name; the least path of a folder wins."""
-    f = files.select("file_path", F.element_at(F.split("file_path", "/"), -2).alias("leaf"))
-    i = imports.select("from_path", "name", F.element_at(F.split("name", "/"), -1).alias("leaf"))
-    met = i.join(f, "leaf").where(F.concat(F.lit("/"), F.regexp_replace("file_path", "/[^/]*$", "")).endswith(F.concat(F.lit("/"), F.col("name"))))
-    return met.groupBy("from_path", "name").agg(F.min("file_path").alias("to_path")).select("from_path", "to_path")
+def import_candidates(found: DataFrame) -> DataFrame:
+    """(from_path, kind, name, place, to_path): the paths that a script's or Python's import may mean, the first that exists wins."""
+    own = found.withColumns({"__language": language_of(F.col("from_path")), "__folder": folder_of(F.col("from_path"))})
+    name, folder = F.col("name"), F.col("__folder")
+    # scripts: relative names only
+    base = normal_path(F.concat(folder, name))
+    script = F.when(name.rlike(r"^\.\.?/"), F.array(*[F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS]))
+    # Python: one dot is the file's folder, each further dot one above it; else below the root or the file's folder
+    dots = F.length(F.regexp_extract("name", r"^(\.*)", 1))
+    up = F.concat(folder, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))))
+    rest = F.replace(F.expr("substring(name, length(regexp_extract(name, '^([.]*)', 1)) + 1)"), F.lit("."), F.lit("/"))
+    near = normal_path(F.concat(up, rest))
+    below = F.replace("name", F.lit("."), F.lit("/"))
+    within = normal_path(F.concat(folder, below))
+    relative = F.array(F.concat(near, F.lit(".py")), F.when(near == "", "__init__.py").otherwise(F.concat(near, F.lit("/__init__.py"))))
+    absolute = F.array(F.concat(below, F.lit(".py")), F.concat(within, F.lit(".py")), F.concat(below, F.lit("/__init__.py")), F.concat(within, F.lit("/__init__.py")))
+    every = F.when(F.col("__language").isin("javascript", "typescript"), script).when(F.col("__language") == "python", F.when(dots > 0, relative).otherwise(absolute))
+    return own.select("from_path", "kind", "name", F.posexplode(every).alias("place", "to_path"))
+
+
+def resolve_imports(files: DataFrame, found: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
+    """(from_path, name, to_path): imports against the files (file_path); one that no rule resolves gives no row.
+
+    ``found``: (from_path, kind, name). Scripts and Python try candidates in order. C# asks ``namespaces`` (namespace,
+    file_path), and gets all files of one. Go: a file of that name at the root, then the name as a path, else every file
+    below a folder of its last segment. Java, Rust and Ruby: by the file name, the least path first; Rust modules and
+    relative requires by the importing file's folder. All joins are by equality, on whole paths, file names or folders.
+    """
+    f = files.select(F.col("file_path").alias("to_path")).distinct()
+    i = found.select("from_path", F.coalesce("kind", F.lit("import")).alias("kind"), "name").distinct()
+    met = import_candidates(i).join(f, "to_path").groupBy("from_path", "name").agg(F.min_by("to_path", "place").alias("to_path"))
+    out = met.select("from_path", "name", "to_path")
+    if namespaces is not None:
+        own = i.where(language_of(F.col("from_path")) == "csharp").withColumnRenamed("name", "namespace")
+        out = out.unionByName(own.join(namespaces.select("namespace", F.col("file_path").alias("to_path")).distinct(), "namespace").select("from_path", F.col("namespace").alias("name"), "to_path"))
+    return out.unionByName(resolve_packages(f, i))
+
+
+def resolve_packages(files: DataFrame, found: DataFrame) -> DataFrame:
+    """The part of ``resolve_imports`` for Go, Java, Rust and Ruby, over (to_path) and (from_path, kind, name)."""
+    language = language_of(F.col("from_path"))
+    named = files.withColumn("file", F.element_at(F.split("to_path", "/"), -1))
+    # Go
+    go = found.where(language == "go").withColumn("last", F.element_at(F.split("name", "/"), -1))
+    exact = go.select("from_path", "name", F.posexplode(F.array(F.concat("last", F.lit(".go")), F.concat("name", F.lit(".go")))).alias("place", "to_path"))
+    exact = exact.join(files, "to_path").groupBy("from_path", "name").agg(F.min_by("to_path", "place").alias("to_path"))
+    folders = files.select("to_path", F.explode(F.array_distinct(F.slice(F.split("to_path", "/"), F.lit(1), F.size(F.split("to_path", "/")) - 1))).alias("last"))
+    rest = go.join(exact.select("from_path", "name"), ["from_path", "name"], "left_anti").join(folders, "last")
+    # by file name; for Ruby an ending of the whole name goes before the file name alone
+    java = found.where(language == "java").select("from_path", "name", F.concat(F.element_at(F.split("name", r"\."), -1), F.lit(".java")).alias("tail"))
+    parts = F.filter(F.split("name", "::"), lambda p: ~p.isin("crate", "super", "self"))
+    rust = found.where((language == "rust") & (F.col("kind") == "use")).select("from_path", "name", F.concat(F.try_element_at(parts, F.lit(-1)), F.lit(".rs")).alias("tail")).where("tail is not null")
+    ruby = found.where((language == "ruby") & (F.col("kind") == "require")).select("from_path", "name", F.when(F.col("name").endswith(".rb"), F.col("name")).otherwise(F.concat("name", F.lit(".rb"))).alias("tail"))
+    tails = java.unionByName(rust).unionByName(ruby).withColumn("file", F.element_at(F.split("tail", "/"), -1)).join(named, "file")
+    whole = F.concat(F.lit("/"), "to_path").endswith(F.concat(F.lit("/"), "tail"))
+    by_name = tails.groupBy("from_path", "name").agg(F.min_by("to_path", F.struct(~whole, "to_path")).alias("to_path"))
+    # by the folder of the importing file
+    folder = folder_of(F.col("from_path"))
+    mod = found.where((language == "rust") & (F.col("kind") == "mod")).select("from_path", "name", F.posexplode(F.array(F.concat("name", F.lit(".rs")), F.concat("name", F.lit("/mod.rs")))).alias("place", "tail"))
+    relative = found.where((language == "ruby") & (F.col("kind") == "require_relative")).select("from_path", "name", F.lit(0).alias("place"), F.when(F.col("name").endswith(".rb"), F.col("name")).otherwise(F.concat("name", F.lit(".rb"))).alias("tail"))
+    near = mod.unionByName(relative).withColumn("to_path", normal_path(F.concat(folder, "tail"))).join(files, "to_path").groupBy("from_path", "name").agg(F.min_by("to_path", "place").alias("to_path"))
+    columns = ["from_path", "name", "to_path"]
+    return exact.select(columns).unionByName(rest.select(columns)).unionByName(by_name.select(columns)).unionByName(near.select(columns))
+
+
+def import_edges(files: DataFrame, path: str = "file_path", text: str = "content") -> DataFrame:
+    """(from_path, to_path, symbols): the import graph of (path, text); scripts' edges carry the names that they import."""
+    found = imports(files, path, text)
+    spaces = files.select(F.col(path).alias("file_path"), F.explode(code.exports(F.col(path), F.coalesce(text, F.lit("")))).alias("namespace")).where(language_of(F.col("file_path")) == "csharp")
+    met = resolve_imports(files.select(F.col(path).alias("file_path")), found, spaces).join(found.select("from_path", "name", "symbols"), ["from_path", "name"])
+    return met.groupBy("from_path", "to_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))).alias("symbols"))
 
 
 def namespace_files(exports: DataFrame) -> DataFrame:
@@ -102,7 +171,6 @@ def namespace_files(exports: DataFrame) -> DataFrame:
 
 
 def imported_symbols(statement: Column) -> Column:
-    """Names between the braces of an import, without renames."""
+    """Local names between the braces of an import: of a rename the new name."""
     inner = F.regexp_extract(statement, r"\{([^}]*)\}", 1)
-    return F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(F.regexp_replace(s, r"\s+as\s+.*$", ""))), lambda s: s != "")
-
+    return F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(F.regexp_replace(s, r"^.*\s+as\s+", ""))), lambda s: s != "")

@@ -91,13 +91,13 @@ def audit_ranking(nodes: DataFrame, weights: DataFrame, surface: DataFrame, k: i
     return own.select("file_path", score.alias("score")).orderBy(F.desc("score"), "file_path").limit(k)
 
 
-def hotspots(churn: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
-    """(commits / most commits) * (complexity / greatest complexity), maxima floored at 1; the top k above 0."""
+def hotspots(churn: DataFrame, nodes: DataFrame, k: int | None = 10) -> DataFrame:
+    """(commits / most commits) * (complexity / greatest complexity), maxima floored at 1; the top k above 0, or all."""
     j = churn.join(nodes.select("file_path", "complexity_score"), "file_path", "left").withColumn("cx", F.coalesce("complexity_score", F.lit(0)))
     top = j.agg(F.greatest(F.lit(1), F.max("commit_count")).alias("mc"), F.greatest(F.lit(1), F.max("cx")).alias("mx"))
     scored = j.crossJoin(F.broadcast(top)).withColumn("score", (F.col("commit_count") / F.col("mc")) * (F.col("cx") / F.col("mx")))  # one row
     out = scored.where("score > 0").select("file_path", "commit_count", "cx", "score", F.when(F.col("score") > 0.5, "high").otherwise("medium").alias("severity"))
-    return out.orderBy(F.desc("score"), "file_path").limit(k)
+    return out if k is None else out.orderBy(F.desc("score"), "file_path").limit(k)
 
 
 #: Severity order of issue lists; others come last.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import aggregates as A
 from lodestone.operators import detection as D
 from lodestone.operators import graph as G
-from lodestone.operators.windows import within_budget
+from lodestone.operators.windows import hotspots, within_budget
 from lodestone.plans.registry import query
 
 
@@ -35,40 +35,27 @@ query(
 
 
 def _risk(m):
-    seeds = m.issues.where("id < 60").select(F.col("id").alias("node"))
-    counts = G.transitive_counts(m.edge_ids, seeds).join(m.nodes.select(F.col("file_id").alias("seed"), "file_path"), "seed").select("file_path", "n")
-    return D.risk_scores(m.issues.where("id < 60"), counts, m.churn.select("file_path", "commits_in_last_30d"), A.median_of(m.churn, "commit_count").select((F.col("median") / 10).alias("median")))
+    seeds = m.issues.select(F.col("id").alias("node"))
+    counts = G.transitive_counts(m.edge_ids, seeds, enough=99).join(m.nodes.select(F.col("file_id").alias("seed"), "file_path"), "seed").select("file_path", "n")
+    return D.risk_scores(m.issues, counts, m.churn.select("file_path", "commits_in_last_30d"), A.median_of(m.churn, "commit_count").select((F.col("median") / 10).alias("median")))
 
 
 query(
     "D5_risk_scores",
     _risk,
-    ", r(seed, node, depth) AS (SELECT b, a, 1 FROM edge_ids WHERE b < 60 UNION SELECT r.seed, e.a, r.depth + 1 FROM r JOIN edge_ids e ON e.b = r.node WHERE r.depth < 40), t AS (SELECT seed, count(*) AS n FROM (SELECT seed, node, min(depth) AS d FROM r WHERE seed <> node GROUP BY 1, 2) WHERE d >= 2 GROUP BY 1), p AS (SELECT id, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS weight, least(3.0, 1 + log10(1 + coalesce(n, 0))) AS blast, CASE WHEN commits_in_last_30d IS NULL OR md = 0 THEN 1.0 ELSE least(2.0, 1 + commits_in_last_30d / md) END AS churn FROM issues LEFT JOIN t ON seed = id LEFT JOIN churn ON churn.file_path = file_paths[1], (SELECT median(commit_count) / 10 AS md FROM churn) WHERE id < 60) SELECT id, weight, round(blast, 6)::DOUBLE AS blast, round(churn, 6)::DOUBLE AS churn, round(weight * blast * churn, 4)::DOUBLE AS risk_score FROM p",
+    ", reach(a, b) AS (SELECT a, b FROM edge_ids UNION SELECT r.a, e.b FROM reach r JOIN edge_ids e ON r.b = e.a), t AS (SELECT b AS seed, count(*) AS n FROM (SELECT a, b FROM reach WHERE a <> b EXCEPT SELECT a, b FROM edge_ids) GROUP BY 1), p AS (SELECT id, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS weight, least(3.0, 1 + log10(1 + coalesce(n, 0))) AS blast, CASE WHEN commits_in_last_30d IS NULL OR md = 0 THEN 1.0 ELSE least(2.0, 1 + commits_in_last_30d / md) END AS churn FROM issues LEFT JOIN t ON seed = id LEFT JOIN churn ON churn.file_path = file_paths[1], (SELECT median(commit_count) / 10 AS md FROM churn)) SELECT id, weight, round(blast, 6)::DOUBLE AS blast, round(churn, 6)::DOUBLE AS churn, round(weight * blast * churn, 4)::DOUBLE AS risk_score FROM p",
     "edge_ids", "issues", "churn",
     recursive=True,
 )
-query("D6_hotspot_score", lambda m: m.churn.join(m.nodes, "file_path").select("file_path", F.round(F.col("commit_count") * F.coalesce("complexity_score", F.lit(0)) / 1000, 4).alias("score")), "SELECT file_path, round(commit_count * coalesce(complexity_score, 0) / 1000, 4) AS score FROM churn JOIN nodes USING (file_path)", "churn", "nodes")
-query("D7_attack_surface", lambda m: D.attack_surface(m.table("pages"), "page_id", "html").groupBy("surface").agg(F.count("*").alias("n")), "WITH p AS (SELECT regexp_matches(html, '\\b(app|router)\\.(get|post|put|patch|delete)\\s*\\(|@app\\.route|request\\.(args|form|json|body|query|params)|<form\\b|href=', 'i') AS a, regexp_matches(html, '\\b(exec|execSync|spawn|system|popen|eval)\\s*\\(|(select|insert|update|delete)\\s+.*\\s+(from|into|set)\\s|innerHTML|<script\\b|track\\(', 'i') AS b FROM pages) SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'source' WHEN b THEN 'sink' END AS surface, count(*) AS n FROM p GROUP BY 1")
-
-
-def _rules(m):
-    return m.spark.createDataFrame(list(D.LINE_RULES), "rule_id string, pattern string, severity string")
-
-
-_RULE_SQL = "(VALUES ('dangerous-eval', '\\beval\\s*\\(', 'high'), ('hardcoded-credential', '(?i)(password|secret|token|api_?key)\\s*[:=]\\s*\\S{4,}', 'high'), ('inline-script', '(?i)<script\\b', 'medium'), ('insecure-http', '\\bhttp://[a-z]', 'low'), ('mail-address', '[A-Za-z0-9._]+@[A-Za-z0-9-]+\\.[a-z]{2,}', 'low'))"
-query("D8_line_rules", lambda m: D.matches(m.table("pages"), "html", _rules(m), ["page_id"]).select("page_id", "line", "rule_id", "severity"), f"WITH l AS (SELECT page_id, generate_subscripts(string_split(html, chr(10)), 1)::INT AS line, unnest(string_split(html, chr(10))) AS t FROM pages), r(rule_id, pattern, severity) AS {_RULE_SQL} SELECT page_id, line, rule_id, severity FROM l, r WHERE regexp_matches(t, pattern)")
-query("D8_document_rules", lambda m: D.matches(m.table("documents"), "text", _rules(m), ["doc_id"]).select("doc_id", "line", "rule_id"), f"WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line, unnest(string_split(text, chr(10))) AS t FROM documents), r(rule_id, pattern, severity) AS {_RULE_SQL} SELECT doc_id, line, rule_id FROM l, r WHERE regexp_matches(t, pattern)")
-query("D10_rule_catalogue", _rules, f"SELECT * FROM {_RULE_SQL} r(rule_id, pattern, severity)")
 query(
-    "D11_missing_auth",
-    lambda m: D.missing_auth(m.table("part").select("p_partkey", F.lit("routes.js").alias("path"), F.concat(F.lit("router.get('/"), F.when(F.col("p_partkey") % 3 == 0, "login").otherwise(F.col("p_name")), F.lit("', "), F.when(F.col("p_partkey") % 5 == 0, "requireAuth").otherwise("h"), F.lit(")")).alias("text"), F.array("p_type").alias("imports")), "p_partkey", "path", "text", "imports").select("p_partkey"),
-    "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0",
-)
-query("D12_secrets", lambda m: D.secrets(m.table("documents"), "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n")))
-query("D13_complexity", lambda m: m.table("pages").select("page_id", (F.regexp_count("html", F.lit(r"\b(if|for|while|case|catch)\b|&&|\|\|")) + F.greatest(F.lit(1), F.regexp_count("html", F.lit(r"\bfunction\b")))).alias("complexity")), "SELECT page_id, len(regexp_extract_all(html, '\\b(if|for|while|case|catch)\\b|&&|\\|\\|')) + greatest(1, len(regexp_extract_all(html, '\\bfunction\\b'))) AS complexity FROM pages")
+    "D6_hotspot_score",
+    lambda m: hotspots(m.churn, m.nodes, None).select("file_path", F.round("score", 6).alias("score"), "severity"),
+    ", j AS (SELECT c.file_path, commit_count, coalesce(complexity_score, 0) AS cx FROM churn c LEFT JOIN nodes USING (file_path)), s AS (SELECT file_path, commit_count / greatest(1, max(commit_count) OVER ()) * (cx / greatest(1, max(cx) OVER ())) AS score FROM j) SELECT file_path, round(score, 6) AS score, CASE WHEN score > 0.5 THEN 'high' ELSE 'medium' END AS severity FROM s WHERE score > 0",
+    "churn", "nodes",
+)
 query("D14_test_paths", lambda m: m.nodes.where(D.is_test_path(F.col("file_path"))).select("file_path"), "SELECT file_path FROM nodes WHERE is_test_file", "nodes")
 query("D15_coverage", lambda m: D.coverage(m.nodes, m.edges, m.nodes.where("file_id % 10 = 3").select("file_path", (F.col("file_id") % 4 * 25.0).alias("coverage_percentage"))), "SELECT n.file_path, CASE WHEN file_id % 10 = 3 THEN file_id % 4 > 0 ELSE n.file_path IN (SELECT to_path FROM edges WHERE from_path LIKE 'tests/%') END AS covered FROM nodes n", "nodes", "edges")
-query("D16_coverage_paths", lambda m: D.match_coverage_paths(m.nodes.where("file_id % 6 = 1").select(F.concat(F.lit("/root/app/"), "file_path").alias("reported")), m.nodes.select("file_path")), "SELECT '/root/app/' || file_path AS reported, file_path FROM nodes WHERE file_id % 6 = 1", "nodes")
+query("D16_coverage_paths", lambda m: D.match_coverage_paths(m.nodes.select(F.concat(F.lit("/root/app/"), "file_path").alias("reported")), m.nodes.select("file_path")), "SELECT '/root/app/' || file_path AS reported, file_path FROM nodes", "nodes")
 query("D17_cvss", lambda m: m.table("lineitem").groupBy(D.cvss_severity(F.col("l_quantity") / 5).alias("severity")).agg(F.count("*").alias("n")), "SELECT CASE WHEN l_quantity / 5 < 4 THEN 'low' WHEN l_quantity / 5 <= 7 THEN 'medium' ELSE 'high' END AS severity, count(*) AS n FROM lineitem GROUP BY 1")
 query(
     "D18_first_fixed",
@@ -77,15 +64,16 @@ query(
 )
 query("D19_dependency_issues", lambda m: D.dependency_issues(m.dependencies), "SELECT id, package_name, pkg_version, v.id AS vuln_id, v.severity AS severity FROM (SELECT id, package_name, pkg_version, unnest(vulns) AS v FROM dependencies)", "dependencies")
 query("D20_cache_misses", lambda m: D.cache_split(m.usage.select("user_id", "endpoint").distinct(), m.usage.select("user_id", "endpoint", "created_at"), ["user_id", "endpoint"], "2024-01-20")[1], "SELECT user_id, endpoint FROM usage GROUP BY 1, 2 HAVING NOT coalesce(bool_or(created_at > TIMESTAMP '2024-01-19'), FALSE)", "usage")
-_COUNTS = ", c AS (SELECT repo_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) AS total FROM findings WHERE finding_id % 40 = 0 GROUP BY 1)"
+_COUNTS = ", c AS (SELECT finding_id // 4 AS review, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) AS total FROM findings GROUP BY 1)"
 
 
 def _reviews(m):
-    return A.severity_counts(m.findings.where("finding_id % 40 = 0"), ["repo_id"]).withColumn("status", F.when(F.col("total") > 1, "ready"))
+    """One or two findings make a review; those of two are ready."""
+    return A.severity_counts(m.findings.withColumn("review", F.expr("finding_id div 4")), ["review"]).withColumn("status", F.when(F.col("total") > 1, "ready"))
 
 
-query("D21_gate", lambda m: D.gate(_reviews(m), ["critical"]).select("repo_id", "fails"), f"{_COUNTS} SELECT repo_id, total <= 1 OR critical > 0 AS fails FROM c", "findings")
-query("D22_review_event", lambda m: D.review_event(_reviews(m), "high").select("repo_id", "event"), f"{_COUNTS} SELECT repo_id, CASE WHEN critical + high > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event FROM c", "findings")
+query("D21_gate", lambda m: D.gate(_reviews(m), ["critical"]).select("review", "fails"), f"{_COUNTS} SELECT review, total <= 1 OR critical > 0 AS fails FROM c", "findings")
+query("D22_review_event", lambda m: D.review_event(_reviews(m), "high").select("review", "event"), f"{_COUNTS} SELECT review, CASE WHEN critical + high > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event FROM c", "findings")
 query(
     "D23_new_in_diff",
     lambda m: D.new_in_diff(_dense(m).where("file_id % 3 <> 0"), _dense(m).withColumn("line_count", F.col("line_count") + 50)),
@@ -102,5 +90,5 @@ query(
 )
 query("D28_finding_id", lambda m: m.findings.select("finding_id", D.finding_id(F.col("file_path"), F.col("line_number"), F.col("rule_id"), F.col("message")).alias("hex")), "SELECT finding_id, sha1(file_path || ':' || line_number || ':' || rule_id || ':' || message)[1:16] AS hex FROM findings", "findings")
 query("D29_audit_budget", lambda m: within_budget(m.texts.withColumn("tokens", D.audit_tokens(F.col("n_chars"))), ["repo_id"], ["id"], F.col("tokens"), 20000, first_always=False).select("id", "tokens"), ", t AS (SELECT id, repo_id, 3212 + least(ceil(n_chars / 4), 5000)::BIGINT AS tokens FROM texts), s AS (SELECT *, sum(tokens) OVER (PARTITION BY repo_id ORDER BY id) AS s FROM t) SELECT id, tokens FROM s WHERE s <= 20000", "texts")
-query("D31_review_status", lambda m: _reviews(m).select("repo_id", D.review_status(F.col("status"), F.col("critical"), F.col("high"), F.col("total")).alias("state")), f"{_COUNTS} SELECT repo_id, CASE WHEN total <= 1 THEN 'not_reviewed' WHEN critical + high > 0 THEN 'blocking' ELSE 'findings' END AS state FROM c", "findings")
+query("D31_review_status", lambda m: _reviews(m).select("review", D.review_status(F.col("status"), F.col("critical"), F.col("high"), F.col("total")).alias("state")), f"{_COUNTS} SELECT review, CASE WHEN total <= 1 THEN 'not_reviewed' WHEN critical + high > 0 THEN 'blocking' ELSE 'findings' END AS state FROM c", "findings")
 query("D32_staleness", lambda m: m.nodes.select("file_id", D.staleness(F.when(F.col("file_id") % 3 > 0, F.col("content_hash")), F.when(F.col("file_id") % 3 == 1, F.col("content_hash")).otherwise("abcdefghij")).alias("note")), "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'Index commit is unknown' WHEN file_id % 3 = 2 THEN 'Index is at ' || content_hash[1:7] || ', head is abcdefg' END AS note FROM nodes", "nodes")

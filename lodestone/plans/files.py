@@ -9,16 +9,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lodestone.functions.code import python_complexity, python_dangerous_calls
 from lodestone.operators import aggregates as A
 from lodestone.operators.incremental import add_rollup
 from lodestone.plans.registry import query
 from lodestone.sources import coverage, files, manifests
+from lodestone.sources.tables import read_commits
 from lodestone.storage import fresh_path
 from lodestone.streaming.usage import changed_files
 
-_PART = "p_partkey < 400"
-
 
 def _package_json(m):
     name = F.replace("p_name", F.lit(" "), F.lit("-"))
@@ -34,7 +32,7 @@ query(
 
 
 def _lcov(m):
-    lines = m.table("lineitem").where("l_partkey < 200").groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.concat(F.lit("DA:"), F.concat("l_orderkey", F.lit("0"), "l_linenumber"), F.lit(","), F.when(F.col("l_tax") > 0.03, "1").otherwise("0")))).alias("l"))
+    lines = m.table("lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.concat(F.lit("DA:"), F.concat("l_orderkey", F.lit("0"), "l_linenumber"), F.lit(","), F.when(F.col("l_tax") > 0.03, "1").otherwise("0")))).alias("l"))
     text = F.concat(F.lit("SF:f"), F.col("l_partkey").cast("string"), F.lit("\n"), F.array_join("l", "\n"), F.lit("\nend_of_record"))
     return lines.select(F.lit("cov/lcov.info").alias("file_path"), text.alias("content"))
 
@@ -42,21 +40,30 @@ def _lcov(m):
 query(
     "S7_coverage",
     lambda m: coverage.parse_reports(_lcov(m)).select("reported", F.round("coverage_percentage", 6).alias("percent")),
-    "SELECT 'f' || l_partkey AS reported, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 6)::DOUBLE AS percent FROM (SELECT l_partkey, l_orderkey || '0' || l_linenumber AS n, bool_or(l_tax > 0.03) AS hit FROM lineitem WHERE l_partkey < 200 GROUP BY 1, 2) GROUP BY 1",
+    "SELECT 'f' || l_partkey AS reported, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 6)::DOUBLE AS percent FROM (SELECT l_partkey, l_orderkey || '0' || l_linenumber AS n, bool_or(l_tax > 0.03) AS hit FROM lineitem GROUP BY 1, 2) GROUP BY 1",
 )
-query("S8_commits", lambda m: m.commits.select("sha", "author", F.size("files").alias("n_files")), "SELECT o_orderkey AS sha, o_custkey::VARCHAR AS author, count(*) AS n_files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def _commits(m):
+    """Commits written as pages of JSON and read as a source."""
+    path = fresh_path(m.spark, "commit-pages")
+    detail = F.transform("files", lambda f: F.struct(f["filename"].alias("filename"), f["additions"].cast("long").alias("additions"), f["deletions"].cast("long").alias("deletions")))
+    pages = m.commits.select(F.col("sha").cast("string").alias("sha"), F.struct(F.struct(F.lit(None).cast("string").alias("name"), F.col("author").alias("email"), F.col("ts").alias("date")).alias("author")).alias("commit"), detail.alias("files"))
+    pages.write.json(path)
+    return read_commits(m.spark, path, "1995-01-01", None).select("sha", "author", F.size("files").alias("n_files"))
+
+
+query("S8_commits", _commits, "SELECT o_orderkey::VARCHAR AS sha, o_custkey::VARCHAR AS author, count(*) AS n_files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING max(l_shipdate) >= TIMESTAMP '1995-01-01'")
 
 
 def _scan(m):
-    """Documents as source files in folders by language, scanned again."""
+    """Documents as lines of source files in folders by source, scanned again."""
     root = fresh_path(m.spark, "scan") + "/root"
-    docs = m.table("documents").where("doc_id < 300")
-    docs.select(F.concat(F.lit("x"), F.col("text")).alias("value"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k")).repartition(4).write.partitionBy("k").text(root)
-    found = files.scan_folder(m.spark, root, ("txt",))
-    return found.select(F.regexp_extract("file_path", r"k=(d\d+)", 1).alias("k"), F.sha2(F.regexp_replace(F.expr("substring(content, 2)"), "\n$", ""), 256).alias("h"))
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", ""))
+    m.table("documents").where("text is not null").select(line.alias("value"), "source").write.partitionBy("source").text(root)
+    found = files.scan_folder(m.spark, root, ("txt",)).select(F.explode(F.split(F.trim("content"), "\n")).alias("line")).where("line <> ''")
+    return found.select(F.split("line", " ")[0].cast("long").alias("doc_id"), F.sha2(F.unbase64(F.split("line", " ")[1]), 256).alias("h"))
 
 
-query("S2_scan_folder", _scan, "SELECT 'd' || doc_id AS k, sha256(text) AS h FROM documents WHERE doc_id < 300")
+query("S2_scan_folder", _scan, "SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL")
 
 
 def _zips(m):
@@ -73,11 +80,11 @@ def _zips(m):
                 out.append(data.getvalue())
             yield pd.DataFrame({"path": "z.zip", "content": out})
 
-    packed = m.table("documents").where("doc_id < 300").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
+    packed = m.table("documents").where("text is not null").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
     return files.unpack(packed).select("file_path", F.sha2("content", 256).alias("h"))
 
 
-query("S3_archives", _zips, "SELECT 'r/' || doc_id || '.py' AS file_path, sha256(text) AS h FROM documents WHERE doc_id < 300")
+query("S3_archives", _zips, "SELECT 'r/' || doc_id || '.py' AS file_path, sha256(text) AS h FROM documents WHERE text IS NOT NULL")
 
 
 def _csv(m):
@@ -98,15 +105,6 @@ def _dynamic(m):
 query("A17_dynamic_counts", _dynamic, ", c AS (SELECT repo_id, CASE WHEN id % 10 > 0 THEN severity ELSE 'null' END AS k, count(*) AS c FROM issues GROUP BY 1, 2) SELECT repo_id, list(k || '=' || c ORDER BY k) AS by_severity FROM c GROUP BY 1", "issues")
 
 
-def _python(m):
-    text = F.concat(F.lit("def f(x):\n    if x:\n        return "), F.when(F.col("p_size") % 2 == 0, "eval(x)").otherwise("str(x)"), F.lit("\n    return "), F.when(F.col("p_size") % 3 == 0, "x or 1").otherwise("1"), F.lit("\n"))
-    return m.table("part").where(_PART).select("p_partkey", text.alias("text"))
-
-
-query("D9_syntax_rules", lambda m: _python(m).select("p_partkey", F.inline(python_dangerous_calls("text"))), f"SELECT p_partkey, 3 AS line, 'eval' AS call, 'high' AS severity FROM part WHERE p_size % 2 = 0 AND {_PART}")
-query("D13_python_complexity", lambda m: _python(m).select("p_partkey", python_complexity("text").alias("complexity")), f"SELECT p_partkey, 2 + (p_size % 3 = 0)::INT AS complexity FROM part WHERE {_PART}")
-
-
 def _incremental(m):
     """A stream of usage files, each batch added to the stored rollup."""
     source, state = fresh_path(m.spark, "stream-in"), fresh_path(m.spark, "stream-state")

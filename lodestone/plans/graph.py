@@ -26,20 +26,28 @@ query("G7_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node = 4
 query("G8_attack_paths", lambda m: G.simple_paths(m.edge_ids, _nodes(m).where("node % 5 = 4"), _nodes(m).where("node % 8 = 5"), 20, 20), _WALKS.format(src="a % 5 = 4", dst="path[-1] % 8 = 5", n=20, k=20), "edge_ids", recursive=True)
 query(
     "G9_components",
-    lambda m: G.components(m.edge_ids.where("a % 6 = 1")),
-    ", u AS (SELECT a, b FROM edge_ids WHERE a % 6 = 1 AND a <> b UNION SELECT b, a FROM edge_ids WHERE a % 6 = 1 AND a <> b), c(a, b) AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM c GROUP BY a",
+    lambda m: G.components(m.edge_ids),
+    ", u AS (SELECT a, b FROM edge_ids WHERE a <> b UNION SELECT b, a FROM edge_ids WHERE a <> b), c(a, b) AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM c GROUP BY a",
     "edge_ids",
     recursive=True,
 )
 query(
     "G10_transitive_counts",
-    lambda m: G.transitive_counts(m.edge_ids, _nodes(m).where("node < 30")),
-    ", r(seed, node, depth) AS (SELECT b, a, 1 FROM edge_ids WHERE b < 30 UNION SELECT r.seed, e.a, r.depth + 1 FROM r JOIN edge_ids e ON e.b = r.node WHERE r.depth < 40), d AS (SELECT seed, node, min(depth) AS depth FROM r WHERE seed <> node GROUP BY 1, 2) SELECT p_partkey AS seed, count(node) AS n FROM part LEFT JOIN d ON seed = p_partkey AND depth >= 2 WHERE p_partkey < 30 GROUP BY 1",
+    lambda m: G.transitive_counts(m.edge_ids, _nodes(m)),
+    f"{_REACH}, d AS (SELECT b AS seed, count(*) AS n FROM (SELECT a, b FROM reach WHERE a <> b EXCEPT SELECT a, b FROM edge_ids) GROUP BY 1) SELECT p_partkey AS seed, coalesce(n, 0) AS n FROM part LEFT JOIN d ON seed = p_partkey",
     "edge_ids",
     recursive=True,
 )
 query("G11_cycle_issues", lambda m: G.strong_components(m.edge_ids).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(F.lit("circular_dependency").alias("type"), "nodes"), f"{_SCC} SELECT 'circular_dependency' AS type, list(node ORDER BY node) AS nodes FROM scc GROUP BY component", "edge_ids", recursive=True)
 
+query(
+    "G11_cycles",
+    lambda m: G.cycles(m.edge_ids, G.strong_components(m.edge_ids)).select("component", (F.size("path") - 1).alias("length")),
+    f"{_SCC}, inner_edges AS (SELECT x.component AS c, a, b FROM edge_ids JOIN scc x ON x.node = a JOIN scc y ON y.node = b AND y.component = x.component), back(c, node, depth) AS (SELECT c, b, 1 FROM inner_edges WHERE a = c UNION SELECT e.c, e.b, depth + 1 FROM back k JOIN inner_edges e ON e.c = k.c AND e.a = k.node WHERE k.node <> k.c AND depth < 60) SELECT c AS component, min(depth) AS length FROM back WHERE node = c GROUP BY 1",
+    "edge_ids",
+    recursive=True,
+)
+
 
 def _walk(m):
     nodes = m.degrees.select(F.col("file_id").alias("node"), (F.col("file_id") % 40 == 5).alias("is_source"), "incoming_count", "complexity_score")
@@ -61,5 +69,5 @@ query("G15_radius", lambda m: G.radius(m.degrees.select("file_id", "incoming_cou
 _RINGS = ", ring AS (SELECT node, min(r) AS ring FROM (SELECT p_partkey AS node, 0 AS r FROM part WHERE p_partkey % 100 = 7 UNION ALL SELECT b, 1 FROM edge_ids WHERE a % 100 = 7 UNION ALL SELECT a, 1 FROM edge_ids WHERE b % 100 = 7) GROUP BY 1), shown AS (SELECT * FROM ring ORDER BY ring, node LIMIT 80)"
 query("G16_display_nodes", lambda m: G.display_graph(_nodes(m).where("node % 100 = 7"), m.edge_ids)[0], f"{_RINGS} SELECT node, ring FROM shown", "edge_ids")
 query("G16_display_edges", lambda m: G.display_graph(_nodes(m).where("node % 100 = 7"), m.edge_ids)[1], f"{_RINGS} SELECT a, b FROM edge_ids WHERE a IN (SELECT node FROM shown) AND b IN (SELECT node FROM shown) ORDER BY a, b LIMIT 150", "edge_ids")
-query("G17_path_edges", lambda m: G.path_edges(m.table("orders").where("o_orderkey < 300").select(F.array(F.col("o_custkey") % 9, F.col("o_orderkey") % 7, F.col("o_custkey") % 5).alias("path"))), "SELECT o_custkey % 9 AS a, o_orderkey % 7 AS b FROM orders WHERE o_orderkey < 300 UNION SELECT o_orderkey % 7, o_custkey % 5 FROM orders WHERE o_orderkey < 300")
+query("G17_path_edges", lambda m: G.path_edges(m.table("orders").select(F.array(F.col("o_custkey") % 9, F.col("o_orderkey") % 7, F.col("o_custkey") % 5).alias("path"))), "SELECT o_custkey % 9 AS a, o_orderkey % 7 AS b FROM orders UNION SELECT o_orderkey % 7, o_custkey % 5 FROM orders")
 query("G18_impact_ids", lambda m: G.impact_ids(m.edges.select(F.col("to_path").alias("file_path")).distinct(), m.nodes.where("file_id % 3 = 0")), "SELECT to_path AS file_path, coalesce(file_id::VARCHAR, to_path) AS id FROM (SELECT DISTINCT to_path FROM edges) LEFT JOIN (SELECT * FROM nodes WHERE file_id % 3 = 0) ON file_path = to_path", "edges", "nodes")

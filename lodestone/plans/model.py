@@ -152,6 +152,15 @@ class Model:
     def texts(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("repo_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), "lang", "n_chars")
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        """Source files in four languages: file_id, file_path, content of five lines that the scans know."""
+        k, size = F.col("p_partkey"), F.col("p_size")
+        second = F.when(size % 3 == 0, F.concat(F.lit("url = 'http://h"), k.cast("string"), F.lit(".example/'"))).when(size % 3 == 1, F.concat(F.lit("host = '192.168.1."), (size % 250).cast("string"), F.lit("'"))).otherwise("url = 'http://localhost/'")
+        fourth = F.when(size % 4 == 0, "router.get('/x', run)").when(size % 4 == 1, "router.get('/x', require('child_process'))").when(size % 4 == 2, "child_process.run(x)").otherwise("pass")
+        text = F.concat_ws("\n", F.concat(F.lit("size = "), size.cast("string")), second, F.lit("cursor.execute('a %s' % name)"), fourth, F.lit("MD5.Create() + SHA1 + DES"))
+        return self.table("part").select(k.alias("file_id"), path_of(k).alias("file_path"), text.alias("content"))
+
 
 _K = "p_partkey"
 _N = "(SELECT count(*) FROM part)"
@@ -168,6 +177,7 @@ CTE = {
     "notifications": """notifications AS (SELECT event_id AS id, user_id, event_id % 5 AS repo_id, event_type AS type, props->>'$.k' AS dedup_key, CASE WHEN event_id % 3 = 0 THEN ts END AS read_at, ts AS created_at FROM events)""",
     "dependencies": f"""dependencies AS (SELECT {_K} AS id, p_brand AS repo_id, 'm' || ({_K} % 9) || '/package.json' AS manifest_path, 'npm' AS ecosystem, replace(p_name, ' ', '-') AS package_name, '1.' || p_size AS pkg_version, {_K} % 4 = 0 AS is_transitive, list_transform(range(1, p_size % 3 + 1), lambda i: {{'id': 'V' || {_K} || '-' || i, 'severity': (['low', 'medium', 'high'])[(i + {_K}) % 3 + 1]}}) AS vulns FROM part)""",
     "chunks": f"""chunks AS (SELECT vec_id AS id, label AS repo_id, {path_sql('vec_id')} AS file_path, vec_id * 3 % 50 AS start_line, vec_id * 3 % 50 + vec_id % 30 AS end_line, embedding FROM embeddings)""",
+    "sources": f"""sources AS (SELECT {_K} AS file_id, {path_sql(_K)} AS file_path, 'size = ' || p_size || chr(10) || CASE p_size % 3 WHEN 0 THEN 'url = ''http://h' || {_K} || '.example/''' WHEN 1 THEN 'host = ''192.168.1.' || (p_size % 250) || '''' ELSE 'url = ''http://localhost/''' END || chr(10) || 'cursor.execute(''a %s'' % name)' || chr(10) || CASE p_size % 4 WHEN 0 THEN 'router.get(''/x'', run)' WHEN 1 THEN 'router.get(''/x'', require(''child_process''))' WHEN 2 THEN 'child_process.run(x)' ELSE 'pass' END || chr(10) || 'MD5.Create() + SHA1 + DES' AS content, p_size FROM part)""",
     "texts": """texts AS (SELECT doc_id AS id, source AS repo_id, 'doc/' || doc_id AS file_path, text AS content, lang, n_chars FROM documents)""",
 }
 _NEEDS = {"edges": ("edge_ids",), "degrees": ("nodes", "edge_ids", "edges")}

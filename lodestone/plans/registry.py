@@ -22,7 +22,7 @@ def query(name: str, build: Callable[[Model], DataFrame], sql: str | None = None
 def _load() -> None:
     import importlib
 
-    for module in ("basic", "joins", "windows", "graph", "similarity", "detection", "incremental", "text", "streams", "files"):
+    for module in ("basic", "joins", "windows", "graph", "similarity", "detection", "scans", "incremental", "text", "streams", "files"):
         importlib.import_module(f"lodestone.plans.{module}")
 
 

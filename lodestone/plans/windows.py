@@ -8,25 +8,25 @@ from lodestone.operators import aggregates as A
 from lodestone.operators import windows as W
 from lodestone.plans.registry import query
 
-query("W1_renumber", lambda m: W.renumber(m.table("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).where("l_orderkey < 500").select("l_orderkey", "l_partkey", "step_order"), "SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step_order FROM lineitem WHERE l_orderkey < 500")
+query("W1_renumber", lambda m: W.renumber(m.table("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_partkey", "step_order"), "SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step_order FROM lineitem")
 query("W2_latest", lambda m: W.latest(m.table("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"]), "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 query("W3_latest_pending", lambda m: W.latest(m.table("orders").where("o_orderstatus = 'P'"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], ["o_orderkey"]), "SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus = 'P') WHERE k = 1")
 query("W4_first_chunk", lambda m: W.earliest(m.chunks, ["repo_id"], ["start_line", "id"], ["id", "start_line"]), "SELECT repo_id, id, start_line FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY start_line, id) AS k FROM chunks) WHERE k = 1", "chunks")
-_DAYS = "d AS (SELECT user_id, created_at::DATE AS day, sum(prompt_tokens)::DOUBLE AS v FROM usage WHERE user_id < 60 AND user_id % 7 < 5 GROUP BY 1, 2)"
-query("W5_trend_delta", lambda m: W.trend_delta(m.usage.where("user_id < 60 and user_id % 7 < 5").groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.sum("prompt_tokens").cast("double").alias("v")), ["user_id"], "day", "v"), f", {_DAYS} SELECT user_id, arg_min(v, day) AS first_value, arg_max(v, day) AS last_value, count(*) AS n, CASE WHEN count(*) > 1 THEN round(arg_max(v, day) - arg_min(v, day), 2) END AS delta FROM d GROUP BY 1", "usage")
+_DAYS = "d AS (SELECT user_id, created_at::DATE AS day, sum(prompt_tokens)::DOUBLE AS v FROM usage GROUP BY 1, 2)"
+query("W5_trend_delta", lambda m: W.trend_delta(m.usage.groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.sum("prompt_tokens").cast("double").alias("v")), ["user_id"], "day", "v"), f", {_DAYS} SELECT user_id, arg_min(v, day) AS first_value, arg_max(v, day) AS last_value, count(*) AS n, CASE WHEN count(*) > 1 THEN round(arg_max(v, day) - arg_min(v, day), 2) END AS delta FROM d GROUP BY 1", "usage")
 query("W6_budget", lambda m: W.within_budget(m.texts, ["repo_id"], ["id"], F.col("n_chars"), 12000).select("repo_id", "id"), ", x AS (SELECT repo_id, id, sum(n_chars) OVER (PARTITION BY repo_id ORDER BY id) AS s, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS k FROM texts) SELECT repo_id, id FROM x WHERE s <= 12000 OR k = 1", "texts")
 query("W7_budget_offset", lambda m: W.within_budget(m.texts, ["repo_id"], ["id"], F.col("n_chars"), 24000, offset=3000, first_always=False).select("repo_id", "id"), ", x AS (SELECT repo_id, id, 3000 + sum(n_chars) OVER (PARTITION BY repo_id ORDER BY id) AS s FROM texts) SELECT repo_id, id FROM x WHERE s <= 24000", "texts")
 
 
 def _gaps(m):
-    spans = m.table("lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 60 + 1).alias("start_line"), (F.col("l_partkey") % 60 + 1 + F.col("l_suppkey") % 9).alias("end_line"))
+    spans = m.table("lineitem").select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 60 + 1).alias("start_line"), (F.col("l_partkey") % 60 + 1 + F.col("l_suppkey") % 9).alias("end_line"))
     return W.uncovered_runs(spans, spans.select("file").distinct().withColumn("n_lines", F.lit(80).cast("long")), "file")
 
 
 query(
     "W9_uncovered_runs",
     _gaps,
-    "WITH s AS (SELECT l_orderkey AS file, l_partkey % 60 + 1 AS a, l_partkey % 60 + 1 + l_suppkey % 9 AS b FROM lineitem WHERE l_orderkey < 2000), c AS (SELECT DISTINCT file, unnest(generate_series(a, b)) AS line FROM s), l AS (SELECT f.file, line FROM (SELECT DISTINCT file FROM s) f, (SELECT unnest(generate_series(1, 80)) AS line) EXCEPT SELECT * FROM c), g AS (SELECT file, line, line - row_number() OVER (PARTITION BY file ORDER BY line) AS island FROM l) SELECT file, min(line) AS start, max(line) AS \"end\" FROM g GROUP BY file, island",
+    "WITH s AS (SELECT l_orderkey AS file, l_partkey % 60 + 1 AS a, l_partkey % 60 + 1 + l_suppkey % 9 AS b FROM lineitem), c AS (SELECT DISTINCT file, unnest(generate_series(a, b)) AS line FROM s), l AS (SELECT f.file, line FROM (SELECT DISTINCT file FROM s) f, (SELECT unnest(generate_series(1, 80)) AS line) EXCEPT SELECT * FROM c), g AS (SELECT file, line, line - row_number() OVER (PARTITION BY file ORDER BY line) AS island FROM l) SELECT file, min(line) AS start, max(line) AS \"end\" FROM g GROUP BY file, island",
 )
 query(
     "W10_fold_messages",

@@ -15,16 +15,19 @@ def _percent(hit: int, total: int) -> float:
 
 
 def lcov(text: str) -> list[tuple[str, float]]:
-    out, name, hits = [], None, {}
+    """By the totals of found and hit lines where they are given, else by the lines themselves."""
+    out, name, hits, totals = [], None, {}, {}
     for line in text.splitlines():
         kind, _, rest = line.strip().partition(":")
         if kind == "SF":
-            name, hits = rest, {}
+            name, hits, totals = rest, {}, {}
+        elif kind in ("LF", "LH"):
+            totals[kind] = int(rest)
         elif kind == "DA":
             number, count = rest.split(",")[:2]
             hits[number] = max(hits.get(number, 0), int(count))
         elif kind == "end_of_record" and name:
-            out.append((name, _percent(sum(c > 0 for c in hits.values()), len(hits))))
+            out.append((name, _percent(totals.get("LH", 0), totals["LF"]) if "LF" in totals else _percent(sum(c > 0 for c in hits.values()), len(hits))))
             name = None
     return out
 

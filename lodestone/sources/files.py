@@ -22,9 +22,8 @@ def scan_folder(spark: SparkSession, root: str, extensions: tuple[str, ...] = SO
     return own.select(relative.alias("file_path"), F.decode("content", "UTF-8").alias("content"))
 
 
-def unpack(archives: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, max_bytes: int = 64 << 20) -> DataFrame:
-    """(archive, file_path, content) of the members of ZIP files (path, content); members over ``max_bytes`` have a null
-    content."""
+def unpack(archives: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS) -> DataFrame:
+    """(archive, file_path, content) of the members of ZIP files (path, content); members go out one at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -32,7 +31,7 @@ def unpack(archives: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS,
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
                         if info.filename.rpartition(".")[2].lower() in extensions:
-                            text = z.read(info).decode("utf-8", "replace") if info.file_size <= max_bytes else None
+                            text = z.read(info).decode("utf-8", "replace")
                             yield pd.DataFrame({"archive": [archive], "file_path": [info.filename], "content": [text]})
 
     return archives.select("path", "content").mapInPandas(run, "archive string, file_path string, content string")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,79 +12,116 @@ from pyspark.sql import DataFrame
 Row = tuple[str, str, bool]
 
 
+#: Starts of version strings that name a place and no version.
+_PLACES = ("http", "file:", "workspace:", "git+")
+
+
 def _bare(version: object) -> str:
-    return re.sub(r"^[\^~><=]+\s*", "", str(version or "").strip()).strip()
+    """A version without its range operator; empty for addresses and workspaces."""
+    if not isinstance(version, str) or version.startswith(_PLACES):
+        return ""
+    return version.lstrip("^~>=<").strip()
 
 
 def package_json(text: str) -> list[Row]:
+    """Dependencies and those for development, with a version."""
     data = json.loads(text)
-    groups = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-    return [(name, _bare(version), False) for g in groups for name, version in (data.get(g) or {}).items()]
+    groups = (data.get(g) or {} for g in ("dependencies", "devDependencies"))
+    return [(name, own, False) for g in groups for name, version in g.items() if (own := _bare(version))]
 
 
 def package_lock(text: str) -> list[Row]:
-    """Versions 2 and 3 list packages by folder, version 1 nests them."""
+    """Versions 2 and 3 list packages by folder, version 1 nests them. Locked packages count as transitive."""
     data = json.loads(text)
-    packages = data.get("packages")
-    if packages:
-        root = packages.get("", {})
-        direct = {n for g in ("dependencies", "devDependencies", "optionalDependencies") for n in root.get(g, {})}
-        names = ((key.rpartition("node_modules/")[2], entry) for key, entry in packages.items() if "node_modules/" in key)
-        return [(name, str(entry.get("version", "")), name not in direct) for name, entry in names]
+    if packages := data.get("packages"):
+        return [(key.rpartition("node_modules/")[2], entry["version"], True) for key, entry in packages.items() if key and entry.get("version")]
     out: list[Row] = []
-    waiting = [(name, entry, False) for name, entry in (data.get("dependencies") or {}).items()]
-    while waiting:
-        name, entry, nested = waiting.pop(0)
-        out.append((name, str(entry.get("version", "")), nested))
-        waiting += [(n, e, True) for n, e in (entry.get("dependencies") or {}).items()]
+
+    def walk(level: dict) -> None:
+        for name, entry in level.items():
+            if entry.get("version"):
+                out.append((name, entry["version"], True))
+            walk(entry.get("dependencies") or {})
+
+    walk(data.get("dependencies") or {})
     return out
 
 
 def yarn_lock(text: str) -> list[Row]:
-    out = []
-    for block in re.split(r"\n\s*\n", text):
-        head = re.search(r'^"?(@?[^@"\s]+)@', block, re.M)
-        version = re.search(r'^\s+version:?\s+"?([^"\s]+)', block, re.M)
-        if head and version:
-            out.append((head[1], version[1], True))
+    """Entries are a header of comma-separated specifiers at the margin and indented fields; an entry counts by its first
+    specifier, whose name ends at the last part's at sign."""
+    out, name = [], None
+    for line in text.split("\n"):
+        if not line.strip():
+            name = None
+        elif not line[0].isspace():
+            first = line.rstrip(": ").split(",")[0].strip().strip('"')
+            at = first.find("@", 1)
+            name = first[:at] if at > 0 and not line.startswith("#") and " " not in first[:at] else None
+        elif name and (field := line.split(None, 1)) and field[0] == "version" and len(field) > 1:
+            out.append((name, field[1].strip().strip('"').split()[0], True))
+            name = None
     return out
 
 
 def requirements(text: str) -> list[Row]:
-    """Pins only."""
-    return [(m[1], m[2], False) for line in text.splitlines() if (m := re.match(r"\s*([A-Za-z0-9][\w.-]*)(?:\[[^\]]*\])?\s*==\s*([^\s;#]+)", line))]
+    """Pins only; comments and options are left out."""
+    lines = (line.strip() for line in text.split("\n"))
+    return [(m[1], m[2], False) for line in lines if (m := re.match(r"([\w.-]+)\s*==\s*([^\s;#]+)", line, re.A)) and not line.startswith("-")]
 
 
 def pipfile_lock(text: str) -> list[Row]:
     data = json.loads(text)
-    return [(name, _bare(entry.get("version")), False) for g in ("default", "develop") for name, entry in (data.get(g) or {}).items() if isinstance(entry, dict) and entry.get("version")]
+    return [(name, version, False) for g in ("default", "develop") for name, entry in (data.get(g) or {}).items() if (version := (entry.get("version") or "").removeprefix("=="))]
 
 
 def go_mod(text: str) -> list[Row]:
-    out = []
-    for line in text.splitlines():
-        m = re.match(r"\s*(?:require\s+)?([\w.-]+\.[\w.-]+/\S+|[\w-]+\.[\w.-]+)\s+v([^\s/]+)(\s*//\s*indirect)?", line)
-        if m and not line.lstrip().startswith(("module", "replace", "exclude", "//")):
-            out.append((m[1], m[2], bool(m[3])))
-    return out
+    """The first block of requirements, then those on a line of their own; versions keep their v."""
+    out: list[Row] = []
+    module = re.compile(r"(\S+)\s+(v[\d.]+\S*)")
+    if block := re.search(r"require\s*\(([^)]*)\)", text):
+        out += [(m[1], m[2], False) for line in block[1].split("\n") if (m := module.match(line.strip()))]
+    singles = (line.split(None, 1)[1] for line in text.split("\n") if line.startswith("require") and len(line.split(None, 1)) > 1 and line[7:8].isspace())
+    return out + [(m[1], m[2], False) for rest in singles if (m := module.match(rest))]
 
 
 def cargo_lock(text: str) -> list[Row]:
-    found = re.findall(r'\[\[package\]\]\s*name\s*=\s*"([^"]+)"\s*version\s*=\s*"([^"]+)"', text)
-    return [(name, version, True) for name, version in found]
+    out: list[Row] = []
+    for block in text.split("[[package]]"):
+        fields: dict[str, str] = {}
+        for line in block.split("\n"):
+            key, _, value = line.partition("=")
+            if line[:1].isalpha() and value.strip().startswith('"'):
+                fields.setdefault(key.strip(), value.split('"')[1])
+        if fields.get("name") and fields.get("version"):
+            out.append((fields["name"], fields["version"], True))
+    return out
 
 
 def gemfile_lock(text: str) -> list[Row]:
-    direct = set(re.findall(r"^  ([\w.-]+)", text.partition("DEPENDENCIES")[2], re.M))
-    return [(name, version, name not in direct) for name, version in re.findall(r"^    ([\w.-]+) \(([^)]+)\)", text, re.M)]
+    """Specs of the first GEM section, at their indent of four blanks, up to an empty line or the next section."""
+    lines = iter(text.split("\n"))
+    out: list[Row] = []
+    gem = False
+    for line in lines:
+        gem = gem or "GEM" in line
+        if gem and line.endswith("specs:"):
+            break
+    for line in lines:
+        if not line or line.startswith(("PLATFORMS", "DEPENDENCIES", "BUNDLED")):
+            break
+        if m := re.match(r" {4}(\S+)\s+\(([^)]+)\)", line):
+            out.append((m[1], m[2], False))
+    return out
 
 
 def csproj(text: str) -> list[Row]:
-    out = []
-    for node in ET.fromstring(text).iter():
-        if node.tag.rpartition("}")[2] == "PackageReference" and node.get("Include"):
-            version = node.get("Version") or next((c.text for c in node if c.tag.rpartition("}")[2] == "Version"), "")
-            out.append((node.get("Include"), _bare(version), False))
+    """Package references that give name and version as attributes, in either order, of broken documents too."""
+    out: list[Row] = []
+    for tag in re.findall(r"<PackageReference\s([^>]*)", text, re.I):
+        given = {k.lower(): v for k, v in re.findall(r'(\w+)="([^"]+)"', tag)}
+        if "include" in given and "version" in given:
+            out.append((given["include"], given["version"], False))
     return out
 
 
@@ -104,8 +140,9 @@ FORMATS: tuple[tuple[str, str, Callable[[str], list[Row]]], ...] = (
 
 
 def format_of(path: str):
-    name = path.rpartition("/")[2]
-    return next(((e, p) for n, e, p in FORMATS if name == n or n.startswith(".") and name.endswith(n)), None)
+    """(ecosystem, parser) by the file's name in any case, or None."""
+    name = path.rpartition("/")[2].lower()
+    return next(((e, p) for n, e, p in FORMATS if name == n.lower() or n.startswith(".") and name.endswith(n)), None)
 
 
 def parse_manifest(path: str, text: str | None) -> list[tuple[str, str, str, bool]]:
@@ -115,7 +152,7 @@ def parse_manifest(path: str, text: str | None) -> list[tuple[str, str, str, boo
         return []
     try:
         rows = kind[1](text)
-    except (ValueError, AttributeError, TypeError, ET.ParseError):
+    except (ValueError, AttributeError, TypeError, KeyError):
         return []
     return [(kind[0], name, version, transitive) for name, version, transitive in rows if name]
 
