@@ -1,14 +1,17 @@
 """Vector and text similarity.
 
 Vectors are unit-scaled once; a dot product of two of them is a cosine. Pair search never crosses all rows: exact mode
-joins within a repository, text pairs meet within a repository and a band of sizes, under a bound that sums settle before
-any gram is compared, and nearest neighbours at scale come from an inverted file of cells.
+joins within a repository, text pairs meet in tiles of a repository's size bands, and nearest neighbours at scale come
+from an inverted file of cells.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,34 +130,81 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array(text))
 
 
-#: Sums of grams that bound an overlap before any gram is compared.
-PARTS = 32
+#: Texts on each side of a tile.
+TILE = 256
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the distinct bigrams of a text, in order, and how often each occurs; a shorter text is its own only gram."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    codes = points[:-1] << 21 | points[1:] if len(points) > 1 else -2 - points if len(points) else np.array([-1])
+    return np.unique(codes, return_counts=True)
+
+
+def _profiles(texts: DataFrame, ratio: float) -> DataFrame:
+    """(id, repo_id, file_path, n, band, codes, counts) of the texts that aren't null."""
+    kept = texts.where("content is not null").select("id", "repo_id", "file_path", "content")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:3]) + ", n long, band int, codes binary, counts binary"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [gram_counts(t) for t in frame["content"]]
+            n = np.array([c.sum() for _, c in found], dtype=np.int64)
+            yield frame.drop(columns="content").assign(n=n, band=np.floor(np.log(n) / math.log(ratio)).astype(np.int32) if len(n) else n, codes=[k.tobytes() for k, _ in found], counts=[c.astype("<i4").tobytes() for _, c in found])
+
+    return kept.mapInPandas(run, schema)
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs of a tile above the threshold, each once; both sides are the same texts in a tile on the diagonal."""
+    pick = {"id_a": left["id"], "id_b": right["id"]}
+    out: dict[str, list] = {"id_a": [], "id_b": [], "similarity": []}
+    if len(left) and len(right):
+        sides = [[(np.frombuffer(k, np.int64), np.frombuffer(c, "<i4")) for k, c in zip(df["codes"], df["counts"])] for df in (left, right)]
+        every = np.unique(np.concatenate([k for own in sides for k, _ in own]))
+        rows = [np.zeros((len(own), len(every)), dtype=np.int32) for own in sides]
+        for matrix, own in zip(rows, sides):
+            for i, (k, c) in enumerate(own):
+                matrix[i, np.searchsorted(every, k)] = c
+        same = bool((left["band"].iloc[0], left["block"].iloc[0]) == (right["band"].iloc[0], right["block"].iloc[0]))
+        ids, files, sizes = right["id"].to_numpy(), right["file_path"].to_numpy(), right["n"].to_numpy()
+        for i, (own, path, n) in enumerate(zip(left["id"], left["file_path"], left["n"])):
+            at = np.flatnonzero((files != path) & (ids > own if same else ids != own))
+            score = 2 * np.minimum(rows[0][i], rows[1][at]).sum(axis=1, dtype=np.int64) / (sizes[at] + n)
+            at, score = at[score > threshold], score[score > threshold]
+            out["id_a"] += [min(own, x) for x in ids[at]]
+            out["id_b"] += [max(own, x) for x in ids[at]]
+            out["similarity"] += score.tolist()
+    return pd.DataFrame({"id_a": pd.Series(out["id_a"], dtype=pick["id_a"].dtype), "id_b": pd.Series(out["id_b"], dtype=pick["id_b"].dtype), "similarity": pd.Series(out["similarity"], dtype=float)})
 
 
 def dice_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """(id_a, id_b, similarity): multiset bigram Dice above the threshold between texts of one repository in different files.
 
-    For a pair above the threshold the larger text has at most (2 - t) / t times the bigrams of the smaller, so pairs meet
-    in size bands of that width, or in neighbouring ones. Grams fall into ``PARTS`` sums by hash; the overlap of the sums
-    is never less than that of the grams, and only pairs that it lets pass have their grams compared.
+    For a pair above the threshold the larger text has at most (2 - t) / t times the bigrams of the smaller, so pairs lie
+    within a size band of that width or in neighbouring ones. A band's texts are dealt into blocks, and a task compares
+    two blocks: a band with any number of texts takes tasks of one size, and only pairs above the threshold go out.
     """
-    own = texts.where("content is not null").select("id", "repo_id", "file_path", F.explode(bigrams(F.col("content"))).alias("g"))
-    grams = own.groupBy("id", "repo_id", "file_path", "g").agg(F.count("*").alias("c"))
-    part = F.pmod(F.xxhash64("g"), F.lit(PARTS))
-    ratio = (2 - threshold) / threshold
-    sizes = grams.groupBy("id", "repo_id", "file_path").agg(F.sum("c").alias("n"), F.array(*[F.sum(F.when(part == k, F.col("c")).otherwise(0)) for k in range(PARTS)]).alias("parts"))
-    sizes = sizes.withColumn("band", F.floor(F.log("n") / math.log(ratio)).cast("int"))
-    a = sizes.select("repo_id", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("x"), F.col("file_path").alias("file_x"), F.col("n").alias("n_x"), F.col("parts").alias("parts_x"), F.col("band").alias("band_x"))
-    b = sizes.select("repo_id", "band", F.col("id").alias("y"), F.col("file_path").alias("file_y"), F.col("n").alias("n_y"), F.col("parts").alias("parts_y"))
-    bound = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    once = (F.col("band_x") < F.col("band")) | (F.col("x") < F.col("y"))  # within a band each pair meets twice
-    met = a.join(b, ["repo_id", "band"]).where((F.col("x") != F.col("y")) & (F.col("file_x") != F.col("file_y")) & once)
-    met = met.where((2 * bound > threshold * (F.col("n_x") + F.col("n_y"))) & (F.col("n_x") <= F.col("n_y") * ratio) & (F.col("n_y") <= F.col("n_x") * ratio))
-    pairs = met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), (F.col("n_x") + F.col("n_y")).alias("total"))
-    left = grams.select(F.col("id").alias("id_a"), "g", F.col("c").alias("c_a"))
-    right = grams.select(F.col("id").alias("id_b"), "g", F.col("c").alias("c_b"))
-    both = pairs.join(left, "id_a").join(right, ["id_b", "g"]).groupBy("id_a", "id_b").agg(F.sum(F.least("c_a", "c_b")).alias("both"), F.first("total").alias("total"))
-    return both.select("id_a", "id_b", (2 * F.col("both") / F.col("total")).alias("similarity")).where(F.col("similarity") > threshold)
+    own = _profiles(texts, (2 - threshold) / threshold)
+    sizes = own.groupBy("repo_id", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    dealt = own.join(sizes, ["repo_id", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    after = sizes.select("repo_id", (F.col("band") - 1).alias("band"), F.col("blocks").alias("after"))
+    near = sizes.join(after, ["repo_id", "band"], "left")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    inside = near.select("repo_id", "band", F.lit(0).alias("up"), F.explode(upto(F.col("blocks"))).alias("x"), "blocks").select("repo_id", "band", "up", "x", F.explode(F.sequence("x", F.col("blocks") - 1)).alias("y"))
+    across = near.where("after is not null").select("repo_id", "band", F.lit(1).alias("up"), F.explode(upto(F.col("blocks"))).alias("x"), "after").select("repo_id", "band", "up", "x", F.explode(upto(F.col("after"))).alias("y"))
+    tiles = inside.unionByName(across)
+    columns = ["id", "file_path", "n", "codes", "counts"]
+    keys = ["repo_id", "tile_band", "up", "x", "y"]
+
+    def side(place: str, band) -> DataFrame:
+        t = tiles.select("repo_id", F.col("band").alias("tile_band"), band.alias("band"), "up", "x", "y", F.col(place).alias("block"))
+        return dealt.join(t, ["repo_id", "band", "block"]).select(*[F.col(c).alias(c) for c in (*keys, "band", "block", *columns)])
+
+    left, right = side("x", F.col("band")), side("y", F.col("band") + F.col("up"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return pairs.applyInPandas(lambda a, b: _compare(a, b, threshold), f"id_a {id_type}, id_b {id_type}, similarity double")
 
 
 def fuzzy_score(needle: Column, haystack: Column) -> Column:
