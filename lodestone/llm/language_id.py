@@ -96,8 +96,27 @@ def sample_counts(docs: DataFrame, text_col: str, target: Column, dims: int, cou
 
     picked = docs.select(F.col(text_col).alias("text"), target.alias("target"))
     got = picked.mapInArrow(run, f"target {picked.schema['target'].dataType.simpleString()}, counts binary").toArrow()
-    rows = [np.frombuffer(x, dtype="<f4") for x in got.column("counts").to_pylist()]
-    return (np.stack(rows) if rows else np.zeros((0, dims), "f4")), got.column("target").to_pylist()
+    column = got.column("counts").combine_chunks()
+    if not len(column):
+        return np.zeros((0, dims), "f4"), []
+    offsets = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset :]  # rows of one width lie one after another
+    flat = np.frombuffer(column.buffers()[2], dtype="<f4")[offsets[0] // 4 : offsets[len(column)] // 4]
+    return flat.reshape(len(column), dims), got.column("target").to_pylist()
+
+
+def normal_equations(counts: np.ndarray, weight: np.ndarray, y: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """X'WX and X'WY of the features (and a constant), added up ``step`` rows at a time."""
+    dims = counts.shape[1] + 1
+    gram, right = np.zeros((dims, dims)), np.zeros((dims, y.shape[1]))
+    for a in range(0, len(counts), step):
+        x, w = with_constant(counts[a : a + step]), weight[a : a + step, None]
+        gram += (x * w).T @ x
+        right += (x * w).T @ y[a : a + step]
+    return gram, right
+
+
+def with_constant(counts: np.ndarray) -> np.ndarray:
+    return np.hstack([features(counts.astype(np.float64)), np.ones((len(counts), 1))])
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dims: int = DIMS) -> LanguageModel:
@@ -115,14 +134,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     counts, names = sample_counts(picked, "__text", F.col("__lang"), dims, lambda data, offsets: gram_counts(data, offsets, _TABLE, dims, squeeze=32))
     which = np.array([languages.index(x) for x in names], dtype=int)
     code = codewords(len(languages))
-    x = np.hstack([features(counts), np.ones((len(counts), 1))])
     y = code[which]
     weight = 1 / np.maximum(np.bincount(which, minlength=len(languages)), 1)[which]
     weight *= len(weight) / max(weight.sum(), 1e-9)
-    gram = (x * weight[:, None]).T @ x + 0.05 * np.eye(dims + 1)
-    w = np.linalg.solve(gram, (x * weight[:, None]).T @ y)
-    right = ((np.sign(x @ w) == y) * weight[:, None]).sum(axis=0) / max(weight.sum(), 1e-9)
-    return LanguageModel(languages, code, w, np.maximum(2 * right - 1, 0.01))
+    gram, right = normal_equations(counts, weight, y)
+    gram[np.diag_indices(dims + 1)] += 0.05
+    w = np.linalg.solve(gram, right)
+    hits = [(np.sign(with_constant(counts[a : a + 512]) @ w) == y[a : a + 512]) * weight[a : a + 512, None] for a in range(0, len(counts), 512)]
+    right = sum(h.sum(axis=0) for h in hits) / max(weight.sum(), 1e-9) if hits else np.zeros(code.shape[1])
+    model = LanguageModel(languages, code, w, np.maximum(2 * right - 1, 0.01))
+    del counts, gram, hits
+    settle()
+    return model
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:

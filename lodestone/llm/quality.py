@@ -94,6 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w -= step
         if np.abs(step).max() < 1e-5:
             break
+    del counts, x
+    settle()
     return QualityModel(w, prior)
 
 
