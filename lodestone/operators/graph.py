@@ -122,14 +122,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges that are left when nodes without incoming or without outgoing edges are taken away again and again."""
-    live, n = written(edges.select("a", "b").distinct(), "core"), None
-    while True:
-        count = live.count()
-        if count == n or not count:
-            return live
-        n = count
+    live = written(edges.select("a", "b").distinct(), "core")
+    n = live.count()
+    while n:
         has_out, has_in = live.select(F.col("a").alias("b")).distinct(), live.select(F.col("b").alias("a")).distinct()
-        live = written(live.join(has_out, "b", "left_semi").join(has_in, "a", "left_semi").select("a", "b"), "core")
+        before, live = live, written(live.join(has_out, "b", "left_semi").join(has_in, "a", "left_semi").select("a", "b"), "core")
+        discard(before)
+        left = live.count()
+        if left == n:
+            break
+        n = left
+    return live
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -141,13 +144,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     live, done = cyclic_core(edges), []
     while not live.isEmpty():
         nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
-        colour = written(nodes.withColumn("c", F.col("node")), "colour")
+        colour = written(nodes.select("node", F.col("node").alias("c"), F.lit(True).alias("moved")), "colour")
         while True:
-            pushed = live.join(colour.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "c")
-            after = written(colour.union(pushed).groupBy("node").agg(F.max("c").alias("c")), "colour")
-            moved = after.join(colour, ["node", "c"], "left_anti").isEmpty()
+            # nodes whose colour moved push it on; what moves with that is told apart in the same aggregate
+            pushed = live.join(colour.where("moved").select(F.col("node").alias("a"), "c"), "a").groupBy(F.col("b").alias("node")).agg(F.max("c").alias("c"))
+            held = colour.select("node", "c", F.col("c").alias("old"))
+            after = held.unionByName(pushed, allowMissingColumns=True).groupBy("node").agg(F.max("c").alias("c"), F.max("old").alias("old"))
+            after = written(after.select("node", "c", (F.col("c") > F.col("old")).alias("moved")), "colour")
+            discard(colour)
             colour = after
-            if moved:
+            if colour.where("moved").isEmpty():
                 break
         a, b = colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), colour.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         inside = written(live.join(a, "a").join(b, "b").where("ca = cb").select("a", "b"), "inside")
