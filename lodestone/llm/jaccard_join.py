@@ -34,8 +34,8 @@ from lodestone.operators.graph import components
 SHINGLE, LEAST = 5, (80, 100)
 #: Address bits of the largest bitmap of wanted documents (16 MiB).
 MAX_BITS = 27
-#: Pairs that a task remembers.
-HELD = 1 << 18
+#: Nodes of a block of a key, rows of a part of a centre, and pairs that a task remembers.
+TILE, PART, HELD = 1024, 1 << 14, 1 << 18
 #: Bits of a bitmap for each shingle of the largest set in its band, and the largest bitmap.
 BITMAP_LOAD, BITMAP_MAX = 4, 1 << 17
 
@@ -306,19 +306,36 @@ def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _both(pairs, sets).mapInArrow(run, "a long, b long")
 
 
+def _dealt(rest: DataFrame) -> DataFrame:
+    """Rows (key, centre, node, component) with the tile (lo, hi) of blocks of their key, their own block and a part of the centre.
+
+    A key's nodes fall into blocks of about ``TILE``, and a tile compares two of them; so a key with any number of nodes takes
+    tasks of one size, and so does a centre with any number of keys.
+    """
+    sizes = rest.groupBy("key").agg(F.first("centre").alias("c"), F.count("*").alias("n"))
+    load = sizes.groupBy("c").agg(F.ceil(F.sum(F.col("n") * F.ceil(F.col("n") / TILE)) / PART).alias("parts"))
+    sizes = sizes.join(load, "c").select("key", F.ceil(F.col("n") / TILE).alias("blocks"), "parts")
+    rows = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return rows.select("key", "lo", "hi", "centre", F.pmod(F.xxhash64("key", "lo", "hi"), "parts").alias("part"), "block", "node", "component")
+
+
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of a key's nodes in different components that their bitmaps let pass.
+    """(a, b): pairs of a tile's nodes in different components that their bitmaps let pass.
 
-    Rows (key, centre, node, component, n, bits) arrive sorted by centre and key; a key's rows are held (some hundred bytes
-    each) and compared in tiles. Similar sets share many keys, and these mostly have one centre: a pair goes out once
-    for all keys of a centre, as far as ``HELD`` pairs can be remembered.
+    Rows (key, lo, hi, centre, part, block, node, component, n, bits) arrive sorted; a tile's rows are held (some hundred
+    bytes each). Similar sets share many keys, and these mostly have one centre: a pair goes out once for all tiles of
+    a centre's part, as far as ``HELD`` pairs can be remembered.
     """
 
-    def tile(nodes, parts, sizes, maps):
+    def tile(rows, blocks, nodes, parts, sizes, maps):
         width = min(map(len, maps))
         maps = np.stack([fold(m, width) for m in maps])
+        across = rows[0][1] != rows[0][2]
         for i in range(len(nodes) - 1):
-            rest = i + 1 + np.flatnonzero(parts[i + 1 :] != parts[i])
+            later = parts[i + 1 :] != parts[i]
+            rest = i + 1 + np.flatnonzero(later & (blocks[i + 1 :] != blocks[i]) if across else later)
             rest = rest[may_link(maps[i], maps[rest], sizes[i], sizes[rest], num, den)] if len(rest) else rest
             if len(rest):
                 yield np.full(len(rest), nodes[i]), nodes[rest]
@@ -329,8 +346,8 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def flush():
             if len(held) > 1:
-                nodes, parts, sizes = (np.array([h[i] for h in held]) for i in (2, 3, 4))
-                for a, b in tile(nodes, parts, sizes, [np.frombuffer(h[5], np.uint64) for h in held]):
+                columns = [np.array([h[i] for h in held]) for i in (5, 6, 7, 8)]
+                for a, b in tile(held, *columns, [np.frombuffer(h[9], np.uint64) for h in held]):
                     fresh = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - out
                     if fresh:
                         if len(out) > HELD:
@@ -340,16 +357,17 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[-1][0] != row[0]:
+                if held and held[-1][:3] != row[:3]:
                     yield from flush()
-                    if held[-1][1] != row[1]:
+                    if held[-1][3:5] != row[3:5]:
                         out.clear()
                     held = []
                 held.append(row)
         yield from flush()
         settle()
 
-    return rows.repartition("centre").sortWithinPartitions("centre", "key").mapInArrow(run, "a long, b long")
+    ordered = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "key", "lo", "hi")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -398,7 +416,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(rest)
         rest = spanning(components(links))
         if not rest.isEmpty():
-            open_rows = rest.select("key", "centre", "node", "component").join(maps, "node").select("key", "centre", "node", "component", "n", "bits")
+            names = ("key", "lo", "hi", "centre", "part", "block", "node", "component", "n", "bits")
+            open_rows = _dealt(rest.select("key", "centre", "node", "component")).join(maps, "node").select(*names)
             found.append(verified(_across(open_rows, num, den).distinct(), "across"))
             links = links.unionByName(found[-1])
     discard(rest, met, maps, wanted)
