@@ -5,7 +5,8 @@ lengths that some rule has. Expressions meet the rules on the first bytes of the
 and the longest rule wins. Only built-in functions run.
 
 Empty cases: a null url, or one without ``://``, has an empty host and path and no rule, and gets the default verdict.
-Repeated pages keep their rows. Rules that repeat count once; of equal (host, path) with both verdicts, block wins.
+Repeated pages keep their rows, and extra columns of any name are left out. Rules that repeat count once; of equal (host,
+path) with both verdicts, block wins. Of rules of one length, the one with the longer host wins.
 """
 
 from __future__ import annotations
