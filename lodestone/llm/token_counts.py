@@ -101,7 +101,7 @@ def count_tokens(
     misses = first.join(read_cache(spark, cache, digest), "content_digest", "left_anti")
     texts = base.select("__id", "content_digest", "content").where("__id is not null").join(misses.withColumnRenamed("content_digest", "__want"), "__id")
     # rows of one id lie together after the join, so a repeated row is found without another shuffle
-    texts = texts.where(F.col("content_digest") == F.col("__want")).dropDuplicates(["__id", "content_digest"]).select("content_digest", "content")
+    texts = texts.where(F.col("content_digest") == F.col("__want")).dropDuplicates(["content_digest", "__id"]).select("content_digest", "content")
     nameless = base.where("__id is null").select("content_digest", "content").join(misses.where("__id is null").select("content_digest"), "content_digest", "left_semi")
     counted = encode_counts(texts.unionByName(nameless.dropDuplicates(["content_digest"])), tokenizer_path)
     counted.select("content_digest", F.lit(digest).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
