@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import written
+from lodestone.llm._shared import discard, written
 from lodestone.operators.graph import components
 
 #: Nodes of a shard, in expectation and before overlap; shards that a node joins; sampled nodes for each centroid.
@@ -272,6 +272,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     index = written(housed.drop("rooms").join(united, "node").join(ways, "node"), "graph")
     state = placed.groupBy("node").agg(F.collect_set("shard").alias("seen")).select("node", "seen", F.col("seen").alias("fresh"), F.lit(0).cast("long").alias("others"))
     state, links = written(state, "state"), None
+    discard(placed)
     while True:
         going = state.where("size(fresh) > 0").select("node", "seen", F.explode("fresh").alias("shard"))
         going = going.join(index.drop("links", "room"), "node")
@@ -287,8 +288,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         links = own if links is None else links.unionByName(own)
         news = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
         fresh = F.array_except(F.coalesce("next", F.array().cast("array<long>")), "seen")
+        before = state
         state = state.drop("fresh").join(news, "node", "left").select("node", F.array_union("seen", fresh).alias("seen"), fresh.alias("fresh"), (F.col("others") + F.coalesce("n", F.lit(0))).alias("others"))
         state = written(state, "state")
+        discard(before)
         if state.where("size(fresh) > 0").isEmpty():
             break
     counts = state.select(F.col("node").alias("a"), "others")
