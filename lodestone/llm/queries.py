@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, lm_scoring, quality, token_counts, url_filters
+from lodestone.llm import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, merkle, quality, resampling, token_counts, url_filters
 from lodestone.llm._shared import bound_batches
 from lodestone.llm.sql import ORACLE_SQL
 
@@ -88,6 +88,29 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = _table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(remainder("doc_id", 5) == 0, merkle.leaf_digest(*[low if c == "text" else F.col(c) for c in columns]))
+    out = merkle.manifest(docs, columns, extra={"tampered": tampered}).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = F.sha2(F.array_join("path.others", ""), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe, op10_embedding_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_lm_scoring, op3_license_scan, op4_token_counts, op5_decontaminate, op6_quality, op7_jaccard_join, op8_url_filters, op9_byte_bpe, op10_embedding_dedup,
+        op11_merkle_manifest, op12_line_dedup, op13_target_resampling,
+    )
+}
