@@ -1,4 +1,4 @@
-"""Graph operators on edges (a, b), distributed: frontier loops, trimming and colouring, star contraction.
+"""Graph operators on edges (a, b), distributed: frontier loops and star contraction; see ``reachability`` for strong components and counts.
 
 Each round is written to the shared folder, so plans stay short. Nodes are any comparable keys.
 """
@@ -28,11 +28,10 @@ def neighbours(edges: DataFrame, node) -> DataFrame:
     return edges.where(F.col("a") == node).select(F.col("b").alias("node")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, enough: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): every other node that a seed reaches, with its least number of steps.
 
-    One join for each step over the frontier alone; nodes seen before leave by an anti join. ``enough``: a seed that has
-    found so many nodes at two or more steps goes no further, so that a count that saturates costs a bounded search.
+    One join for each step over the frontier alone; nodes seen before leave by an anti join.
     """
     frontier = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0))
     rounds, depth = [written(frontier, "frontier")], 0
@@ -44,20 +43,10 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, enou
         near = written(near.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if near.isEmpty():
             break
-        if enough is not None and depth >= 2:
-            far = near if depth == 2 else rounds[0].where("depth >= 2").unionByName(near)
-            full = far.groupBy("seed").count().where(F.col("count") >= enough).select("seed")
-            rounds.append(near)
-            near = written(near.join(full, "seed", "left_anti"), "frontier")
-            if near.isEmpty():
-                break
-            rounds = [written(reduce(DataFrame.unionByName, rounds), "reached"), near]
-            continue
         rounds.append(near)
         if len(rounds) > 24:
             rounds = [written(reduce(DataFrame.unionByName, rounds[:-1]), "reached"), rounds[-1]]
-    out = reduce(DataFrame.unionByName, rounds).where("depth > 0")
-    return out if enough is None else out.distinct()
+    return reduce(DataFrame.unionByName, rounds).where("depth > 0")
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -66,12 +55,6 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = Non
     return out.withColumn("kind", F.when(F.col("depth") == 1, "direct").otherwise("transitive"))
 
 
-def transitive_counts(edges: DataFrame, seeds: DataFrame, enough: int | None = None) -> DataFrame:
-    """(seed, n): dependents at two or more steps; beyond ``enough`` of them, some number that isn't less."""
-    far = reach(reverse(edges), seeds, enough=enough).where("depth >= 2").groupBy("seed").agg(F.count("*").alias("n"))
-    return seeds.select(F.col("node").alias("seed")).distinct().join(far, "seed", "left").fillna(0, ["n"])
-
-
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_paths: int = 10, max_nodes: int = 20) -> DataFrame:
     """(path): the shortest simple paths from a source to a target, ties by the path itself.
 
@@ -120,59 +103,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return own.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that are left when nodes without incoming or without outgoing edges are taken away again and again."""
-    live = written(edges.select("a", "b").distinct(), "core")
-    n = live.count()
-    while n:
-        has_out, has_in = live.select(F.col("a").alias("b")).distinct(), live.select(F.col("b").alias("a")).distinct()
-        before, live = live, written(live.join(has_out, "b", "left_semi").join(has_in, "a", "left_semi").select("a", "b"), "core")
-        discard(before)
-        left = live.count()
-        if left == n:
-            break
-        n = left
-    return live
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of nodes in strongly connected components of two or more nodes, or with an edge to themselves.
-
-    On the cyclic core, rounds of colouring: the greatest node that reaches each node is its colour; what reaches the
-    colour's node back within the colour is that node's component, and leaves.
-    """
-    live, done = cyclic_core(edges), []
-    while not live.isEmpty():
-        nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
-        colour = written(nodes.select("node", F.col("node").alias("c"), F.lit(True).alias("moved")), "colour")
-        while True:
-            # nodes whose colour moved push it on; what moves with that is told apart in the same aggregate
-            pushed = live.join(colour.where("moved").select(F.col("node").alias("a"), "c"), "a").groupBy(F.col("b").alias("node")).agg(F.max("c").alias("c"))
-            held = colour.select("node", "c", F.col("c").alias("old"))
-            after = held.unionByName(pushed, allowMissingColumns=True).groupBy("node").agg(F.max("c").alias("c"), F.max("old").alias("old"))
-            after = written(after.select("node", "c", (F.col("c") > F.col("old")).alias("moved")), "colour")
-            discard(colour)
-            colour = after
-            if colour.where("moved").isEmpty():
-                break
-        a, b = colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), colour.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-        inside = written(live.join(a, "a").join(b, "b").where("ca = cb").select("a", "b"), "inside")
-        roots = colour.where("node = c").select("node")
-        back = reach(reverse(inside), roots).select("node", F.col("seed").alias("component"))
-        own = written(back.union(roots.select("node", F.col("node").alias("component"))), "scc")
-        done.append(own)
-        gone = own.select("node")
-        rest = inside.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
-        live = cyclic_core(rest.select("a", "b"))
-    if not done:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    every = reduce(DataFrame.union, done)
-    sizes = every.groupBy("component").agg(F.count("*").alias("n"))
-    loops = edges.where("a = b").select(F.col("a").alias("component")).distinct().withColumn("loop", F.lit(True))
-    keep = sizes.join(loops, "component", "left").where("n > 1 or loop").select("component")
-    return every.join(keep, "component", "left_semi").select("node", "component")
-
-
 def cycles(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(component, path): a shortest cycle through each component's own node, from it back to it; the least path of equals.
 
@@ -253,9 +183,3 @@ def path_edges(paths: DataFrame) -> DataFrame:
 def impact_ids(impact: DataFrame, nodes: DataFrame, key: Column | None = None) -> DataFrame:
     """Paths as node ids where known, else the path itself."""
     return impact.join(nodes.select("file_path", "file_id"), "file_path", "left").select("file_path", F.coalesce(F.col("file_id").cast("string"), "file_path").alias("id"))
-
-
-def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Numbers of nodes, edges and cyclic components."""
-    cycles = strong_components(edges).select("component").distinct().agg(F.count("*").alias("n_cycles"))
-    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges"))).crossJoin(cycles)  # single rows

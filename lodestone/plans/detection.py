@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import aggregates as A
 from lodestone.operators import detection as D
-from lodestone.operators import graph as G
+from lodestone.operators import reachability as R
 from lodestone.operators.windows import hotspots, within_budget
 from lodestone.plans.registry import query
 
@@ -36,7 +36,7 @@ query(
 
 def _risk(m):
     seeds = m.issues.select(F.col("id").alias("node"))
-    counts = G.transitive_counts(m.edge_ids, seeds, enough=99).join(m.nodes.select(F.col("file_id").alias("seed"), "file_path"), "seed").select("file_path", "n")
+    counts = R.transitive_counts(m.edge_ids, seeds, enough=99).join(m.nodes.select(F.col("file_id").alias("seed"), "file_path"), "seed").select("file_path", "n")
     return D.risk_scores(m.issues, counts, m.churn.select("file_path", "commits_in_last_30d"), A.median_of(m.churn, "commit_count").select((F.col("median") / 10).alias("median")))
 
 

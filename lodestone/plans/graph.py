@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
+from lodestone.operators import reachability as R
 from lodestone.plans.registry import query
 
 
@@ -14,9 +15,9 @@ def _nodes(m):
 
 _REACH = ", reach(a, b) AS (SELECT a, b FROM edge_ids UNION SELECT r.a, e.b FROM reach r JOIN edge_ids e ON r.b = e.a)"
 _SCC = f"{_REACH}, scc AS (SELECT x.a AS node, max(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
-query("G1_overview", lambda m: G.overview(_nodes(m), m.edge_ids), f"{_SCC} SELECT (SELECT count(*) FROM part) AS n_nodes, (SELECT count(*) FROM edge_ids) AS n_edges, (SELECT count(DISTINCT component) FROM scc) AS n_cycles", "edge_ids", recursive=True)
+query("G1_overview", lambda m: R.overview(_nodes(m), m.edge_ids), f"{_SCC} SELECT (SELECT count(*) FROM part) AS n_nodes, (SELECT count(*) FROM edge_ids) AS n_edges, (SELECT count(DISTINCT component) FROM scc) AS n_cycles", "edge_ids", recursive=True)
 query("G2_adjacency", lambda m: G.adjacency(m.edge_ids, _nodes(m).where("node % 4 <> 0")), "SELECT a, b FROM edge_ids WHERE b % 4 <> 0", "edge_ids")
-query("G3_cycles", lambda m: G.strong_components(m.edge_ids).groupBy("component").agg(F.count("*").alias("n")), f"{_SCC} SELECT component, count(*) AS n FROM scc GROUP BY 1", "edge_ids", recursive=True)
+query("G3_cycles", lambda m: R.strong_components(m.edge_ids).groupBy("component").agg(F.count("*").alias("n")), f"{_SCC} SELECT component, count(*) AS n FROM scc GROUP BY 1", "edge_ids", recursive=True)
 _BACK = ", r(node, depth) AS (SELECT a, 1 FROM edge_ids WHERE b = 1 UNION SELECT e.a, r.depth + 1 FROM r JOIN edge_ids e ON e.b = r.node WHERE r.depth < 40)"
 query("G4_blast_radius", lambda m: G.blast_radius(m.edge_ids, _nodes(m).where("node = 1")).select("node", "depth", "kind"), f"{_BACK} SELECT node, min(depth) AS depth, CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'transitive' END AS kind FROM r WHERE node <> 1 GROUP BY 1", "edge_ids", recursive=True)
 query("G5_dependents", lambda m: G.neighbours(G.reverse(m.edge_ids), 1), "SELECT DISTINCT a AS node FROM edge_ids WHERE b = 1", "edge_ids")
@@ -33,16 +34,16 @@ query(
 )
 query(
     "G10_transitive_counts",
-    lambda m: G.transitive_counts(m.edge_ids, _nodes(m)),
+    lambda m: R.transitive_counts(m.edge_ids, _nodes(m)),
     f"{_REACH}, d AS (SELECT b AS seed, count(*) AS n FROM (SELECT a, b FROM reach WHERE a <> b EXCEPT SELECT a, b FROM edge_ids) GROUP BY 1) SELECT p_partkey AS seed, coalesce(n, 0) AS n FROM part LEFT JOIN d ON seed = p_partkey",
     "edge_ids",
     recursive=True,
 )
-query("G11_cycle_issues", lambda m: G.strong_components(m.edge_ids).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(F.lit("circular_dependency").alias("type"), "nodes"), f"{_SCC} SELECT 'circular_dependency' AS type, list(node ORDER BY node) AS nodes FROM scc GROUP BY component", "edge_ids", recursive=True)
+query("G11_cycle_issues", lambda m: R.strong_components(m.edge_ids).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(F.lit("circular_dependency").alias("type"), "nodes"), f"{_SCC} SELECT 'circular_dependency' AS type, list(node ORDER BY node) AS nodes FROM scc GROUP BY component", "edge_ids", recursive=True)
 
 query(
     "G11_cycles",
-    lambda m: G.cycles(m.edge_ids, G.strong_components(m.edge_ids)).select("component", (F.size("path") - 1).alias("length")),
+    lambda m: G.cycles(m.edge_ids, R.strong_components(m.edge_ids)).select("component", (F.size("path") - 1).alias("length")),
     f"{_SCC}, inner_edges AS (SELECT x.component AS c, a, b FROM edge_ids JOIN scc x ON x.node = a JOIN scc y ON y.node = b AND y.component = x.component), back(c, node, depth) AS (SELECT c, b, 1 FROM inner_edges WHERE a = c UNION SELECT e.c, e.b, depth + 1 FROM back k JOIN inner_edges e ON e.c = k.c AND e.a = k.node WHERE k.node <> k.c AND depth < 60) SELECT c AS component, min(depth) AS length FROM back WHERE node = c GROUP BY 1",
     "edge_ids",
     recursive=True,
