@@ -1,8 +1,7 @@
 """Vector and text similarity.
 
-Vectors are unit-scaled once; a dot product of two of them is a cosine. Pair search never crosses all rows: exact mode
-joins within a repository, text pairs meet in tiles of a repository's size bands, and nearest neighbours at scale come
-from an inverted file of cells.
+Pair search never crosses all rows: vectors meet in tiles of cells (``vectors``), texts in tiles of a repository's size bands,
+and nearest neighbours at scale come from an inverted file (``vectors``).
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.vectors import similar_pairs
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -26,12 +27,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) == F.size(b)) & (norm > 0), 1 - dot(a, b) / norm), F.lit(1.0))
 
 
-def with_unit(chunks: DataFrame, column: str = "embedding") -> DataFrame:
-    """Adds ``unit``, null for null or zero vectors."""
-    norm = F.sqrt(dot(F.col(column), F.col(column)))
-    return chunks.withColumn("__norm", norm).withColumn("unit", F.when(F.col("__norm") > 0, F.transform(column, lambda x: x.cast("double") / F.col("__norm")))).drop("__norm")
-
-
 def nearest(chunks: DataFrame, query: list[float], k: int, max_distance: float | None = None) -> DataFrame:
     """Top k by cosine distance, null vectors last, ties by id; with a limit, only rows within it."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -40,28 +35,6 @@ def nearest(chunks: DataFrame, query: list[float], k: int, max_distance: float |
     return out.orderBy("distance", "id").limit(k)
 
 
-def cells(chunks: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """The chunks with ``cell``, the place of their nearest centroid by cosine distance (the first of equals): an inverted
-    file once it is written partitioned by cell. Vectors at distance 1 from all, null ones too, lie in cell 0."""
-    distances = F.array(*[F.struct(cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(k).alias("cell")) for k, c in enumerate(centroids)])
-    return chunks.withColumn("cell", F.array_min(distances)["cell"])
-
-
-def probes(query: list[float], centroids: list[list[float]], n: int) -> list[int]:
-    """The ``n`` cells whose centroids are nearest to a query."""
-
-    def distance(c: list[float]) -> float:
-        norm = math.sqrt(sum(x * x for x in c)) * math.sqrt(sum(x * x for x in query))
-        return 1 - sum(x * y for x, y in zip(c, query)) / norm if norm else 1.0
-
-    return sorted(range(len(centroids)), key=lambda k: (distance(centroids[k]), k))[:n]
-
-
-def nearest_in_cells(index: DataFrame, query: list[float], k: int, centroids: list[list[float]], n: int) -> DataFrame:
-    """Top k among the chunks of the ``n`` nearest cells: approximate, and a scan of those cells alone."""
-    return nearest(index.where(F.col("cell").isin(probes(query, centroids, n))), query, k)
-
-
 def best_or_nothing(ranked: DataFrame, guard: float) -> DataFrame:
     """The rows, if their best distance is within the guard; else none."""
     best = ranked.agg(F.min("distance").alias("best"))
@@ -74,17 +47,12 @@ def duplicate_pairs(chunks: DataFrame, threshold: float, mode: str = "exact", k:
     ``exact`` keeps every pair; ``knn`` keeps a pair if either is among the other's k nearest. Chunks shorter than
     ``min_span`` lines or without a vector take no part.
     """
-    own = with_unit(chunks.where(F.col("end_line") - F.col("start_line") + 1 >= min_span)).where("unit is not null").select("id", "repo_id", "unit")
-    other = own.select(F.col("id").alias("id_b"), "repo_id", F.col("unit").alias("unit_b"))
+    own = chunks.where(F.col("end_line") - F.col("start_line") + 1 >= min_span)
     if mode == "exact":
-        pairs = own.join(other, (own["repo_id"] == other["repo_id"]) & (F.col("id") < F.col("id_b")))
-        scored = pairs.select(F.col("id").alias("chunk_a_id"), F.col("id_b").alias("chunk_b_id"), dot(F.col("unit"), F.col("unit_b")).alias("similarity"))
-        return scored.where(F.col("similarity") > threshold)
-    pairs = own.join(other, (own["repo_id"] == other["repo_id"]) & (F.col("id") != F.col("id_b")))
-    scored = pairs.select("id", "id_b", dot(F.col("unit"), F.col("unit_b")).alias("similarity"))
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "id_b")
-    near = scored.withColumn("place", F.row_number().over(w)).where((F.col("place") <= k) & (F.col("similarity") > threshold))
-    return near.groupBy(F.least("id", "id_b").alias("chunk_a_id"), F.greatest("id", "id_b").alias("chunk_b_id")).agg(F.max("similarity").alias("similarity"))
+        return similar_pairs(own, threshold).select(F.col("a").alias("chunk_a_id"), F.col("b").alias("chunk_b_id"), "similarity")
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    near = similar_pairs(own, threshold, k).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return near.groupBy(F.least("a", "b").alias("chunk_a_id"), F.greatest("a", "b").alias("chunk_b_id")).agg(F.max("similarity").alias("similarity"))
 
 
 def cluster_severity(members: Column, lines: Column) -> Column:

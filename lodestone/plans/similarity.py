@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
 from lodestone.operators import similarity as S
+from lodestone.operators import vectors as V
 from lodestone.plans.registry import query
-from lodestone.storage import written
 
 _QUERY = [(-1.0) ** i * (i % 7 + 1) / 8 for i in range(64)]
 _Q = "[" + ", ".join(f"{x}::DOUBLE" for x in _QUERY) + "]"
@@ -19,31 +18,29 @@ _round = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})  #
 
 query("V1_cosine_distance", lambda m: _round(m.chunks.select("id", S.cosine_distance(F.col("embedding"), F.array(*map(F.lit, _QUERY))).alias("distance")), "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks", "chunks")
 query("O1_vector_top_k", lambda m: _round(S.nearest(m.chunks.where("repo_id = 3"), _QUERY, 8), "distance").select("id", "distance"), f"SELECT id, round({_DIST}, 6) AS distance FROM chunks WHERE repo_id = 3 ORDER BY {_DIST}, id LIMIT 8", "chunks")
-_CELLS, _PROBES = 8, 3
+_CELLS, _PROBES, _ROUNDS = 16, 12, 3
 
 
-def _centroids(m):
-    """The vectors of the first chunks, a bounded sample that the cells grow around."""
-    return [list(map(float, r[0])) for r in m.chunks.where(F.col("id") < _CELLS).orderBy("id").select("embedding").collect()]
+def _index(m):
+    return V.build(m.chunks, V.trained(m.chunks, _CELLS, _ROUNDS))
 
 
-def _distance_sql(x: str, y: str) -> str:
-    return f"1 - list_dot_product({x}::DOUBLE[], {y}::DOUBLE[]) / (sqrt(list_dot_product({x}::DOUBLE[], {x}::DOUBLE[])) * sqrt(list_dot_product({y}::DOUBLE[], {y}::DOUBLE[])))"
-
-
-_INDEX = f", ce AS (SELECT id AS cell, embedding AS ce FROM chunks WHERE id < {_CELLS}), ix AS (SELECT id, repo_id, embedding, arg_min(cell, {_distance_sql('embedding', 'ce')}) AS cell FROM chunks, ce GROUP BY ALL)"
-
-
-def _near(m):
-    found = _centroids(m)
-    index = written(S.cells(m.chunks, found), "vector-cells")
-    return _round(S.nearest_in_cells(index, _QUERY, 20, found, _PROBES), "distance").select("id", "distance")
+def _trained_sql() -> str:
+    """The trained centroids ce(cell, c) and the index ix(id, repo_id, embedding, u, cell)."""
+    unit = "[x / sqrt(list_dot_product({0}, {0})) FOR x IN {0}]"
+    out = f", un AS (SELECT id, repo_id, embedding, {unit.format('embedding::DOUBLE[]')} AS u FROM chunks), c0 AS (SELECT row_number() OVER (ORDER BY md5(id::VARCHAR)) - 1 AS cell, u AS c FROM un ORDER BY md5(id::VARCHAR) LIMIT {_CELLS})"
+    home = "SELECT id, repo_id, embedding, u, (min({{'d': -list_dot_product(u, c), 'cell': cell}})).cell AS cell FROM un, {0} GROUP BY ALL"
+    for k in range(_ROUNDS):
+        out += f", a{k} AS ({home.format(f'c{k}')}), m{k} AS (SELECT cell, list(s ORDER BY j) AS v FROM (SELECT cell, j, sum(x) AS s FROM (SELECT cell, unnest(u) AS x, generate_subscripts(u, 1) AS j FROM a{k}) GROUP BY ALL) GROUP BY cell)"
+        out += f", c{k + 1} AS (SELECT cell, CASE WHEN v IS NULL THEN c ELSE {unit.format('v')} END AS c FROM c{k} LEFT JOIN m{k} USING (cell))"
+    return f"{out}, ce AS (SELECT * FROM c{_ROUNDS}), ix AS ({home.format('ce')})"
 
 
+_INDEX = _trained_sql()
 query(
     "V2_nearest",
-    _near,
-    f"{_INDEX}, pr AS (SELECT cell FROM ce ORDER BY {_distance_sql('ce', _Q)}, cell LIMIT {_PROBES}) SELECT id, round({_DIST}, 6) AS distance FROM ix WHERE cell IN (SELECT cell FROM pr) ORDER BY {_DIST}, id LIMIT 20",
+    lambda m: _round(V.search(_index(m), _QUERY, 20, _PROBES), "distance").select("id", "distance"),
+    f"{_INDEX}, pr AS (SELECT cell FROM ce ORDER BY list_dot_product(c, {_Q}) DESC, cell LIMIT {_PROBES}) SELECT id, round({_DIST}, 6) AS distance FROM ix WHERE cell IN (SELECT cell FROM pr) ORDER BY {_DIST}, id LIMIT 20",
     "chunks",
 )
 query("V3_degraded", lambda m: S.nearest(m.chunks.where("repo_id = 5"), _QUERY, 8).select("id", F.lit(True).alias("degraded")), f"SELECT id, TRUE AS degraded FROM (SELECT id, {_DIST} AS d FROM chunks WHERE repo_id = 5) ORDER BY d, id LIMIT 8", "chunks")
@@ -113,23 +110,14 @@ query("V12_relevance_guard", lambda m: _round(S.best_or_nothing(S.nearest(m.chun
 
 
 def _recall(m):
-    """Recall at 8 of the cells against an exact ranking, within the repository, for every hundredth chunk as a query."""
-    found = _centroids(m)
-    index = written(S.cells(m.chunks, found), "vector-cells")
-    asked = index.where(F.col("id") % 100 == 0).select(F.col("id").alias("q"), "repo_id", F.col("embedding").alias("v"))
-    nearest = F.array_sort(F.array(*[F.struct(S.cosine_distance(F.col("v"), F.array(*map(F.lit, c))).alias("d"), F.lit(k).alias("cell")) for k, c in enumerate(found)]))
-    asked = asked.withColumn("probes", F.transform(F.slice(nearest, 1, _PROBES), lambda x: x["cell"]))
-    ranked = asked.join(index, "repo_id").select("q", "id", F.array_contains("probes", F.col("cell")).alias("probed"), S.cosine_distance(F.col("v"), F.col("embedding")).alias("d"))
-    w = Window.partitionBy("q").orderBy("d", "id")
-    near = Window.partitionBy("q", "probed").orderBy("d", "id")
-    ranked = ranked.withColumns({"exact": F.row_number().over(w) <= 8, "found": F.col("probed") & (F.row_number().over(near) <= 8)})
-    ids = lambda c: F.collect_list(F.when(F.col(c), F.col("id")))
-    return ranked.groupBy("q").agg(S.recall_at(ids("found"), ids("exact"), 8).alias("recall"))
+    """Recall at 8 of the probed cells against an exact ranking, within the repository, for every hundredth chunk as a query."""
+    asked = m.chunks.where(F.col("id") % 100 == 0).select(F.col("id").alias("q"), "repo_id", F.col("embedding").alias("v"))
+    return V.recall(_index(m), asked, 8, _PROBES)
 
 
 query(
     "U6_recall",
     _recall,
-    f"{_INDEX}, qs AS (SELECT id AS q, repo_id, embedding AS v FROM chunks WHERE id % 100 = 0), pr AS (SELECT q, cell FROM (SELECT q, cell, row_number() OVER (PARTITION BY q ORDER BY {_distance_sql('v', 'ce')}, cell) AS k FROM qs, ce) WHERE k <= {_PROBES}), r AS (SELECT q, id, cell, {_distance_sql('v', 'embedding')} AS d FROM qs JOIN ix USING (repo_id)), e AS (SELECT q, id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS k FROM r) WHERE k <= 8), a AS (SELECT q, id FROM (SELECT r.*, row_number() OVER (PARTITION BY q ORDER BY d, id) AS k FROM r JOIN pr USING (q, cell)) WHERE k <= 8) SELECT q, count(a.id) / 8 AS recall FROM e LEFT JOIN a USING (q, id) GROUP BY q",
+    f"{_INDEX}, qs AS (SELECT id AS q, repo_id, u AS v FROM un WHERE id % 100 = 0), pr AS (SELECT q, cell FROM (SELECT q, cell, row_number() OVER (PARTITION BY q ORDER BY list_dot_product(v, c) DESC, cell) AS k FROM qs, ce) WHERE k <= {_PROBES}), r AS (SELECT q, id, cell, round(1 - list_dot_product(v, u), 9) AS d FROM qs JOIN ix USING (repo_id)), e AS (SELECT q, id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS k FROM r) WHERE k <= 8), a AS (SELECT q, id FROM (SELECT r.*, row_number() OVER (PARTITION BY q ORDER BY d, id) AS k FROM r JOIN pr USING (q, cell)) WHERE k <= 8) SELECT q, count(a.id) / count(*) AS recall FROM e LEFT JOIN a USING (q, id) GROUP BY q",
     "chunks",
 )
