@@ -89,6 +89,8 @@ class VectorIndex:
 
     def cells(self, query: list[float], probes: int) -> list[int]:
         """The ``probes`` cells whose centroids are nearest to a query, nearest first."""
+        if not len(self.centroids):
+            return []
         fit, x = units(pd.Series([query]), self.centroids.shape[1])
         return [int(c) for c in np.argsort(-(x[0] @ self.centroids.T), kind="stable")[:probes]] if fit[0] else []
 
