@@ -43,7 +43,9 @@ MEDOIDS = 8
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1; of any magnitude, since none is squared before its greatest component is 1."""
     x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 

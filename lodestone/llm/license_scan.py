@@ -6,8 +6,10 @@ equivalent made one, and everything that isn't a letter or digit reduced to sing
 A null or empty text, or one with nothing left in canonical form, matches nothing. Each document keeps its row, also one
 that repeats another, and extra columns of any name are left out. Of licences with one canonical form the least id stays.
 
-A copyright line starts with the word or sign, and goes on as a notice does and a sentence doesn't. Short licences are known
-with and without their usual titles. Not known: texts with parts added or left out, and translations.
+A copyright line starts with the word or sign, and goes on as a notice does and a sentence doesn't; the next line belongs to it
+if it starts with "and" or the notice ends with a comma. A line of "all rights reserved" goes as well. Names that a BSD text
+puts in place of the copyright holder count as it. Short licences are known with and without their usual titles. Not known:
+texts with parts added or left out, and translations.
 """
 
 from __future__ import annotations
@@ -133,16 +135,33 @@ _SENTENCE = "notices?|holders?|owners?|laws?|licen[cs]es?|licensees?|statements?
 _WORDS = r"(?U)[^\p{L}\p{N}]+"
 
 
+#: Words on both sides of a name that stands for the copyright holder, and what the words between them become.
+_NAMED = (
+    ("neither the name of", "the copyright holder", "nor the names of its contributors may be used"),
+    ("this software is provided by", "the copyright holders and contributors", "as is and any express or implied warranties including"),
+    ("in no event shall", "the copyright holder or contributors", "be liable for any direct indirect incidental"),
+)
+#: Most characters of such a name.
+_NAME = 160
+
+
 def canonical(text: Column, equivalent: tuple[tuple[str, str], ...] = EQUIVALENT) -> Column:
     """The canonical form; empty for a null."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.regexp_replace(low, rf"(?m)^[^\p{{L}}\p{{N}}\r\n©]*(?:copyright(?![\p{{L}}\p{{N}}]|[ \t]+(?:{_SENTENCE})(?![\p{{L}}\p{{N}}]))|\(c\)[ \t]+\d{{4}}|©)[^\r\n]*$", " ")
+    start = rf"[^\p{{L}}\p{{N}}\r\n©]*(?:copyright(?![\p{{L}}\p{{N}}]|[ \t]+(?:{_SENTENCE})(?![\p{{L}}\p{{N}}]))|\(c\)[ \t]+\d{{4}}|©)"
+    more = r"(?:(?<=,)[ \t]*\r?\n[^\r\n]*|\r?\n[^\p{L}\p{N}\r\n]*(?:and|&)[ \t][^\r\n]*)*"
+    low = F.regexp_replace(low, rf"(?m)^{start}[^\r\n]*{more}$", " ")
+    low = F.regexp_replace(low, r"(?m)^[^\p{L}\p{N}\r\n]*all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}\r\n]*$", " ")
     form = F.trim(F.regexp_replace(low, _WORDS, " "))
     # few texts hold any of these spellings, so one test spares most of them the replacements; words share the blanks between them
     spelled = form
     for written, kept in equivalent:
         spelled = F.regexp_replace(spelled, f"(?<![^ ]){written}(?![^ ])", kept)
-    return F.when(form.rlike("(?<![^ ])(?:" + "|".join(w for w, _ in equivalent) + ")(?![^ ])"), spelled).otherwise(form)
+    form = F.when(form.rlike("(?<![^ ])(?:" + "|".join(w for w, _ in equivalent) + ")(?![^ ])"), spelled).otherwise(form)
+    named = form
+    for before, holder, after in _NAMED:
+        named = F.regexp_replace(named, f"(?<![^ ]){before} .{{1,{_NAME}}}? {after}(?![^ ])", f"{before} {holder} {after}")
+    return F.when(form.contains(_NAMED[1][2]), named).otherwise(form)
 
 
 def license_digests(licenses: DataFrame) -> DataFrame:
