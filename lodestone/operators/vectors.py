@@ -271,10 +271,11 @@ def similar_pairs(chunks: DataFrame, threshold: float, k: int | None = None, cel
 
     Two vectors above the threshold differ in their angle to any centroid by no more than its angle, so a vector needs to
     visit a cell only within that angle and the cell's radius. Of two vectors the one of the earlier cell visits the other's.
-    Any number of ``cells`` (about one for 512 vectors, up to 256) gives the same pairs.
+    Any number of ``cells`` gives the same pairs; by default it grows with the root of the vectors, so that visits stay far fewer
+    than pairs where the threshold is low.
     """
     own = chunks.select("id", "repo_id", F.col("embedding").cast("array<double>").alias("embedding")).where("id is not null")
-    centroids = trained(own, cells or min(256, own.count() // 512 + 1))
+    centroids = trained(own, cells or min(256, math.isqrt(own.count()) // 8 + 1))
     id_type, repo_type = (own.schema[c].dataType.simpleString() for c in ("id", "repo_id"))
     if not len(centroids):
         return own.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
