@@ -55,27 +55,61 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = Non
     return out.withColumn("kind", F.when(F.col("depth") == 1, "direct").otherwise("transitive"))
 
 
+def _completions(live: DataFrame, sources: DataFrame, targets: DataFrame, spaces: list[tuple], max_nodes: int) -> dict[int, list]:
+    """The least path of each space (start, banned, stop), by its place: of the paths that begin with ``start`` and go on with
+    none of ``banned``, the shortest and then the least; with ``stop``, ``start`` itself is none of them.
+
+    One search by breadth for all spaces together: a row for each space and node, with the least of the shortest paths there.
+    """
+    spark, kind = live.sparkSession, live.schema["at"].dataType.simpleString()
+    rows = [(i, start, banned) for i, (start, banned, _) in enumerate(spaces)]
+    own = spark.createDataFrame(rows, f"space int, start array<{kind}>, banned array<{kind}>")
+    of = F.broadcast(own)  # at most max_paths * max_nodes rows
+    first = own.where("size(start) = 0").join(sources.select(F.col("node").alias("at")).distinct(), F.lit(True)).where(~F.array_contains("banned", F.col("at"))).select("space", "at", F.array("at").alias("path"))
+    front = first.unionByName(own.where("size(start) > 0").select("space", F.element_at("start", -1).alias("at"), F.col("start").alias("path")))
+    front = written(front, "path-front")
+    seen, found = front.select("space", "at"), {}
+    ends = targets.select(F.col("node").alias("at")).distinct()
+    begun = {i for i, (start, _, stop) in enumerate(spaces) if stop or len(start) < 2}
+    while True:
+        for r in front.where(F.size("path") > 1).join(ends, "at", "left_semi").groupBy("space").agg(F.min("path").alias("path")).collect():  # a row for each space
+            if r["space"] not in begun or len(r["path"]) > len(spaces[r["space"]][0]):
+                found[r["space"]] = list(r["path"])
+        going = front.where((F.size("path") < max_nodes) & ~F.col("space").isin(list(found)))
+        if going.isEmpty():
+            return found
+        near = going.join(live, "at").join(of, "space").where(~F.array_contains("start", F.col("b")) & ~((F.size("path") == F.size("start")) & F.array_contains("banned", F.col("b"))))
+        near = near.groupBy("space", F.col("b").alias("at")).agg(F.min(F.concat("path", F.array("b"))).alias("path")).join(seen, ["space", "at"], "left_anti")
+        front = written(near, "path-front")
+        seen = seen.union(front.select("space", "at"))
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_paths: int = 10, max_nodes: int = 20) -> DataFrame:
-    """(path): the shortest simple paths from a source to a target, ties by the path itself.
+    """(path): the shortest simple paths of two nodes or more from a source to a target, ties by the path itself.
 
-    A path goes on beyond a target. Nodes that reach no target are cut first; growth stops once enough paths are found,
-    since longer ones come later.
+    A path goes on beyond a target. All paths are parted into spaces of one beginning, of each of which the least path is
+    known; a space whose path is among the first ones is parted again around it, until all of the first are. So the driver
+    holds ``max_paths`` paths and their spaces, and no graph makes more rows than its edges for each space.
     """
     useful = reach(reverse(edges), targets).select("node").union(targets.select("node")).distinct()
-    live = written(edges.select("a", "b").distinct().join(useful.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("at"), "b"), "live-edges")
-    paths = sources.select("node").distinct().select(F.col("node").alias("at"), F.array("node").alias("path"))
-    found: list[DataFrame] = []
-    for _ in range(max_nodes - 1):
-        paths = paths.join(live, "at").where(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
-        paths = written(paths, "paths")
-        if paths.isEmpty():
-            break
-        found.append(paths.join(targets.select(F.col("node").alias("at")).distinct(), "at", "left_semi").select("path"))
-        if reduce(DataFrame.union, found).limit(max_paths).count() >= max_paths:
-            break
-    if not found:
-        return paths.select("path").limit(0)
-    return reduce(DataFrame.union, found).orderBy(F.size("path"), "path").limit(max_paths)
+    live = edges.where("a <> b").select("a", "b").distinct().join(useful.withColumnRenamed("node", "b"), "b", "left_semi")
+    live = written(live.select(F.col("a").alias("at"), "b"), "live-edges")
+    known: list[list] = []  # [path, start, banned, whether it is parted]
+    spaces: list[tuple] = [([], [], False)]
+    while spaces:
+        for i, path in _completions(live, sources, targets, spaces, max_nodes).items():
+            known.append([path, *spaces[i][:2], False])
+        known = sorted(known, key=lambda x: (len(x[0]), x[0]))[:max_paths]
+        spaces = []
+        for entry in known:
+            path, start, banned, parted = entry
+            if not parted:
+                entry[3] = True
+                for n in range(len(start), len(path)):
+                    spaces.append((path[:n], [*(banned if n == len(start) else []), path[n]], True))
+                spaces.append((path, [], True))
+    kind = live.schema["at"].dataType.simpleString()
+    return live.sparkSession.createDataFrame([(x[0],) for x in known], f"path array<{kind}>").coalesce(1).orderBy(F.size("path"), "path")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
