@@ -65,23 +65,36 @@ def _completions(live: DataFrame, sources: DataFrame, targets: DataFrame, spaces
     rows = [(i, start, banned) for i, (start, banned, _) in enumerate(spaces)]
     own = spark.createDataFrame(rows, f"space int, start array<{kind}>, banned array<{kind}>")
     of = F.broadcast(own)  # at most max_paths * max_nodes rows
+    ends = targets.select(F.col("node").alias("at"), F.lit(True).alias("hit")).distinct()
+    marked = lambda front: written(front.join(ends, "at", "left").select("space", "at", "path", (F.coalesce("hit", F.lit(False)) & (F.size("path") > 1)).alias("hit")), "path-front")
     first = own.where("size(start) = 0").join(sources.select(F.col("node").alias("at")).distinct(), F.lit(True)).where(~F.array_contains("banned", F.col("at"))).select("space", "at", F.array("at").alias("path"))
-    front = first.unionByName(own.where("size(start) > 0").select("space", F.element_at("start", -1).alias("at"), F.col("start").alias("path")))
-    front = written(front, "path-front")
-    seen, found = front.select("space", "at"), {}
-    ends = targets.select(F.col("node").alias("at")).distinct()
-    begun = {i for i, (start, _, stop) in enumerate(spaces) if stop or len(start) < 2}
+    front = marked(first.unionByName(own.where("size(start) > 0").select("space", F.element_at("start", -1).alias("at"), F.col("start").alias("path"))))
+    seen, found, fresh = front.select("space", "at"), {}, True
     while True:
-        for r in front.where(F.size("path") > 1).join(ends, "at", "left_semi").groupBy("space").agg(F.min("path").alias("path")).collect():  # a row for each space
-            if r["space"] not in begun or len(r["path"]) > len(spaces[r["space"]][0]):
+        going = []
+        for r in front.groupBy("space").agg(F.min(F.when(F.col("hit"), F.col("path"))).alias("path"), F.max(F.size("path")).alias("n")).collect():  # a row for each space
+            if r["path"] is not None and not (fresh and spaces[r["space"]][2]):  # a space's own start may be none of its paths
                 found[r["space"]] = list(r["path"])
-        going = front.where((F.size("path") < max_nodes) & ~F.col("space").isin(list(found)))
-        if going.isEmpty():
+            elif r["n"] < max_nodes:
+                going.append(r["space"])
+        if not going:
             return found
-        near = going.join(live, "at").join(of, "space").where(~F.array_contains("start", F.col("b")) & ~((F.size("path") == F.size("start")) & F.array_contains("banned", F.col("b"))))
-        near = near.groupBy("space", F.col("b").alias("at")).agg(F.min(F.concat("path", F.array("b"))).alias("path")).join(seen, ["space", "at"], "left_anti")
-        front = written(near, "path-front")
-        seen = seen.union(front.select("space", "at"))
+        near = front.where(F.col("space").isin(going)).drop("hit").join(live, "at").join(of, "space")
+        near = near.where(~F.array_contains("start", F.col("b")) & ~((F.size("path") == F.size("start")) & F.array_contains("banned", F.col("b"))))
+        front = marked(near.groupBy("space", F.col("b").alias("at")).agg(F.min(F.concat("path", F.array("b"))).alias("path")).join(seen, ["space", "at"], "left_anti"))
+        seen, fresh = seen.union(front.select("space", "at")), False
+
+
+def _leading(edges: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
+    """(node) of the nodes from which a target is at most so many steps away."""
+    seen = front = written(targets.select("node").distinct(), "leading")
+    for _ in range(steps):
+        near = edges.join(front.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
+        front = written(near.join(seen, "node", "left_anti"), "leading")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_paths: int = 10, max_nodes: int = 20) -> DataFrame:
@@ -91,9 +104,9 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_p
     known; a space whose path is among the first ones is parted again around it, until all of the first are. So the driver
     holds ``max_paths`` paths and their spaces, and no graph makes more rows than its edges for each space.
     """
-    useful = reach(reverse(edges), targets).select("node").union(targets.select("node")).distinct()
-    live = edges.where("a <> b").select("a", "b").distinct().join(useful.withColumnRenamed("node", "b"), "b", "left_semi")
-    live = written(live.select(F.col("a").alias("at"), "b"), "live-edges")
+    own = edges.where("a <> b").select("a", "b").distinct()
+    useful = _leading(own, targets, max_nodes - 2).withColumnRenamed("node", "b")
+    live = written(own.join(useful, "b", "left_semi").select(F.col("a").alias("at"), "b"), "live-edges")
     known: list[list] = []  # [path, start, banned, whether it is parted]
     spaces: list[tuple] = [([], [], False)]
     while spaces:
@@ -107,7 +120,8 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_p
                 entry[3] = True
                 for n in range(len(start), len(path)):
                     spaces.append((path[:n], [*(banned if n == len(start) else []), path[n]], True))
-                spaces.append((path, [], True))
+                if len(path) < max_nodes:
+                    spaces.append((path, [], True))
     kind = live.schema["at"].dataType.simpleString()
     return live.sparkSession.createDataFrame([(x[0],) for x in known], f"path array<{kind}>").coalesce(1).orderBy(F.size("path"), "path")
 

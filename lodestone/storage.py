@@ -35,9 +35,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete tables of ``written`` that no later step reads; other frames are left alone."""
+    """Delete tables of ``written`` that no later step reads; other frames are left alone. A remote session keeps them."""
     for table in tables:
         path = getattr(table, "_written_to", None)
-        if path:
+        if path and hasattr(table.sparkSession, "_jvm"):
             own = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             own.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(own, True)
