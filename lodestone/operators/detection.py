@@ -110,6 +110,12 @@ def rule_catalogue(spark, disabled: tuple[str, ...] = ()) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, language string, severity string, cwe string, kind string, enabled boolean")
 
 
+def rule_usage(catalogue: DataFrame, findings: DataFrame) -> DataFrame:
+    """The catalogue with ``n_findings`` of each rule; ``findings``: (rule_id)."""
+    counts = findings.groupBy("rule_id").agg(F.count("*").alias("n_findings"))
+    return catalogue.join(counts, "rule_id", "left").fillna(0, ["n_findings"])
+
+
 def attack_surface(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
     """(key, surface): ``source``, ``sink``, ``both`` or null; null for languages that the patterns don't know."""
     language, t = scan_language(F.col(path)), F.coalesce(F.col(text), F.lit(""))

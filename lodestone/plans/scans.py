@@ -42,12 +42,29 @@ def _dangerous(m):
     return m.table("part").select("p_partkey", F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".py"))).otherwise(F.concat(k.cast("string"), F.lit(".js"))).alias("path"), F.when(k % 2 == 0, python).otherwise(script).alias("text"))
 
 
+_SYNTAX = "SELECT p_partkey, 'py_eval' AS rule_id, 3 AS line FROM part WHERE p_partkey % 2 = 0 AND p_size % 2 = 0 UNION ALL SELECT p_partkey, unnest(['py_pickle_loads', 'py_subprocess_shell_true']), unnest([5, 6]) FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'js_eval', 2 FROM part WHERE p_partkey % 2 = 1 AND p_size % 2 = 0 UNION ALL SELECT p_partkey, unnest(['js_document_write', 'js_new_function', 'js_require_non_literal']), unnest([3, 3, 4]) FROM part WHERE p_partkey % 2 = 1"
 query(
     "D9_syntax_rules",
     lambda m: _dangerous(m).select("p_partkey", F.inline(code.syntax_findings("path", "text"))),
-    "SELECT p_partkey, 'py_eval' AS rule_id, 3 AS line FROM part WHERE p_partkey % 2 = 0 AND p_size % 2 = 0 UNION ALL SELECT p_partkey, unnest(['py_pickle_loads', 'py_subprocess_shell_true']), unnest([5, 6]) FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'js_eval', 2 FROM part WHERE p_partkey % 2 = 1 AND p_size % 2 = 0 UNION ALL SELECT p_partkey, unnest(['js_document_write', 'js_new_function', 'js_require_non_literal']), unnest([3, 3, 4]) FROM part WHERE p_partkey % 2 = 1",
+    _SYNTAX,
+)
+
+
+def _rules_used(m):
+    """Rules by language, kind and state, with their findings in source files and in texts with dangerous calls."""
+    found = D.line_findings(m.sources, "file_id", "file_path", "content", ("cross_http_url",)).select("rule_id")
+    found = found.union(_dangerous(m).select(F.inline(code.syntax_findings("path", "text"))).select("rule_id"))
+    return D.rule_usage(D.rule_catalogue(m.spark, ("cross_http_url",)), found).groupBy("language", "kind", "enabled").agg(F.count("*").alias("n"), F.sum("n_findings").alias("n_findings"))
+
+
+query(
+    "D10_rule_catalogue",
+    _rules_used,
+    f"""{_FOUND}, s AS ({_SYNTAX}), v(language, kind, enabled, n) AS (VALUES ('js', 'syntax', TRUE, 6), ('py', 'syntax', TRUE, 4), ('py', 'line', TRUE, 3), ('cs', 'syntax', TRUE, 2), ('cs', 'line', TRUE, 3), (NULL, 'line', FALSE, 1), (NULL, 'line', TRUE, 1)),
+c AS (SELECT nullif(split_part(rule_id, '_', 1), 'cross') AS language, 'line' AS kind, count(*) AS k FROM f WHERE rule_id <> 'cross_http_url' GROUP BY 1 UNION ALL SELECT split_part(rule_id, '_', 1), 'syntax', count(*) FROM s GROUP BY 1)
+SELECT v.*, CASE WHEN enabled THEN coalesce(k, 0) ELSE 0 END AS n_findings FROM v LEFT JOIN c ON c.language IS NOT DISTINCT FROM v.language AND c.kind = v.kind""",
+    "sources",
 )
-query("D10_rule_catalogue", lambda m: D.rule_catalogue(m.spark, ("cross_http_url",)).groupBy("language", "kind", "enabled").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('js', 'syntax', TRUE, 6), ('py', 'syntax', TRUE, 4), ('py', 'line', TRUE, 3), ('cs', 'syntax', TRUE, 2), ('cs', 'line', TRUE, 3), (NULL, 'line', FALSE, 1), (NULL, 'line', TRUE, 1)) t(language, kind, enabled, n)")
 
 
 def _routes(m):

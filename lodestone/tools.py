@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
+from lodestone.operators import reachability as R
 from lodestone.operators import similarity as S
 from lodestone.operators import text as X
 
@@ -67,7 +68,7 @@ class RepositoryTools:
     @_answers
     def get_graph_overview(self) -> dict:
         nodes = self._table("nodes")
-        totals = G.overview(nodes.select(F.col("file_path").alias("node")), self._edges).first()
+        totals = R.overview(nodes.select(F.col("file_path").alias("node")), self._edges).first()
         top = lambda c: [r.asDict() for r in nodes.where(F.col(c) > 0).orderBy(F.desc(c), "file_path").limit(10).select("file_path", c).collect()]
         return {"nodeCount": totals["n_nodes"], "edgeCount": totals["n_edges"], "topHubs": top("incoming_count"), "topSinks": top("outgoing_count"), "cyclicComponentCount": totals["n_cycles"]}
 
