@@ -5,9 +5,15 @@ distinct contents that it lacks are encoded, and their counts are appended as a
 count every byte, so the only normalisation that keeps counts is null to the empty text; ``normalise`` takes another
 column expression for tokenizers that fold case or white space themselves.
 
-One digest's copies never meet in one task: representatives come from a grouped minimum with partial aggregation, and
-texts are shuffled once, by id, for representatives alone. Rows may repeat an id, or have none: each distinct content is
-encoded once all the same, and each row keeps its own output row.
+One digest's copies never meet in one task: representatives come from a grouped minimum with partial aggregation, and a
+bitmap of them, of bounded size, picks their texts out where they are read. So what the cache holds and copies stay where
+they are; missing contents are shuffled once, each row that repeats one at most once a task. Beyond about 10^8 missing
+contents the bitmap lets more rows through, and the join behind it drops them. Counts of the most frequent contents go to
+all tasks, the rest are joined by digest.
+
+A null text is the empty one. Rows may repeat an id, or have none: each distinct content is encoded once all the same,
+and each row keeps its own output row. Very long texts are encoded whole, one at a time. An empty table gives no rows.
+Other columns are not read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -17,16 +23,19 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from importlib.metadata import version
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import fresh_path
+from lodestone.llm._shared import fresh_path, hash_bitmap, in_bitmap, written
 from lodestone.llm._text import blocks, settle
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 #: Bytes of text that the tokenizer gets at once.
 BLOCK = 1 << 20
+#: Most frequent contents whose counts are sent to every task (some 100 bytes each); the others' rows meet theirs by digest.
+HOT = 4096
 
 
 @lru_cache(maxsize=4)
@@ -76,6 +85,30 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     return texts.select("content_digest", "content").mapInArrow(run, "content_digest string, n_tokens long")
 
 
+def _representatives(base: DataFrame, misses: DataFrame) -> DataFrame:
+    """(content_digest, content): one row for each of the missing (content_digest, first), out of (__id, content, content_digest)."""
+    wanted = misses.select("content_digest", F.xxhash64("first").alias("place"))
+    shared = base.sparkSession.sparkContext.broadcast(hash_bitmap(wanted.select(F.xxhash64("content_digest", "place"))))
+    picked = base.select("content_digest", F.xxhash64("__id").alias("place"), "content")
+    picked = picked.withColumn("h", F.xxhash64("content_digest", "place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # no more than the task's rows
+        for batch in batches:
+            h = batch.column(3).to_numpy()
+            fresh = np.zeros(len(h), dtype=bool)
+            for i in np.flatnonzero(in_bitmap(shared.value, h)).tolist():
+                key = (batch.column(0)[i].as_py(), int(h[i]))
+                fresh[i] = key not in seen
+                seen.add(key)
+            if fresh.any():
+                yield batch.select([0, 1, 2]).filter(pa.array(fresh))
+        settle()
+
+    found = picked.mapInArrow(run, "content_digest string, place long, content string").join(wanted, ["content_digest", "place"], "left_semi")
+    return found.dropDuplicates(["content_digest", "place"]).select("content_digest", "content")  # the join has dealt by these
+
+
 def count_tokens(
     docs: DataFrame,
     tokenizer_path: str,
@@ -96,14 +129,14 @@ def count_tokens(
     content = normalise(content) if normalise else content
     base = docs.select(F.col(id_col).alias("__id"), content.alias("content"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     base = base.withColumn("content_digest", F.sha2("content", 256))
-    slim = base.select("__id", "n_bytes", "content_digest")
-    first = slim.groupBy("content_digest").agg(F.min("__id").alias("__id"))
-    misses = first.join(read_cache(spark, cache, digest), "content_digest", "left_anti")
-    texts = base.select("__id", "content_digest", "content").where("__id is not null").join(misses.withColumnRenamed("content_digest", "__want"), "__id")
-    # rows of one id lie together after the join, so a repeated row is found without another shuffle
-    texts = texts.where(F.col("content_digest") == F.col("__want")).dropDuplicates(["content_digest", "__id"]).select("content_digest", "content")
-    nameless = base.where("__id is null").select("content_digest", "content").join(misses.where("__id is null").select("content_digest"), "content_digest", "left_semi")
-    counted = encode_counts(texts.unionByName(nameless.dropDuplicates(["content_digest"])), tokenizer_path)
+    slim = written(base.select("__id", "n_bytes", "content_digest"), "token-digests")
+    # the least id stands for a content's rows, null if none of them has an id
+    distinct = written(slim.groupBy("content_digest").agg(F.min("__id").alias("first"), F.count("*").alias("n")), "token-contents")
+    misses = written(distinct.join(read_cache(spark, cache, digest), "content_digest", "left_anti"), "token-misses")
+    counted = encode_counts(_representatives(base, misses), tokenizer_path)
     counted.select("content_digest", F.lit(digest).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, digest)
-    return slim.join(counts, "content_digest").select(F.col("__id").alias(id_col), "n_bytes", "n_tokens")
+    most = distinct.where("n > 1").orderBy(F.desc("n"), "content_digest").limit(HOT).select("content_digest")
+    hot = F.broadcast(written(counts.join(F.broadcast(most), "content_digest"), "token-hot"))
+    out = slim.join(hot, "content_digest").unionByName(slim.join(hot, "content_digest", "left_anti").join(counts, "content_digest"))
+    return out.select(F.col("__id").alias(id_col), "n_bytes", "n_tokens")
