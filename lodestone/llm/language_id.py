@@ -5,7 +5,8 @@ every bit by its classifier's training accuracy and takes the codeword of least
 two best flags the text as ambiguous.
 
 The classifiers are ridge regressions on n-gram frequencies and share one factorised Gram matrix. They are fitted on a
-bounded sample of labelled rows (``per_language``); prediction runs over every whole text.
+bounded sample of labelled rows (``per_language``), whose products are added up in tasks: the driver gets one matrix of
+``dims`` rows, however many languages there are. Prediction runs over every whole text.
 
 A null text, or one without a letter, is ``und`` with score 0. Null labels teach nothing. Without any label all texts
 are ``und``; with one language every text with a letter gets it. Of two nearest codewords the earlier language in
@@ -20,15 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._shared import discard, written
 from lodestone.llm._text import blocks, gram_counts, settle
 
 #: Hashed n-gram features.
 DIMS = 2048
 #: Distinct labelled texts that each language gives to the fit, in expectation.
 PER_LANGUAGE = 800
+#: Sampled texts of a task that adds up products, and the most such tasks; beyond, a task takes more texts in turn.
+PART, MAX_PARTS = 1024, 256
 #: Score below which a prediction is ambiguous.
 AMBIGUOUS = 0.6
 
@@ -104,15 +109,75 @@ def sample_counts(docs: DataFrame, text_col: str, target: Column, dims: int, cou
     return flat.reshape(len(column), dims), got.column("target").to_pylist()
 
 
-def normal_equations(counts: np.ndarray, weight: np.ndarray, y: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """X'WX and X'WY of the features (and a constant), added up ``step`` rows at a time."""
-    dims = counts.shape[1] + 1
-    gram, right = np.zeros((dims, dims)), np.zeros((dims, y.shape[1]))
-    for a in range(0, len(counts), step):
-        x, w = with_constant(counts[a : a + step]), weight[a : a + step, None]
-        gram += (x * w).T @ x
-        right += (x * w).T @ y[a : a + step]
-    return gram, right
+def _sample(picked: DataFrame, dims: int, parts: int) -> DataFrame:
+    """(which, key, counts): n-gram counts of (which, __text), dealt into ``parts`` tasks and written, each task's rows in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in blocks(batches, "__text"):
+            rows = gram_counts(data, offsets, _TABLE, dims, squeeze=32).astype("<f4")
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["which", "key", "counts"])
+        settle()
+
+    counted = picked.select("__text", "which", F.xxhash64("__text", "which").alias("key")).mapInArrow(run, "which int, key long, counts binary")
+    return written(counted.repartition(parts, "key").sortWithinPartitions("key", "which"), "language-sample")
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(languages, features with a constant) of sampled rows, some hundreds at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            own = batch.slice(a, 512)
+            counts = np.frombuffer(b"".join(own.column(1).to_pylist()), dtype="<f4").reshape(own.num_rows, -1)
+            yield own.column(0).to_numpy(), with_constant(counts)
+
+
+def _products(sample: DataFrame, shared, dims: int, bits: int) -> np.ndarray:
+    """X'WX beside X'WY, (dims + 1, dims + 1 + bits): a matrix for each task with rows, and these are added up row by row."""
+    width = dims + 1 + bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, weight = shared.value
+        total = np.zeros((dims + 1, width))
+        seen = 0
+        for which, x in _steps(batches):
+            total += (x * weight[which, None]).T @ np.hstack([x, code[which]])
+            seen += len(x)
+        part = TaskContext.get().partitionId()
+        for a in range(0, dims + 1 if seen else 0, 256):
+            rows = total[a : a + 256]
+            at = np.arange(a, a + len(rows), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(rows), part, np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["at", "part", "row"])
+        settle()
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("row").to_pylist()))  # at most MAX_PARTS
+        total = np.zeros(width)  # in the order of the parts: the same sum on every run
+        for _, r in rows:
+            total += np.frombuffer(r, "<f8")
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([total.tobytes()], pa.binary())})
+
+    parts = sample.select("which", "counts").mapInArrow(run, "at int, part int, row binary")
+    got = parts.groupBy("at").applyInArrow(add, "at int, row binary").toArrow()  # dims + 1 rows
+    out = np.zeros((dims + 1, width))
+    for at, row in zip(got.column("at").to_pylist(), got.column("row")):
+        out[at] = np.frombuffer(row.as_py(), "<f8")
+    return out
+
+
+def _hits(sample: DataFrame, shared, w: np.ndarray, bits: int) -> np.ndarray:
+    """Weight of the sampled rows whose bits have the right sign, for each bit."""
+    fitted = sample.sparkSession.sparkContext.broadcast(w)  # dims x bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, weight = shared.value
+        total = np.zeros(bits)
+        for which, x in _steps(batches):
+            total += ((np.sign(x @ fitted.value) == code[which]) * weight[which, None]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "hits"])
+        settle()
+
+    rows = sample.select("which", "counts").mapInArrow(run, "part int, hits array<double>").collect()  # a row for each task
+    return sum((np.array(r.hits) for r in sorted(rows, key=lambda r: r.part)), np.zeros(bits))
 
 
 def with_constant(counts: np.ndarray) -> np.ndarray:
@@ -127,25 +192,28 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     languages = sorted(sizes)
     if len(languages) <= 1:
         return LanguageModel(languages, codewords(len(languages)), np.zeros((dims + 1, 1)), np.ones(1))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / max(sizes[k], 1)))])
-    drawn = draw.bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24) < F.element_at(share, F.col("__lang"))
+    share = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, F.struct(F.lit(i).alias("which"), F.lit(min(1.0, per_language / max(sizes[k], 1))).alias("share")))])
+    known = labelled.withColumn("__of", F.element_at(share, F.col("__lang")))
+    drawn = draw.bitwiseAND(F.lit((1 << 24) - 1)) / float(1 << 24) < F.col("__of.share")
     # copies of a drawn text are all drawn, and count once
-    picked = labelled.where(drawn).dropDuplicates()
-    counts, names = sample_counts(picked, "__text", F.col("__lang"), dims, lambda data, offsets: gram_counts(data, offsets, _TABLE, dims, squeeze=32))
-    which = np.array([languages.index(x) for x in names], dtype=int)
+    picked = known.where(drawn).select("__text", F.col("__of.which").alias("which")).dropDuplicates()
+    expected = sum(min(per_language, n) for n in sizes.values())
+    parts = max(1, min(MAX_PARTS, expected // PART))
+    sample = _sample(picked, dims, parts)
+    found = np.zeros(len(languages))
+    for r in sample.groupBy("which").count().collect():  # a row for each language
+        found[r["which"]] = r["count"]
     code = codewords(len(languages))
-    y = code[which]
-    weight = 1 / np.maximum(np.bincount(which, minlength=len(languages)), 1)[which]
-    weight *= len(weight) / max(weight.sum(), 1e-9)
-    gram, right = normal_equations(counts, weight, y)
+    # languages weigh alike, and the weights of all texts add up to their number
+    weight = found.sum() / max((found > 0).sum(), 1) / np.maximum(found, 1)
+    shared = docs.sparkSession.sparkContext.broadcast((code, weight))  # languages x bits
+    both = _products(sample.coalesce(parts), shared, dims, code.shape[1])  # files may be split
+    gram, right = both[:, : dims + 1], both[:, dims + 1 :]
     gram[np.diag_indices(dims + 1)] += 0.05
     w = np.linalg.solve(gram, right)
-    hits = [(np.sign(with_constant(counts[a : a + 512]) @ w) == y[a : a + 512]) * weight[a : a + 512, None] for a in range(0, len(counts), 512)]
-    right = sum(h.sum(axis=0) for h in hits) / max(weight.sum(), 1e-9) if hits else np.zeros(code.shape[1])
-    model = LanguageModel(languages, code, w, np.maximum(2 * right - 1, 0.01))
-    del counts, gram, hits
-    settle()
-    return model
+    accuracy = _hits(sample, shared, w, code.shape[1]) / max(found.sum(), 1e-9)
+    discard(sample)
+    return LanguageModel(languages, code, w, np.maximum(2 * accuracy - 1, 0.01))
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
