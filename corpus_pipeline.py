@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` wr
 the next stage's documents. The stages but the last keep the columns of documents.
 
 Decisions are about rows: the first two stages carry whole rows through their operators, the next two know each row by
-its place in the files that they read. So repeated ids, null ids and extra columns of any name (but ``__doc``, ``__file``
-and ``__at``) need no special care, and empty tables give empty tables.
+its place in the files that they read. So repeated ids and null ids need no special care, and empty tables give empty
+tables. Names that a stage adds are chosen apart from the documents' own, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,20 +23,33 @@ from lodestone.llm._shared import bound_batches, written
 BROADCAST_ROWS = 500_000
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """The documents with ``__file`` and ``__at``, a row's place in the files behind it; what no files are behind is written first."""
-    place = {"__file": F.xxhash64("_metadata.file_path"), "__at": F.col("_metadata.row_index")}
+def _free(docs: DataFrame, stem: str) -> str:
+    """``stem``, longer by as many underscores as it takes until no column starts with it."""
+    own = [c.lower() for c in docs.columns]
+    while any(c.startswith(stem.lower()) for c in own):
+        stem += "_"
+    return stem
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with a row's place in the files behind it, and the names of the two columns (file, row); what no files are behind is written first."""
+    file, at = _free(docs, "__file"), _free(docs, "__at")
+
+    def place(table: DataFrame) -> DataFrame:
+        behind = table.metadataColumn("_metadata")
+        return table.select("*", F.xxhash64(behind["file_path"]).alias(file), behind["row_index"].alias(at))
+
     try:
-        return docs.select("*", *[c.alias(k) for k, c in place.items()])
+        return place(docs), file, at
     except AnalysisException:
-        return written(docs, "documents").select("*", *[c.alias(k) for k, c in place.items()])
+        return place(written(docs, "documents")), file, at
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Placed documents but those in ``gone`` (__file, __at)."""
-    gone = written(gone.select("__file", "__at"), "gone")
+def _without(placed: DataFrame, gone: DataFrame, file: str, at: str) -> DataFrame:
+    """Placed documents but those in ``gone`` (file, row)."""
+    gone = written(gone.toDF(file, at), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, ["__file", "__at"], "left_anti")
+    return placed.join(F.broadcast(gone) if few else gone, [file, at], "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +59,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     bound_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"), keep=docs.columns, prefix="__quality_")
-    return judged.where("__quality_keep").select(*docs.columns)
+    own = _free(docs, "__quality_")
+    judged = quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"), keep=docs.columns, prefix=own)
+    return judged.where(F.col(f"{own}keep")).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: texts that are null, empty, without a letter or ambiguous go. Copies fare alike."""
     bound_batches(spark)
-    judged = language_id.predict(docs, language_id.fit(docs), docs.columns, prefix="__language_")
-    return judged.where("__language_lang_pred <> 'und' and not __language_ambiguous").select(*docs.columns)
+    own = _free(docs, "__language_")
+    judged = language_id.predict(docs, language_id.fit(docs), docs.columns, prefix=own)
+    return judged.where((F.col(f"{own}lang_pred") != "und") & ~F.col(f"{own}ambiguous")).select(*docs.columns)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,21 +79,21 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     words are in no group and stay.
     """
     bound_batches(spark)
-    placed = _placed(docs)
-    doc = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "__file", "__at")
+    placed, file, at = _placed(docs)
+    doc = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(file).alias("file"), F.col(at).alias("at"))
     groups = jaccard_join.similar_groups(placed.select("text", doc.alias("__doc")), id_col="__doc")
     least = F.col("component_id")
-    gone = groups.where((F.col("__doc")["__file"] != least["__file"]) | (F.col("__doc")["__at"] != least["__at"]))
-    return _without(placed, gone.select("__doc.__file", "__doc.__at")).select(*docs.columns)
+    gone = groups.where((F.col("__doc")["file"] != least["file"]) | (F.col("__doc")["at"] != least["at"]))
+    return _without(placed, gone.select("__doc.file", "__doc.at"), file, at).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that share ten words in a row, or a whole shorter item, with the benchmark; a text without words stays."""
     bound_batches(spark)
-    placed = _placed(docs)
-    rows = placed.select("text", F.struct("__file", "__at").alias("__doc"))
+    placed, file, at = _placed(docs)
+    rows = placed.select("text", F.struct(F.col(file).alias("file"), F.col(at).alias("at")).alias("__doc"))
     judged = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__doc")
-    return _without(placed, judged.where("contaminated").select("__doc.__file", "__doc.__at")).select(*docs.columns)
+    return _without(placed, judged.where("contaminated").select("__doc.file", "__doc.at"), file, at).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
