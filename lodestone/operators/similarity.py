@@ -1,6 +1,6 @@
 """Vector and text similarity.
 
-Pair search never crosses all rows: vectors meet in tiles of cells (``vectors``), texts in tiles of a repository's size bands,
+Pair search never crosses all rows: vectors meet in tiles of cells (``vectors``), texts in tiles of a repository's size bands and cells,
 and nearest neighbours at scale come from an inverted file (``vectors``).
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.vectors import similar_pairs
+from lodestone.storage import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -98,8 +99,11 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array(text))
 
 
-#: Texts on each side of a tile.
+#: Texts on each side of a tile; buckets of a sketch; pivots, two for each bit of a cell's code behind those for the size.
 TILE = 256
+BUCKETS = 256
+PIVOTS, SIZE_BITS = 24, 2
+_BITS = SIZE_BITS + PIVOTS // 2
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,70 +113,172 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True)
 
 
+def sketch(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts summed by bucket of the gram. Sketches overlap at least as much as the texts do, and differ no more."""
+    bucket = (codes * np.int64(-7046029254386353131)) >> np.int64(40) & (BUCKETS - 1)
+    return np.bincount(bucket, weights=counts, minlength=BUCKETS).astype("<i4")
+
+
 def _profiles(texts: DataFrame, ratio: float) -> DataFrame:
-    """(id, repo_id, file_path, n, band, codes, counts) of the texts that aren't null."""
-    kept = texts.where("content is not null").select("id", "repo_id", "file_path", "content")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:3]) + ", n long, band int, codes binary, counts binary"
+    """(id, repo_id, file_path, n, band, sketch, codes, counts) of the texts without a null."""
+    kept = texts.select("id", "repo_id", "file_path", "content").dropna()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:3]) + ", n long, band int, sketch binary, codes binary, counts binary"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [gram_counts(t) for t in frame["content"]]
             n = np.array([c.sum() for _, c in found], dtype=np.int64)
-            yield frame.drop(columns="content").assign(n=n, band=np.floor(np.log(n) / math.log(ratio)).astype(np.int32) if len(n) else n, codes=[k.tobytes() for k, _ in found], counts=[c.astype("<i4").tobytes() for _, c in found])
+            band = np.floor(np.log(n) / math.log(ratio)).astype(np.int32)
+            yield frame.drop(columns="content").assign(n=n, band=band, sketch=[sketch(*x).tobytes() for x in found], codes=[k.tobytes() for k, _ in found], counts=[c.astype("<i4").tobytes() for _, c in found])
 
     return kept.mapInPandas(run, schema)
 
 
+def _shares(frame: pd.DataFrame) -> np.ndarray:
+    """Sketches as shares of the text's grams, a row each."""
+    rows = np.frombuffer(b"".join(frame["sketch"]), "<i4").reshape(-1, BUCKETS)
+    return rows / frame["n"].to_numpy()[:, None]
+
+
+def _pivots(own: DataFrame) -> np.ndarray:
+    """Shares of ``PIVOTS`` texts that lie far from each other, out of a sample of 512 rows; they decide about speed alone."""
+    rows = _shares(own.select("n", "sketch").orderBy(F.xxhash64("id"), "id").limit(512).toPandas())  # 512 KiB at most
+    if not len(rows):
+        return np.zeros((PIVOTS, BUCKETS))
+    picked, gap = [0], np.abs(rows - rows[0]).sum(axis=1)
+    while len(picked) < PIVOTS:
+        picked.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.abs(rows - rows[picked[-1]]).sum(axis=1))
+    return rows[picked]
+
+
+def _placed(own: DataFrame, pivots: np.ndarray, ratio: float) -> DataFrame:
+    """Rows without their grams, with distances to the pivots and a code: the place in the size band, then which pivot of each two is nearer."""
+    kept = own.select("id", "repo_id", "file_path", "n", "band", "sketch")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields) + ", far array<double>, code int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 4096):
+                part = frame.iloc[at : at + 4096]
+                rows = _shares(part)
+                far = np.stack([np.abs(rows - p).sum(axis=1) for p in pivots], axis=1)
+                place = np.log(part["n"].to_numpy()) / math.log(ratio) - part["band"].to_numpy()
+                code = np.clip(place * 2**SIZE_BITS, 0, 2**SIZE_BITS - 1).astype(np.int32)
+                for k in range(0, PIVOTS, 2):
+                    code = code << 1 | (far[:, k] < far[:, k + 1])
+                yield part.assign(far=list(far), code=code.astype(np.int32))
+
+    return kept.mapInPandas(run, schema)
+
+
+def _cells(placed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The placed rows with their cell and block, and the tiles (tile, same, repo_id, and band, cell, block of each side).
+
+    A band of a repository is cut by as many bits of the code as bring its cells near ``TILE`` rows. Two cells meet only if
+    neither their sizes nor their distances to a pivot lie too far apart for a pair above the threshold.
+    """
+    ratio = (2 - threshold) / threshold
+    depth = F.least(F.lit(_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / TILE)))).cast("int")
+    depths = placed.groupBy("repo_id", "band").agg(depth.alias("depth"))
+    rows = placed.join(depths, ["repo_id", "band"]).withColumn("cell", F.expr(f"shiftright(code, {_BITS} - depth)")).drop("depth", "code")
+    box = [F.array(*[f(F.col("far")[i]) for i in range(PIVOTS)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    cells = written(rows.groupBy("repo_id", "band", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"), F.min("n").alias("least"), F.max("n").alias("most"), *box), "text-cells")
+    named = [F.col(c).alias(f"{c}_b") for c in ("band", "cell", "blocks", "least", "most", "lo", "hi")]
+    met = cells.withColumn("band_b", F.explode(F.array("band", F.col("band") + 1))).join(cells.select("repo_id", *named), ["repo_id", "band_b"])
+    nearest_size = F.greatest(F.lit(1 / ratio), F.least(F.col("least") / F.col("most_b"), F.col("least_b") / F.col("most")))
+    apart = F.greatest(*[F.greatest(F.col("lo")[i] - F.col("hi_b")[i], F.col("lo_b")[i] - F.col("hi")[i]) for i in range(PIVOTS)])
+    fit = (F.col("least") <= F.col("most_b") * (ratio + 1e-9)) & (F.col("least_b") <= F.col("most") * (ratio + 1e-9)) & (apart <= 2 - threshold * (1 + nearest_size) + 1e-9)
+    met = met.where(((F.col("band") < F.col("band_b")) | (F.col("cell") <= F.col("cell_b"))) & fit)
+    one = (F.col("band") == F.col("band_b")) & (F.col("cell") == F.col("cell_b"))
+    met = met.select("repo_id", "band", "cell", "band_b", "cell_b", "blocks_b", one.alias("one"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = met.select("*", F.explode(F.sequence(F.when(F.col("one"), F.col("block")).otherwise(0), F.col("blocks_b") - 1)).alias("block_b"))
+    tiles = met.select(F.monotonically_increasing_id().alias("tile"), (F.col("one") & (F.col("block") == F.col("block_b"))).alias("same"), "repo_id", "band", "cell", "block", "band_b", "cell_b", "block_b")
+    blocks = cells.select("repo_id", "band", "cell", "blocks")
+    dealt = rows.drop("far").join(blocks, ["repo_id", "band", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+    return dealt, written(tiles, "text-tiles")
+
+
+def _possible(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the left side, which of the right side its sketch allows to be above the threshold; each pair once."""
+    a, b = (np.frombuffer(b"".join(df["sketch"]), "<i4").reshape(-1, BUCKETS) for df in (left, right))
+    ids, files, sizes = right["id"].to_numpy(), right["file_path"].to_numpy(), right["n"].to_numpy()
+    same = bool(left["same"].iloc[0])
+    for i, (own, path, n) in enumerate(zip(left["id"], left["file_path"], left["n"])):
+        at = np.flatnonzero((files != path) & (ids > own if same else ids != own) & (2 * np.minimum(sizes, n) / (sizes + n) > threshold))
+        overlap = np.minimum(b[at], a[i]).sum(axis=1, dtype=np.int64)
+        at = at[2 * overlap / (sizes[at] + n) > threshold]
+        if len(at):
+            yield i, at
+
+
+def _marks(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The rows of a tile that have a possible partner in it: (tile, same, side, row)."""
+    marked = [np.zeros(len(left), bool), np.zeros(len(right), bool)]
+    if len(left) and len(right):
+        for i, at in _possible(left, right, threshold):
+            marked[0][i] = True
+            marked[1][at] = True
+    return pd.concat([df.loc[m, ["tile", "same", "id", "file_path", "repo_id"]].assign(side=np.int32(k)) for k, (df, m) in enumerate(zip((left, right), marked))])
+
+
 def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Pairs of a tile above the threshold, each once; both sides are the same texts in a tile on the diagonal."""
-    pick = {"id_a": left["id"], "id_b": right["id"]}
+    """Pairs of a tile above the threshold, each once; the counts of possible partners alone are compared."""
     out: dict[str, list] = {"id_a": [], "id_b": [], "similarity": []}
     if len(left) and len(right):
-        sides = [[(np.frombuffer(k, np.int64), np.frombuffer(c, "<i4")) for k, c in zip(df["codes"], df["counts"])] for df in (left, right)]
-        every = np.unique(np.concatenate([k for own in sides for k, _ in own]))
-        rows = [np.zeros((len(own), len(every)), dtype=np.int32) for own in sides]
-        for matrix, own in zip(rows, sides):
-            for i, (k, c) in enumerate(own):
-                matrix[i, np.searchsorted(every, k)] = c
-        same = bool((left["band"].iloc[0], left["block"].iloc[0]) == (right["band"].iloc[0], right["block"].iloc[0]))
-        ids, files, sizes = right["id"].to_numpy(), right["file_path"].to_numpy(), right["n"].to_numpy()
-        for i, (own, path, n) in enumerate(zip(left["id"], left["file_path"], left["n"])):
-            at = np.flatnonzero((files != path) & (ids > own if same else ids != own))
-            score = 2 * np.minimum(rows[0][i], rows[1][at]).sum(axis=1, dtype=np.int64) / (sizes[at] + n)
-            at, score = at[score > threshold], score[score > threshold]
-            out["id_a"] += [min(own, x) for x in ids[at]]
-            out["id_b"] += [max(own, x) for x in ids[at]]
-            out["similarity"] += score.tolist()
-    return pd.DataFrame({"id_a": pd.Series(out["id_a"], dtype=pick["id_a"].dtype), "id_b": pd.Series(out["id_b"], dtype=pick["id_b"].dtype), "similarity": pd.Series(out["similarity"], dtype=float)})
+        grams = [[np.frombuffer(k, np.int64) for k in df["codes"]] for df in (left, right)]
+        every = np.unique(np.concatenate(grams[1]))
+        columns = [np.searchsorted(every, k) for k in grams[1]]
+        counts = [np.frombuffer(c, "<i4") for c in right["counts"]]
+        own, ids, sizes = np.zeros(len(every), np.int32), right["id"].to_numpy(), right["n"].to_numpy()
+        for i, at in _possible(left, right, threshold):
+            place = np.searchsorted(every, grams[0][i])
+            known = place < len(every)
+            known[known] = every[place[known]] == grams[0][i][known]
+            own[place[known]] = np.frombuffer(left["counts"].iloc[i], "<i4")[known]
+            lengths = np.array([len(columns[j]) for j in at])
+            common = np.minimum(own[np.concatenate([columns[j] for j in at])], np.concatenate([counts[j] for j in at]))
+            score = 2 * np.add.reduceat(common.astype(np.int64), np.cumsum(lengths) - lengths) / (sizes[at] + left["n"].iloc[i])
+            own[place[known]] = 0
+            me, others = left["id"].iloc[i], ids[at[score > threshold]]
+            out["id_a"] += [min(me, x) for x in others]
+            out["id_b"] += [max(me, x) for x in others]
+            out["similarity"] += score[score > threshold].tolist()
+    kind = left["id"].dtype
+    return pd.DataFrame({"id_a": pd.Series(out["id_a"], dtype=kind), "id_b": pd.Series(out["id_b"], dtype=kind), "similarity": pd.Series(out["similarity"], dtype=float)})
 
 
 def dice_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b, similarity): multiset bigram Dice above the threshold between texts of one repository in different files.
+    """(id_a, id_b, similarity): multiset bigram Dice above the threshold (between 0 and 1) of texts of one repository in different files.
+
+    Ids are distinct; a row with a null takes no part, an empty text is a gram of its own, other columns don't matter.
 
-    For a pair above the threshold the larger text has at most (2 - t) / t times the bigrams of the smaller, so pairs lie
-    within a size band of that width or in neighbouring ones. A band's texts are dealt into blocks, and a task compares
-    two blocks: a band with any number of texts takes tasks of one size, and only pairs above the threshold go out.
+    Pairs above the threshold differ little in size, so they lie within a size band or in neighbouring ones, and little in
+    the shares of their grams, so the triangle inequality for distances to pivots parts a band's cells: cells that can't hold
+    a pair never meet. Where cells meet, sketches (counts by bucket) bound the overlap from above; only texts with a possible
+    partner send their grams, and only possible partners are compared. Tiles have one size whatever the size of a group.
     """
-    own = _profiles(texts, (2 - threshold) / threshold)
-    sizes = own.groupBy("repo_id", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    dealt = own.join(sizes, ["repo_id", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    after = sizes.select("repo_id", (F.col("band") - 1).alias("band"), F.col("blocks").alias("after"))
-    near = sizes.join(after, ["repo_id", "band"], "left")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    inside = near.select("repo_id", "band", F.lit(0).alias("up"), F.explode(upto(F.col("blocks"))).alias("x"), "blocks").select("repo_id", "band", "up", "x", F.explode(F.sequence("x", F.col("blocks") - 1)).alias("y"))
-    across = near.where("after is not null").select("repo_id", "band", F.lit(1).alias("up"), F.explode(upto(F.col("blocks"))).alias("x"), "after").select("repo_id", "band", "up", "x", F.explode(upto(F.col("after"))).alias("y"))
-    tiles = inside.unionByName(across)
-    columns = ["id", "file_path", "n", "codes", "counts"]
-    keys = ["repo_id", "tile_band", "up", "x", "y"]
-
-    def side(place: str, band) -> DataFrame:
-        t = tiles.select("repo_id", F.col("band").alias("tile_band"), band.alias("band"), "up", "x", "y", F.col(place).alias("block"))
-        return dealt.join(t, ["repo_id", "band", "block"]).select(*[F.col(c).alias(c) for c in (*keys, "band", "block", *columns)])
-
-    left, right = side("x", F.col("band")), side("y", F.col("band") + F.col("up"))
-    id_type = texts.schema["id"].dataType.simpleString()
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    return pairs.applyInPandas(lambda a, b: _compare(a, b, threshold), f"id_a {id_type}, id_b {id_type}, similarity double")
+    if not 0 < threshold < 1:
+        raise ValueError("a threshold lies between 0 and 1")
+    ratio = (2 - threshold) / threshold
+    own = written(_profiles(texts, ratio), "text-profiles")
+    dealt, tiles = _cells(written(_placed(own, _pivots(own), ratio), "text-places"), threshold)
+    named = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  each side has columns of its own
+
+    def side(end: str) -> DataFrame:
+        at = tiles.select("tile", "same", "repo_id", *[F.col(c + end).alias(c) for c in ("band", "cell", "block")])
+        return dealt.join(at, ["repo_id", "band", "cell", "block"]).select(*named("tile", "same", "id", "file_path", "repo_id", "n", "sketch"))
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    schema = f"tile long, same boolean, id {kinds['id']}, file_path {kinds['file_path']}, repo_id {kinds['repo_id']}, side int"
+    marks = side("").groupBy("tile").cogroup(side("_b").groupBy("tile")).applyInPandas(lambda a, b: _marks(a, b, threshold), schema)
+    marks = written(marks, "text-marks")
+
+    def grams(k: int) -> DataFrame:
+        return own.join(marks.where(F.col("side") == k), ["id", "file_path", "repo_id"]).select(*named("tile", "same", "id", "file_path", "n", "sketch", "codes", "counts"))
+
+    pairs = grams(0).groupBy("tile").cogroup(grams(1).groupBy("tile"))
+    return pairs.applyInPandas(lambda a, b: _compare(a, b, threshold), f"id_a {kinds['id']}, id_b {kinds['id']}, similarity double")
 
 
 def fuzzy_score(needle: Column, haystack: Column) -> Column:
