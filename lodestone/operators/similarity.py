@@ -100,7 +100,7 @@ def bigrams(text: Column) -> Column:
 
 
 #: Texts on each side of a tile; buckets of a sketch; pivots, two for each bit of a cell's code behind those for the size.
-TILE = 256
+TILE = 1024
 BUCKETS = 256
 PIVOTS, SIZE_BITS = 24, 2
 _BITS = SIZE_BITS + PIVOTS // 2
