@@ -9,8 +9,8 @@ from lodestone.operators.aggregates import folder
 
 
 def shares_of_members(shares: DataFrame, members: DataFrame) -> DataFrame:
-    """Who reaches which shared repository: (repo_id, user_id), once each."""
-    return shares.join(members, "team_id").select("repo_id", "user_id").distinct()
+    """Who reaches which shared repository: (repo_id, user_id), once each. A team's users and shares come once into the join."""
+    return shares.select("repo_id", "team_id").distinct().join(members.select("user_id", "team_id").distinct(), "team_id").select("repo_id", "user_id").distinct()
 
 
 def left_counts(left: DataFrame, right: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -118,7 +118,8 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: list,
 
 def share_impact(shares: DataFrame, members: DataFrame, creator: Column) -> DataFrame:
     """Distinct members (accounts; nulls don't count) that a shared item reaches, without its creator."""
-    return shares.join(members, "team_id").where(F.col("user_id") != creator).groupBy("item_id").agg(F.count_distinct("user_id").alias("n_members"))
+    of_team = members.where("user_id is not null").select("user_id", "team_id").distinct()  # however many accounts a user has in a team
+    return shares.distinct().join(of_team, "team_id").where(F.col("user_id") != creator).groupBy("item_id").agg(F.count_distinct("user_id").alias("n_members"))
 
 
 def recipients(owners: DataFrame, shared: DataFrame) -> DataFrame:
