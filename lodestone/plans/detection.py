@@ -9,6 +9,7 @@ from lodestone.operators import detection as D
 from lodestone.operators import reachability as R
 from lodestone.operators.windows import hotspots, within_budget
 from lodestone.plans.registry import query
+from lodestone.storage import written
 
 
 def _dense(m):
@@ -37,7 +38,8 @@ query(
 def _risk(m):
     seeds = m.issues.select(F.col("id").alias("node"))
     counts = R.transitive_counts(m.edge_ids, seeds, enough=99).join(m.nodes.select(F.col("file_id").alias("seed"), "file_path"), "seed").select("file_path", "n")
-    return D.risk_scores(m.issues, counts, m.churn.select("file_path", "commits_in_last_30d"), A.median_of(m.churn, "commit_count").select((F.col("median") / 10).alias("median")))
+    churn = written(m.churn.select("file_path", "commit_count", "commits_in_last_30d"), "churn")  # read twice
+    return D.risk_scores(m.issues, counts, churn.select("file_path", "commits_in_last_30d"), A.median_of(churn, "commit_count").select((F.col("median") / 10).alias("median")))
 
 
 query(
