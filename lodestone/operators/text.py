@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import code
+from lodestone.storage import written
 
 #: Language by file extension.
 LANGUAGE_BY_EXTENSION = (("js", "javascript"), ("jsx", "javascript"), ("ts", "typescript"), ("tsx", "typescript"), ("py", "python"), ("cs", "csharp"), ("go", "go"), ("java", "java"), ("rs", "rust"), ("rb", "ruby"))
@@ -130,16 +131,25 @@ def resolve_imports(files: DataFrame, found: DataFrame, namespaces: DataFrame |
     return out.unionByName(resolve_packages(f, i))
 
 
+def _folders(path: Column) -> Column:
+    """Names of the folders that a path is below."""
+    return F.array_distinct(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1))
+
+
+def _go(files: DataFrame, go: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Go's imports: (from_path, name, to_path) of those that name a file, (from_path, name, last) of the rest, by their last segment."""
+    go = go.select("from_path", "name", F.element_at(F.split("name", "/"), -1).alias("last"))
+    exact = go.select("from_path", "name", F.posexplode(F.array(F.concat("last", F.lit(".go")), F.concat("name", F.lit(".go")))).alias("place", "to_path"))
+    exact = exact.join(files, "to_path").groupBy("from_path", "name").agg(F.min_by("to_path", "place").alias("to_path"))
+    return exact, go.join(exact.select("from_path", "name"), ["from_path", "name"], "left_anti")
+
+
 def resolve_packages(files: DataFrame, found: DataFrame) -> DataFrame:
     """The part of ``resolve_imports`` for Go, Java, Rust and Ruby, over (to_path) and (from_path, kind, name)."""
     language = language_of(F.col("from_path"))
     named = files.withColumn("file", F.element_at(F.split("to_path", "/"), -1))
-    # Go
-    go = found.where(language == "go").withColumn("last", F.element_at(F.split("name", "/"), -1))
-    exact = go.select("from_path", "name", F.posexplode(F.array(F.concat("last", F.lit(".go")), F.concat("name", F.lit(".go")))).alias("place", "to_path"))
-    exact = exact.join(files, "to_path").groupBy("from_path", "name").agg(F.min_by("to_path", "place").alias("to_path"))
-    folders = files.select("to_path", F.explode(F.array_distinct(F.slice(F.split("to_path", "/"), F.lit(1), F.size(F.split("to_path", "/")) - 1))).alias("last"))
-    rest = go.join(exact.select("from_path", "name"), ["from_path", "name"], "left_anti").join(folders, "last")
+    exact, asked = _go(files, found.where(language == "go"))
+    rest = asked.join(files.select("to_path", F.explode(_folders(F.col("to_path"))).alias("last")), "last")
     # by file name; for Ruby an ending of the whole name goes before the file name alone
     java = found.where(language == "java").select("from_path", "name", F.concat(F.element_at(F.split("name", r"\."), -1), F.lit(".java")).alias("tail"))
     parts = F.filter(F.split("name", "::"), lambda p: ~p.isin("crate", "super", "self"))
@@ -157,12 +167,57 @@ def resolve_packages(files: DataFrame, found: DataFrame) -> DataFrame:
     return exact.select(columns).unionByName(rest.select(columns)).unionByName(by_name.select(columns)).unionByName(near.select(columns))
 
 
+#: Importing files, and files of a folder or namespace, in a tile of pairs; pairs in a task.
+TILE, TASK = 1024, 1 << 22
+
+
+def _members(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(from_path, to_path), once each: all files of the groups (folders, namespaces) that a file asks for.
+
+    ``asked``: (from_path, of, all, without): a group, all that its file asks for, and files that don't count; ``held``:
+    (to_path, of, all): a file's group and all that it is in. A pair is made in the least group that both have, so pairs are
+    never shuffled; each group's pairs are dealt into tiles of one size, so a large folder takes more tasks.
+    """
+    count = lambda df, name: df.groupBy("of").agg(F.count("*").alias(name))
+    sizes = written(count(asked, "n_from").join(count(held, "n_to"), "of"), "group-sizes")
+    pairs = sizes.agg(F.sum(F.col("n_from").cast("double") * F.col("n_to"))).head()[0] or 0  # one number
+    n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -int(-pairs // TASK))
+    tiles = sizes.select("of", F.ceil(F.col("n_from") / TILE).alias("x"), F.ceil(F.col("n_to") / TILE).alias("y"))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias(f"{k}_at")
+    place = lambda path, k: F.pmod(F.xxhash64(path), F.col(k)).alias(f"{k}_at")
+    at = ["of", "x_at", "y_at"]
+    left = asked.join(tiles, "of").select("of", "from_path", F.when(F.size("all") > 1, F.col("all")).alias("all"), "without", place("from_path", "x"), each("y"))
+    right = held.join(tiles, "of").select("of", "to_path", F.col("all").alias("also"), each("x"), place("to_path", "y"))
+    met = left.repartition(n, *at).join(right.repartition(n, *at), at)
+    least = F.array_min(F.array_intersect("all", "also"))
+    return met.where((F.col("all").isNull() | (least == F.col("of"))) & (F.col("without").isNull() | ~F.array_contains("without", F.col("to_path")))).select("from_path", "to_path")
+
+
 def import_edges(files: DataFrame, path: str = "file_path", text: str = "content") -> DataFrame:
-    """(from_path, to_path, symbols): the import graph of (path, text); scripts' edges carry the names that they import."""
-    found = imports(files, path, text)
-    spaces = files.select(F.col(path).alias("file_path"), F.explode(code.exports(F.col(path), F.coalesce(text, F.lit("")))).alias("namespace")).where(language_of(F.col("file_path")) == "csharp")
-    met = resolve_imports(files.select(F.col(path).alias("file_path")), found, spaces).join(found.select("from_path", "name", "symbols"), ["from_path", "name"])
-    return met.groupBy("from_path", "to_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))).alias("symbols"))
+    """(from_path, to_path, symbols): the import graph of (path, text); scripts' edges carry the names that they import.
+
+    The same edges as by ``resolve_imports``; those into all files of a folder (Go) or namespace (C#), which have no names, aren't grouped by pair.
+    """
+    language = lambda c: F.coalesce(language_of(F.col(c)), F.lit(""))
+    found = written(imports(files, path, text), "imports")
+    spaces = files.select(F.col(path).alias("to_path"), F.explode(code.exports(F.col(path), F.coalesce(text, F.lit("")))).alias("of")).where(language("to_path") == "csharp")
+    paths = files.select(F.col(path).alias("to_path")).distinct()
+    one = found.where(~language("from_path").isin("go", "csharp"))
+    met = resolve_imports(paths.withColumnRenamed("to_path", "file_path"), one).join(one.select("from_path", "name", "symbols"), ["from_path", "name"])
+    met = met.groupBy("from_path", "to_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))).alias("symbols"))
+    exact, folders = _go(paths, found.where(language("from_path") == "go").select("from_path", "name").distinct())
+    # groups by language, since a namespace may have a folder's name
+    group = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")).alias("of")
+    of_go = folders.select("from_path", group("go", "last"))
+    of_cs = found.where(language("from_path") == "csharp").select("from_path", group("csharp", "name"))
+    asked = of_go.union(of_cs).groupBy("from_path").agg(F.collect_set("of").alias("all"))
+    asked = asked.join(exact.groupBy("from_path").agg(F.collect_set("to_path").alias("without")), "from_path", "left")
+    asked = written(asked.select("from_path", F.explode("all").alias("of"), "all", "without"), "asked-groups")
+    in_folders = paths.select("to_path", F.transform(_folders(F.col("to_path")), lambda x: F.struct(F.lit("go").alias("kind"), x.alias("name"))).alias("all"))
+    in_spaces = spaces.select("to_path", group("csharp", "of")).groupBy("to_path").agg(F.collect_set("of").alias("all"))
+    held = written(in_folders.union(in_spaces).select("to_path", F.explode("all").alias("of"), "all"), "group-members")
+    plain = exact.select("from_path", "to_path").distinct().union(_members(asked, held))
+    return met.union(plain.withColumn("symbols", F.array().cast("array<string>")))
 
 
 def namespace_files(exports: DataFrame) -> DataFrame:
